@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +58,6 @@ class Codes(dict):
         return n
 
 
-def word_hashes(words) -> np.ndarray:
-    """64-bit hashes of strings, the same on every machine."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit finalizer (multiply and shift), vectorised."""
     with np.errstate(over="ignore"):
@@ -72,6 +67,25 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of an array of strings without nulls, the same on every machine; words of up to 16 bytes are hashed together."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+    out = np.empty(len(words), np.uint64)
+    sizes = np.diff(offsets)
+    padded = np.concatenate([data[: offsets[-1] if len(offsets) else 0], np.zeros(16, np.uint8)])
+    short = np.flatnonzero(sizes <= 16)
+    for low in range(0, len(short), 1 << 17):
+        part = short[low : low + (1 << 17)]
+        block = padded[offsets[part][:, None] + np.arange(16)] * (np.arange(16) < sizes[part][:, None])
+        pair = block.astype(np.uint8).view(np.uint64)
+        out[part] = mix(pair[:, 0] ^ mix(pair[:, 1] + sizes[part].astype(np.uint64), 41), 42)
+    for i in np.flatnonzero(sizes > 16):
+        out[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes())
+    return out
+
+
 def components(edges: DataFrame, tables: Tables, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b) of any ordered type: node, component (its smallest node).
 

@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from latticeframe.llm.common import Tables, mix, word_hashes
 
-COUNT_BITS = 21
+COUNT_BITS = 24
 BATCH_CHARS = 6_000_000
 GROUP_ROWS = 4_096
 NULL_ID = -(2**63)
-PREFIX = "tok long, sig long, doc long, line int, n int, at int, bits long"
+PREFIX = "tok long, doc long, line int, n int, at int, bits long, more long"
 
 
 def need(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -49,7 +49,7 @@ def slices(batch: pa.RecordBatch, column: int):
 
 
 class Lines:
-    """The lines of a column of texts: row and number of each, which distinct line it is, and the distinct lines' tokens as codes into words."""
+    """The lines of a column of texts: row and number of each, which distinct line it is, and the distinct lines' tokens as places in hashes."""
 
     def __init__(self, texts: pa.Array):
         per_text = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), "\n")
@@ -62,55 +62,80 @@ class Lines:
         words = tokens.flatten().dictionary_encode()
         self.code = words.indices.to_numpy()
         self.owner = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
-        self.words = words.dictionary.to_pylist()
-        if "" in self.words:
-            full = self.code != self.words.index("")
+        self.hashes = word_hashes(words.dictionary)
+        empty = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()
+        if empty >= 0:
+            full = self.code != empty
             self.code, self.owner = self.code[full], self.owner[full]
         self.n_lines = len(tokens)
 
 
-def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How often the tokens of each hash bucket occur, over all texts; an array of fixed size."""
+LINES = "sig long, bits long, n int, doc long, line int"
+
+
+def set_keys(lines: Lines, rank: np.ndarray | None = None):
+    """Of the distinct lines with tokens: their numbers, sizes, set hashes and the two words of their parity bitmaps, and the (line, token) rows by line, and by rank if given: line's place, place in the line, token."""
+    words = len(lines.hashes)
+    number = rank if rank is not None else np.arange(words)
+    rows = np.sort(lines.owner.astype(np.int64) << 32 | number[lines.code])
+    rows = rows[np.concatenate([[True], rows[1:] != rows[:-1]])] if len(rows) else rows
+    owner, word = rows >> 32, rows & 0xFFFFFFFF
+    if rank is not None:
+        back = np.empty(words, np.int64)
+        back[rank] = np.arange(words)
+        word = back[word]
+    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([start, [len(rows)]]))
+    with np.errstate(over="ignore"):
+        sig = np.add.reduceat(mix(lines.hashes, 1)[word], start)
+    flip = mix(lines.hashes, 2) >> np.uint64(57)  # which of 128 bits a token flips
+    one = np.uint64(1) << (flip & np.uint64(63))
+    bits = np.bitwise_xor.reduceat(np.where(flip < 64, one, 0).astype(np.uint64)[word], start)
+    more = np.bitwise_xor.reduceat(np.where(flip < 64, 0, one).astype(np.uint64)[word], start)
+    place = np.repeat(np.arange(len(start)), size)
+    return owner[start], size, sig.view(np.int64), bits.view(np.int64), more.view(np.int64), place, np.arange(len(rows)) - np.repeat(start, size), word
+
+
+def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One pass over all texts: a row LINES for each line with tokens, and, with n null, rows of a hash bucket (sig) and how often its tokens occur in the batch's distinct lines (bits)."""
 
     def run(batches):
         for b in batches:
-            for part in slices(b, 0):
-                lines = Lines(part.column(0))
-                if len(lines.words):
-                    times = np.bincount(lines.code, np.bincount(lines.distinct, minlength=lines.n_lines)[lines.owner], len(lines.words)).astype(np.int64)
-                    bucket = (word_hashes(lines.words) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-                    full, where = np.unique(bucket, return_inverse=True)
-                    sums = np.bincount(where, times).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(sums)], ["bucket", "n"])
-
-    got = docs.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << COUNT_BITS, np.uint32)
-    out[got["bucket"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
-    return out
+            for part in slices(b, 1):
+                lines = Lines(part.column(1))
+                if not len(lines.code):
+                    continue
+                bucket = np.sort((lines.hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)[lines.code])
+                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                none = pa.nulls(len(first), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.diff(np.concatenate([first, [len(bucket)]]))), none, pa.nulls(len(first), pa.int64()), none], ["sig", "bits", "n", "doc", "line"])
+                which, size, sig, bits, *_ = set_keys(lines)
+                slot = np.full(lines.n_lines, -1)
+                slot[which] = np.arange(len(which))
+                own = slot[lines.distinct]
+                full = own >= 0
+                own = own[full]
+                doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)
+                arrays = [sig[own], bits[own], size[own].astype(np.int32), doc[lines.row[full]], lines.number[full].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["sig", "bits", "n", "doc", "line"])
 
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, LINES)
 
-def sets_of(lines: Lines, counts: np.ndarray):
-    """Of the distinct lines with tokens: their numbers, sizes, set hashes and parity bitmaps, and all (line, token) rows by line and rarity: line's place, place in the line, token hash, count."""
-    hashes = word_hashes(lines.words)
-    times = counts[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-    order = np.lexsort((hashes, times))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    rows = np.unique(lines.owner.astype(np.int64) << 32 | rank[lines.code])
-    owner, word = rows >> 32, order[rows & 0xFFFFFFFF]
-    which, start, size = np.unique(owner, return_index=True, return_counts=True)
-    place = np.repeat(np.arange(len(which)), size)
-    at = np.arange(len(rows)) - np.repeat(start, size)
-    token = hashes[word]
-    with np.errstate(over="ignore"):
-        sig = np.add.reduceat(mix(token, 1), start)
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(token, 2) >> np.uint64(58)), start)
-    return which, size, sig.view(np.int64), bits.view(np.int64), place, at, token.view(np.int64), times[word]
+
+def rarity(surveyed: DataFrame) -> np.ndarray:
+    """For each hash bucket of tokens how often they occur, over all texts, as 8 log2 of the count; 0 for once or never. An array of fixed size, whatever the input."""
+    counts = surveyed.where("n is null").groupBy("sig").agg(F.sum("bits").alias("n")).where("n > 1")
+    got = counts.select(F.col("sig").cast("int"), F.least(F.round(8 * F.log2("n")), F.lit(255)).cast("short").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.uint8)
+    out[got["sig"].to_numpy()] = got["n"].to_numpy().astype(np.uint8)
+    return out
 
 
-def row_sets(docs: DataFrame, counts, threshold: float, prefixes: bool, id_col: str, text_col: str) -> DataFrame:
-    """With prefixes: rows PREFIX for the lines' prefix tokens, once for equal lines of a batch; else a row (sig, bits, n, doc, line) for each line with tokens."""
+def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Rows PREFIX for the lines' prefix tokens, once for equal lines of a batch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+    # a set of up to least - 1 tokens is similar to no other set
+    least = int(np.ceil(threshold / (1 - threshold) - 1e-9))
 
     def run(batches):
         counts = shared.value
@@ -119,35 +144,29 @@ def row_sets(docs: DataFrame, counts, threshold: float, prefixes: bool, id_col:
                 lines = Lines(part.column(1))
                 if not len(lines.code):
                     continue
-                which, size, sig, bits, place, at, token, times = sets_of(lines, counts)
+                times = counts[(lines.hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                order = np.argsort((times.astype(np.uint64) << np.uint64(56)) | (lines.hashes >> np.uint64(8)), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                which, size, _, bits, more, place, at, word = set_keys(lines, rank)
                 doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)
-                slot = np.full(lines.n_lines, -1)
-                slot[which] = np.arange(len(which))
-                if not prefixes:
-                    own = slot[lines.distinct]
-                    full = own >= 0
-                    own = own[full]
-                    arrays = [sig[own], bits[own], size[own].astype(np.int32), doc[lines.row[full]], lines.number[full].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["sig", "bits", "n", "doc", "line"])
-                    continue
                 by = np.lexsort((lines.number, doc[lines.row]))
                 first = np.empty(lines.n_lines, np.int64)
                 first[lines.distinct[by][::-1]] = by[::-1]
-                # a set of up to least - 1 tokens is similar to no other set; a token counted once is in one line only
-                least = int(np.ceil(threshold / (1 - threshold) - 1e-9)) if threshold < 1 else 2**31
-                good = (at < prefix_length(size, threshold)[place]) & (times > 1) & (size[place] >= least)
+                # a token counted once is in one line only
+                good = (at < prefix_length(size, threshold)[place]) & (times[word] > 0) & (size[place] >= least)
                 p, line = place[good], first[which[place[good]]]
-                arrays = [token[good], sig[p], doc[lines.row[line]], lines.number[line].astype(np.int32), size[p].astype(np.int32), at[good].astype(np.int32), bits[p]]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["tok", "sig", "doc", "line", "n", "at", "bits"])
+                arrays = [lines.hashes[word[good]].view(np.int64), doc[lines.row[line]], lines.number[line].astype(np.int32), size[p].astype(np.int32), at[good].astype(np.int32), bits[p], more[p]]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["tok", "doc", "line", "n", "at", "bits", "more"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, PREFIX if prefixes else "sig long, bits long, n int, doc long, line int")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, PREFIX)
 
 
-def passes(n, at, bits, m, bt, cits, threshold: float) -> np.ndarray:
+def passes(n, at, m, bt, differ, threshold: float) -> np.ndarray:
     """Length, positional and parity-bitmap filters; no pair at the threshold fails them."""
     overlap = need(n, m, threshold)
     fits = (np.minimum(n, m) >= np.ceil(threshold * np.maximum(n, m) - 1e-9)) & (np.minimum(at, bt) + 1 + np.minimum(n - at - 1, m - bt - 1) >= overlap)
-    return fits & (np.bitwise_count(bits ^ cits) <= n + m - 2 * overlap)
+    return fits & (differ <= n + m - 2 * overlap)
 
 
 def passes_sql(threshold: float) -> str:
@@ -155,17 +174,17 @@ def passes_sql(threshold: float) -> str:
     overlap = f"ceil({threshold / (1 + threshold)!r} * (x.n + y.n) - 1e-9)"
     return (
         f"least(x.n, y.n) >= ceil({threshold!r} * greatest(x.n, y.n) - 1e-9) and least(x.at, y.at) + 1 + least(x.n - x.at - 1, y.n - y.at - 1) >= {overlap}"
-        f" and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {overlap} and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line)) and x.sig <> y.sig"
+        f" and bit_count(x.bits ^ y.bits) + bit_count(x.more ^ y.more) <= x.n + y.n - 2 * {overlap} and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line))"
     )
 
 
 def meet(columns: dict[str, np.ndarray], known: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For rows by token and position: each row's earliest passing earlier row of its token and another set, or -1; and whether some row of its token was out of reach.
+    """For rows by token and position: each row's earliest passing earlier row of its token, or -1; and whether some row of its token was out of reach.
 
     Rows before known are only candidates. A row meets the first GROUP_ROWS rows of its token.
     """
-    tok, n, at, sig = columns["tok"], columns["n"].astype(np.int64), columns["at"].astype(np.int64), columns["sig"]
-    bits = columns["bits"].view(np.uint64)
+    tok, n, at = columns["tok"], columns["n"].astype(np.int64), columns["at"].astype(np.int64)
+    bits, more = columns["bits"].view(np.uint64), columns["more"].view(np.uint64)
     rows = np.arange(len(tok))
     start = np.maximum.accumulate(np.where(np.concatenate([[True], tok[1:] != tok[:-1]]), rows, 0))
     best = np.full(len(tok), -1)
@@ -174,7 +193,8 @@ def meet(columns: dict[str, np.ndarray], known: int, threshold: float) -> tuple[
     k = 0
     while len(alive):  # the k-th row of each group against all rows after it that have no candidate yet
         other = start[alive] + k
-        hit = passes(n[alive], at[alive], bits[alive], n[other], at[other], bits[other], threshold) & (sig[alive] != sig[other])
+        differ = np.bitwise_count(bits[alive] ^ bits[other]).astype(np.int64) + np.bitwise_count(more[alive] ^ more[other])
+        hit = passes(n[alive], at[alive], n[other], at[other], differ, threshold)
         best[alive[hit]] = other[hit]
         k += 1
         alive = alive[~hit & (depth[alive] > k)] if k < GROUP_ROWS else alive[:0]
@@ -182,8 +202,11 @@ def meet(columns: dict[str, np.ndarray], known: int, threshold: float) -> tuple[
 
 
 def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Rows (doc, line, to_doc, to_line) from prefix rows that lie by token and position in their partitions; a null to_doc marks a line that met only part of a group."""
-    names = ["tok", "sig", "doc", "line", "n", "at", "bits"]
+    """Rows PREFIX and (to_doc, to_line), from prefix rows that lie by token and position in their partitions: those with a candidate, and with null ones those that met only part of a group.
+
+    The other prefix rows have no earlier row of their token that passes the filters.
+    """
+    names = ["tok", "doc", "line", "n", "at", "bits", "more"]
 
     def run(batches):
         held = None  # the first rows of the group that the last batch ended in
@@ -196,35 +219,28 @@ def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
             if not len(now["tok"]):
                 continue
             best, part = meet(now, known, threshold)
-            hit, missed = np.flatnonzero(best >= 0), np.flatnonzero(part)
-            to = best[hit]
-            nothing = pa.nulls(len(missed), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(now["doc"][np.concatenate([hit, missed])]),
-                    pa.array(now["line"][np.concatenate([hit, missed])]),
-                    pa.concat_arrays([pa.array(now["doc"][to]), nothing]),
-                    pa.concat_arrays([pa.array(now["line"][to]), nothing.cast(pa.int32())]),
-                ],
-                ["doc", "line", "to_doc", "to_line"],
-            )
+            some = np.flatnonzero((best >= 0) | part)
+            to, none = best[some], best[some] < 0
+            ends = [pa.array(now["doc"][to], mask=none), pa.array(now["line"][to], mask=none)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(now[k][some]) for k in names], *ends], [*names, "to_doc", "to_line"])
             low = int(np.searchsorted(now["tok"], now["tok"][-1]))
             held = {k: now[k][low : low + GROUP_ROWS] for k in names}
 
-    return prefixes.mapInArrow(run, "doc long, line int, to_doc long, to_line int")
+    return prefixes.mapInArrow(run, PREFIX + ", to_doc long, to_line int")
 
 
 def key_of(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, tables: Tables, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs (doc, line, to_doc, to_line) whose token sets reach the threshold."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line"))).distinct()
     wanted = ends.groupBy("doc").agg(F.collect_list("line").alias("lines"))  # line numbers of one document
     texts = docs.select(key_of(id_col).alias("doc"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("all"))
     line = F.explode(F.expr("transform(lines, i -> struct(i as line, array_remove(array_distinct(split(get(all, i), '\\\\s+')), '') as tokens))"))
     sets = texts.join(wanted, "doc").select("doc", line.alias("x")).select("doc", "x.line", F.transform("x.tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    sets = tables.keep(sets)  # used for both ends
     left = pairs.join(sets, ["doc", "line"])
     right = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
     both = left.join(right, ["to_doc", "to_line"])
@@ -241,32 +257,30 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     is the earliest with an equal set, else the earliest verified. An empty table gives no rows.
     """
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
-    counts = rarity(docs, text_col)
-    lines = row_sets(docs, counts, threshold, False, id_col, text_col)
+    surveyed = tables.keep(survey(docs, id_col, text_col))
+    lines = surveyed.where("n is not null")
     groups = lines.groupBy("sig", "bits", "n").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     equal = lines.join(groups, ["sig", "bits", "n"]).where("first.doc <> doc or first.line <> line").select("doc", "line", F.col("first.doc").alias("to_doc"), F.col("first.line").alias("to_line"))
     found = tables.keep(equal)
     if threshold < 1:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        prefixes = tables.keep(row_sets(docs, counts, threshold, True, id_col, text_col))
-        met = tables.keep(candidates(prefixes.repartition(parts, "tok").sortWithinPartitions("tok", "doc", "line"), threshold).distinct())
-        true = tables.keep(verified(met.where("to_doc is not null"), docs, threshold, id_col, text_col))
-        left = tables.keep(met.select("doc", "line").distinct().join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti").join(equal_places(found), ["doc", "line"], "left_anti"))
+        counts = rarity(surveyed)
+        prefixes = prefix_rows(docs, counts, threshold, id_col, text_col)
+        rows = candidates(prefixes.repartition(parts, "tok").sortWithinPartitions("tok", "doc", "line"), threshold)
+        rows = tables.keep(rows.join(found.select("doc", "line"), ["doc", "line"], "left_anti"))
+        met = rows.select("doc", "line", "to_doc", "to_line").distinct()
+        true = tables.keep(verified(met.where("to_doc is not null"), docs, tables, threshold, id_col, text_col))
+        left = tables.keep(rows.join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti").drop("to_doc", "to_line"))
         found = found.unionByName(true)
         if not left.isEmpty():
-            x = tables.keep(prefixes.join(left, ["doc", "line"], "left_semi"))
-            again = x.alias("x").join(prefixes.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")).distinct()
+            again = left.alias("x").join(prefixes.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")).distinct()
             again = tables.keep(again.join(met, ["doc", "line", "to_doc", "to_line"], "left_anti"))
-            found = found.unionByName(verified(again, docs, threshold, id_col, text_col))
+            found = found.unionByName(verified(again, docs, tables, threshold, id_col, text_col))
     best = found.groupBy("doc", "line").agg(F.min(F.struct("to_doc", "to_line")).alias("to"))
     name = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return best.select(name("doc").alias(id_col), "line", name("to.to_doc").alias(f"to_{id_col}"), F.col("to.to_line").alias("to_line"))
 
 
-def equal_places(found: DataFrame) -> DataFrame:
-    return found.select("doc", "line").distinct()
-
-
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without repeated lines, with the column lines_removed (a column of that name is replaced).
 

@@ -57,13 +57,13 @@ class Shingles:
     def __init__(self, texts: pa.Array, n: int):
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         words = split.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
         code = words.indices.to_numpy()
         owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-        if "" in names:
-            full = code != names.index("")
+        empty = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()
+        if empty >= 0:
+            full = code != empty
             code, owner = code[full], owner[full]
-        word = word_hashes(names)[code] if len(names) else np.zeros(0, np.uint64)
+        word = word_hashes(words.dictionary)[code]
         count = np.bincount(owner, minlength=len(texts))
         first = np.cumsum(count) - count
         take = np.maximum(np.where(count > 0, 1, 0), count - n + 1)
