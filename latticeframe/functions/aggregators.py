@@ -155,12 +155,16 @@ def fold(x, zero: Column, seq_op, comb_op=None) -> Column:
     return F.reduce(collect(x), zero, seq_op)
 
 
+def equals(value) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
 def call_stats(call, n_alleles: int) -> Column:
     """struct<AC, AF, AN, homozygote_count> of calls struct<alleles, phased>; a missing call does not count."""
     alleles = col(call)["alleles"]
-    counts = [F.coalesce(F.sum(F.size(F.filter(alleles, lambda a, i=i: a == i))), F.lit(0)) for i in range(n_alleles)]
+    counts = [F.coalesce(F.sum(F.size(F.filter(alleles, equals(i)))), F.lit(0)) for i in range(n_alleles)]
     an = F.coalesce(F.sum(F.when(alleles.isNotNull(), F.size(alleles))), F.lit(0))
-    homs = [F.count_if((F.size(alleles) > 1) & F.forall(alleles, lambda a, i=i: a == i)) for i in range(n_alleles)]
+    homs = [F.count_if((F.size(alleles) > 1) & F.forall(alleles, equals(i))) for i in range(n_alleles)]
     return F.struct(F.array(*counts).alias("AC"), F.when(an > 0, F.array(*[c / F.when(an > 0, an) for c in counts])).alias("AF"), an.alias("AN"), F.array(*homs).alias("homozygote_count"))
 
 

@@ -84,9 +84,13 @@ def unphase(c) -> Column:
     return F.struct(F.array_sort(col(c)["alleles"]).alias("alleles"), F.lit(False).alias("phased"))
 
 
+def equals(value):
+    return lambda x: x == value
+
+
 def one_hot_alleles(c, n: int) -> Column:
     alleles = col(c)["alleles"]
-    return F.when(alleles.isNotNull(), F.array(*[F.size(F.filter(alleles, lambda a, i=i: a == i)) for i in range(n)]))
+    return F.when(alleles.isNotNull(), F.array(*[F.size(F.filter(alleles, equals(i))) for i in range(n)]))
 
 
 def unphased_diploid_gt_index(c) -> Column:
@@ -109,6 +113,12 @@ def downcode(c, i: int) -> Column:
     return F.when(c.isNotNull(), F.struct(F.when(c["phased"], alleles).otherwise(F.array_sort(alleles)).alias("alleles"), c["phased"].alias("phased")))
 
 
+def downcoded_count(i, a_index) -> Column:
+    """How many alleles of the diploid genotype with index i are the allele a_index."""
+    alleles = unphased_diploid_gt_index_call(i)["alleles"]
+    return F.size(F.filter(alleles, lambda a: a == a_index))
+
+
 # likelihoods
 
 

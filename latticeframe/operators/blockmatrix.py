@@ -32,8 +32,11 @@ class BlockMatrix:
     def grid(self) -> tuple[int, int]:
         return -(-self.n_rows // self.block), -(-self.n_cols // self.block)
 
-    def size_of(self, br: int, bc: int) -> tuple[int, int]:
-        return min(self.block, self.n_rows - br * self.block), min(self.block, self.n_cols - bc * self.block)
+    @property
+    def size_of(self) -> Callable[[int, int], tuple[int, int]]:
+        """The shape of a block; a function of its own, so that executors do not get the DataFrame."""
+        n, m, block = self.n_rows, self.n_cols, self.block
+        return lambda br, bc: (min(block, n - br * block), min(block, m - bc * block))
 
     def new(self, blocks: DataFrame, n_rows: int | None = None, n_cols: int | None = None) -> BlockMatrix:
         return BlockMatrix(blocks, self.n_rows if n_rows is None else n_rows, self.n_cols if n_cols is None else n_cols, self.block)

@@ -32,7 +32,11 @@ def overlaps(i: Column, j: Column) -> Column:
 
 def cells(low: Column, high: Column, level: Column) -> Column:
     """The cells of width 2 ** level that [low, high] touches."""
-    return F.sequence(F.shiftrightunsigned(low, level), F.shiftrightunsigned(high, level))
+    return F.sequence(shifted(low, level), shifted(high, level))
+
+
+def shifted(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftrightunsigned", x, bits)
 
 
 def interval_lookup(df: DataFrame, point: Column, intervals: DataFrame, key: str, packed: Column, name: str, all_matches: bool) -> DataFrame:
@@ -52,7 +56,7 @@ def interval_lookup(df: DataFrame, point: Column, intervals: DataFrame, key: str
         span = F.length(F.bin(high - low))  # 2 ** span > high - low
         placed = right.withColumn("__level", span.cast("int")).withColumn("__cell", F.explode(cells(low, high, F.col("__level"))))
         levels = [r[0] for r in placed.select("__level").distinct().limit(64).collect()]
-        one = F.explode(F.array(*[F.struct(F.lit(k).alias("l"), F.shiftrightunsigned(shift(F.col("__x")), F.lit(k)).alias("c")) for k in levels])) if levels else None
+        one = F.explode(F.array(*[F.struct(F.lit(k).alias("l"), F.shiftrightunsigned(shift(F.col("__x")), k).alias("c")) for k in levels])) if levels else None
         points = rows.where(F.col("__x").isNotNull()).select("__id", "__x", one.alias("__p")) if levels else None
         on = (F.col("__p.l") == F.col("__level")) & (F.col("__p.c") == F.col("__cell")) & contains(F.col("__i"), F.col("__x"))
         found = points.join(placed, on) if levels else rows.select("__id").join(right, F.lit(False))
