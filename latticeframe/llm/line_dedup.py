@@ -7,7 +7,7 @@ removed if some line at an earlier position, anywhere, has a token set of Jaccar
    right for the prefix filter; hash clashes there only cost speed.
 2. Lines of equal sets are grouped by hash; all but the first go.
 3. Each line's rarest tokens, its prefix, go to the tasks that own them. There lines that share a prefix token meet in
-   order of position, pass the length, positional and parity-bitmap filters, and each line keeps its earliest candidate
+   order of position, pass the length, positional and parity-bitmap filters, and each line keeps its nearest candidate
    for that token, so that large families of similar lines give one row a line and not one a pair.
 4. Candidates are verified on the lines' tokens. A line whose candidates all fail, or that met only part of a very
    large group, is joined anew with all earlier lines of its tokens.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from latticeframe.llm.common import Tables, mix, word_hashes
 
-COUNT_BITS = 24
+COUNT_BITS = 25
+BLOOM_BITS = 27
 BATCH_CHARS = 6_000_000
 GROUP_ROWS = 4_096
 NULL_ID = -(2**63)
@@ -97,9 +98,10 @@ def set_keys(lines: Lines, rank: np.ndarray | None = None):
 
 
 def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One pass over all texts: a row LINES for each line with tokens, and, with n null, rows of a hash bucket (sig) and how often its tokens occur in the batch's distinct lines (bits)."""
+    """One pass over all texts: a row LINES for each line with tokens, and, with n null, rows of a hash bucket (sig) and how often its tokens occur in the task's lines (bits), equal lines of a batch counted once."""
 
     def run(batches):
+        counts = np.zeros(1 << COUNT_BITS, np.uint16)  # of the task, which is enough to tell rare tokens from common ones
         for b in batches:
             for part in slices(b, 1):
                 lines = Lines(part.column(1))
@@ -107,8 +109,8 @@ def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 bucket = np.sort((lines.hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)[lines.code])
                 first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                none = pa.nulls(len(first), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.diff(np.concatenate([first, [len(bucket)]]))), none, pa.nulls(len(first), pa.int64()), none], ["sig", "bits", "n", "doc", "line"])
+                times = np.diff(np.concatenate([first, [len(bucket)]]))
+                counts[bucket[first]] = np.minimum(counts[bucket[first]] + times, 65_535)
                 which, size, sig, bits, *_ = set_keys(lines)
                 slot = np.full(lines.n_lines, -1)
                 slot[which] = np.arange(len(which))
@@ -118,6 +120,11 @@ def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)
                 arrays = [sig[own], bits[own], size[own].astype(np.int32), doc[lines.row[full]], lines.number[full].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["sig", "bits", "n", "doc", "line"])
+        full = np.flatnonzero(counts)
+        for low in range(0, len(full), 1 << 18):
+            some = full[low : low + (1 << 18)]
+            none = pa.nulls(len(some), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some].astype(np.int64)), none, pa.nulls(len(some), pa.int64()), none], ["sig", "bits", "n", "doc", "line"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, LINES)
 
@@ -131,8 +138,8 @@ def rarity(surveyed: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Rows PREFIX for the lines' prefix tokens, once for equal lines of a batch."""
+def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col: str, tokens=None) -> DataFrame:
+    """Rows PREFIX for the lines' prefix tokens, once for equal lines of a batch; with tokens, a broadcast bit table, only for tokens that it may hold."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
     # a set of up to least - 1 tokens is similar to no other set
     least = int(np.ceil(threshold / (1 - threshold) - 1e-9))
@@ -155,6 +162,8 @@ def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col
                 first[lines.distinct[by][::-1]] = by[::-1]
                 # a token counted once is in one line only
                 good = (at < prefix_length(size, threshold)[place]) & (times[word] > 0) & (size[place] >= least)
+                if tokens is not None:
+                    good &= held(tokens.value, lines.hashes)[word]
                 p, line = place[good], first[which[place[good]]]
                 arrays = [lines.hashes[word[good]].view(np.int64), doc[lines.row[line]], lines.number[line].astype(np.int32), size[p].astype(np.int32), at[good].astype(np.int32), bits[p], more[p]]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["tok", "doc", "line", "n", "at", "bits", "more"])
@@ -179,7 +188,7 @@ def passes_sql(threshold: float) -> str:
 
 
 def meet(columns: dict[str, np.ndarray], known: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For rows by token and position: each row's earliest passing earlier row of its token, or -1; and whether some row of its token was out of reach.
+    """For rows by token and position: of the earlier rows of its token that pass, the one with the nearest bitmap, or -1; and whether some row of its token was out of reach.
 
     Rows before known are only candidates. A row meets the first GROUP_ROWS rows of its token.
     """
@@ -187,17 +196,17 @@ def meet(columns: dict[str, np.ndarray], known: int, threshold: float) -> tuple[
     bits, more = columns["bits"].view(np.uint64), columns["more"].view(np.uint64)
     rows = np.arange(len(tok))
     start = np.maximum.accumulate(np.where(np.concatenate([[True], tok[1:] != tok[:-1]]), rows, 0))
-    best = np.full(len(tok), -1)
+    best, least = np.full(len(tok), -1), np.full(len(tok), 1 << 20)
     depth = rows - start
     alive = rows[(depth > 0) & (rows >= known)]
     k = 0
-    while len(alive):  # the k-th row of each group against all rows after it that have no candidate yet
+    while len(alive):  # the k-th row of each group against all rows after it
         other = start[alive] + k
         differ = np.bitwise_count(bits[alive] ^ bits[other]).astype(np.int64) + np.bitwise_count(more[alive] ^ more[other])
-        hit = passes(n[alive], at[alive], n[other], at[other], differ, threshold)
-        best[alive[hit]] = other[hit]
+        hit = passes(n[alive], at[alive], n[other], at[other], differ, threshold) & (differ < least[alive])
+        best[alive[hit]], least[alive[hit]] = other[hit], differ[hit]
         k += 1
-        alive = alive[~hit & (depth[alive] > k)] if k < GROUP_ROWS else alive[:0]
+        alive = alive[depth[alive] > k] if k < GROUP_ROWS else alive[:0]
     return best, (best < 0) & (depth > GROUP_ROWS)
 
 
@@ -233,14 +242,68 @@ def key_of(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 
+def bit_table(df: DataFrame, bits_of) -> np.ndarray:
+    """A bit table of fixed size with the places bits_of(columns as arrays) of all rows set: a filter that lets all of them through and few others."""
+
+    def run(batches):
+        for b in batches:
+            at = np.unique(bits_of(*[c.to_numpy(zero_copy_only=False) for c in b.columns]))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    got = df.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def bit_of(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes, 51) >> np.uint64(64 - BLOOM_BITS)
+
+
+def line_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return bit_of(mix(doc.astype(np.int64).view(np.uint64), 52) ^ line.astype(np.uint64))
+
+
+def held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = bit_of(hashes)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc, line, tokens) with the sorted token hashes of the lines in ends. A bit table lets few other lines out of the scan; the join that follows is exact."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ends, line_bit))  # of fixed size
+
+    def run(batches):
+        for b in batches:
+            for part in slices(b, 1):
+                per_text = pc.split_pattern(pc.fill_null(part.column(1), "").cast(pa.large_string()), "\n")
+                counts = np.diff(per_text.offsets.to_numpy())
+                row = np.repeat(np.arange(part.num_rows), counts)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)[row]
+                hit = np.flatnonzero(held(table.value, mix(doc.view(np.uint64), 52) ^ number.astype(np.uint64)))
+                if not len(hit):
+                    continue
+                words = pc.ascii_split_whitespace(per_text.flatten().take(pa.array(hit)))
+                hashes = word_hashes(words.flatten())
+                owner = np.repeat(np.arange(len(hit)), np.diff(words.offsets.to_numpy()))
+                full = pc.not_equal(words.flatten(), "").to_numpy(zero_copy_only=False)
+                hashes, owner = hashes[full], owner[full]
+                by = np.lexsort((hashes, owner))
+                hashes, owner = hashes[by], owner[by]
+                new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
+                ends_at = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(hit)))])
+                lists = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(hashes[new].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit].astype(np.int32)), lists], ["doc", "line", "tokens"])
+
+    found = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "doc long, line int, tokens array<long>")
+    return found.join(ends, ["doc", "line"], "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, tables: Tables, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs (doc, line, to_doc, to_line) whose token sets reach the threshold."""
-    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line"))).distinct()
-    wanted = ends.groupBy("doc").agg(F.collect_list("line").alias("lines"))  # line numbers of one document
-    texts = docs.select(key_of(id_col).alias("doc"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("all"))
-    line = F.explode(F.expr("transform(lines, i -> struct(i as line, array_remove(array_distinct(split(get(all, i), '\\\\s+')), '') as tokens))"))
-    sets = texts.join(wanted, "doc").select("doc", line.alias("x")).select("doc", "x.line", F.transform("x.tokens", lambda t: F.xxhash64(t)).alias("tokens"))
-    sets = tables.keep(sets)  # used for both ends
+    ends = tables.keep(pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line"))).distinct())
+    sets = tables.keep(line_sets(docs, ends, id_col, text_col))
     left = pairs.join(sets, ["doc", "line"])
     right = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
     both = left.join(right, ["to_doc", "to_line"])
@@ -273,7 +336,9 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
         left = tables.keep(rows.join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti").drop("to_doc", "to_line"))
         found = found.unionByName(true)
         if not left.isEmpty():
-            again = left.alias("x").join(prefixes.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")).distinct()
+            tokens = spark.sparkContext.broadcast(bit_table(left.select("tok").distinct(), lambda tok: bit_of(tok.view(np.uint64))))
+            others = prefix_rows(docs, counts, threshold, id_col, text_col, tokens)
+            again = left.alias("x").join(others.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")).distinct()
             again = tables.keep(again.join(met, ["doc", "line", "to_doc", "to_line"], "left_anti"))
             found = found.unionByName(verified(again, docs, tables, threshold, id_col, text_col))
     best = found.groupBy("doc", "line").agg(F.min(F.struct("to_doc", "to_line")).alias("to"))
