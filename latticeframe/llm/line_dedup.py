@@ -21,10 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Tables, mix, word_hashes
+from latticeframe.llm.common import Tables, bit_of, bit_table, held, mix, word_hashes
 
 COUNT_BITS = 25
-BLOOM_BITS = 27
 BATCH_CHARS = 6_000_000
 GROUP_ROWS = 4_096
 NULL_ID = -(2**63)
@@ -242,33 +241,10 @@ def key_of(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 
-def bit_table(df: DataFrame, bits_of) -> np.ndarray:
-    """A bit table of fixed size with the places bits_of(columns as arrays) of all rows set: a filter that lets all of them through and few others."""
-
-    def run(batches):
-        for b in batches:
-            at = np.unique(bits_of(*[c.to_numpy(zero_copy_only=False) for c in b.columns]))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
-
-    got = df.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def bit_of(hashes: np.ndarray) -> np.ndarray:
-    return mix(hashes, 51) >> np.uint64(64 - BLOOM_BITS)
-
-
 def line_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return bit_of(mix(doc.astype(np.int64).view(np.uint64), 52) ^ line.astype(np.uint64))
 
 
-def held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = bit_of(hashes)
-    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc, line, tokens) with the sorted token hashes of the lines in ends. A bit table lets few other lines out of the scan; the join that follows is exact."""
     table = docs.sparkSession.sparkContext.broadcast(bit_table(ends, line_bit))  # of fixed size

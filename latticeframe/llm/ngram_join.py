@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Tables, components, mix, word_hashes
+from latticeframe.llm.common import Tables, bit_of, bit_table, components, held, mix, word_hashes
 from latticeframe.llm.line_dedup import slices
 
 COORDINATES = 64
@@ -290,6 +290,17 @@ def verify(tasks: DataFrame, threshold: float, n: int) -> DataFrame:
     return tasks.mapInArrow(run, "rep long, links long, root long")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (rep, text) of the documents with ids in ids, and of few others, which a bit table lets out of the scan; the join that follows is exact."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, lambda rep: bit_of(rep.view(np.uint64))))  # of fixed size
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(held(table.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null").mapInArrow(run, "rep long, text string")
+
+
 def near_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, class_id, n_links), one for each id: the smallest id of its class, and how many other ids it is linked with.
 
@@ -315,7 +326,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     members = tables.keep(members.join(heads, "rep"))
     # a block meets itself and each other block of its cluster once
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("second")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    texts = texts_of(docs, members.select("rep"), id_col, text_col)
     tasks = texts.join(members, "rep").select("*", other)
     tasks = tasks.withColumn("low", F.least("first", "second")).withColumn("high", F.greatest("first", "second"))
     tasks = tasks.select(F.xxhash64("component", "low", "high").alias("task"), "rep", "weight", "first", (F.col("low") == F.col("high")).alias("whole"), "h1", "text")
