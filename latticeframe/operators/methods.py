@@ -363,3 +363,14 @@ def filter_alleles(matrix: MatrixTable, keep, alleles: str = "alleles") -> Matri
     kept = F.concat(F.slice(a, F.lit(1), F.lit(1)), F.filter(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), keep))
     rows = matrix.rows_df.withColumn("new_alleles", kept).where(F.size("new_alleles") > 1)
     return matrix.new(rows=rows, entries=matrix.keep_entries(rows=rows))
+
+
+def ld_prune(matrix: MatrixTable, gt: str = "GT", r2: float = 0.2, window: int = 1_000_000, locus: str = "locus") -> Table:
+    """Rows of a maximal set in which no two of one contig within the window have a squared correlation of r2 or more."""
+    m = matrix.annotate_entries(__n=g.n_alt_alleles(F.col(f"`{gt}`")))
+    keyed = m.rows().add_index("__i").df
+    pairs = row_correlation(m, "__n").entries().where((F.col("i") < F.col("j")) & (F.col("v") * F.col("v") >= r2))
+    place = keyed.select(F.col("__i"), F.col(f"`{locus}`.contig").alias("c"), F.col(f"`{locus}`.position").alias("p"))
+    near = pairs.join(place.select(F.col("__i").alias("i"), F.col("c").alias("ci"), F.col("p").alias("pi")), "i").join(place.select(F.col("__i").alias("j"), F.col("c").alias("cj"), F.col("p").alias("pj")), "j").where((F.col("ci") == F.col("cj")) & (F.abs(F.col("pi") - F.col("pj")) <= window))
+    gone = maximal_independent_set(near.select("i", "j"), keep=False).select(F.col("node").alias("__i"))
+    return Table(keyed.join(gone, "__i", "left_anti").select(*matrix.row_key), matrix.row_key)
