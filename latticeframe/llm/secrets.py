@@ -27,6 +27,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_ADDED = 6, 20, 8
 
 O, B, I = 0, 1, 2
+SLOTS = 9  # features of a token
 EDGES = "\"'`,;:()[]{}<>=.!?*&%$#|"
 
 
@@ -77,7 +78,8 @@ def plain(word: str) -> str:
 
 
 def own_features(sig: str) -> list[str]:
-    return [f"s={sig}", f"len={sig[0]}", f"kinds={''.join(sorted(set(sig[1:])))}"]
+    digits, letters = "9" in sig[1:], any(c in sig for c in "afAu")
+    return [f"s={sig}", f"len={sig[0]}", f"kinds={''.join(sorted(set(sig[1:])))}", f"mixed={digits}{letters}{sig[0] > '4'}"]
 
 
 def file_features(text: str, n_tokens: int) -> list[str]:
@@ -114,7 +116,7 @@ def gold_tags(spans: list[tuple[int, int]], text: str) -> list[int]:
     return tags
 
 
-def learn(texts: list[str], width: int = 12, vocabulary_size: int = 400, rounds: int = 80, penalty: float = 0.3) -> Model:
+def learn(texts: list[str], width: int = 12, vocabulary_size: int = 400, rounds: int = 80, penalty: float = 0.1) -> Model:
     """A conditional random field fitted to texts by its likelihood gradient (forward-backward over all windows at once, Adam steps).
 
     A window is width tokens on either side of a tagged token, or around the middle of a text without one.
@@ -137,7 +139,7 @@ def learn(texts: list[str], width: int = 12, vocabulary_size: int = 400, rounds:
         return Model({"len=0": (0.0, 0.0, 0.0), "bias": (8.0, 0.0, 0.0)}, np.zeros((3, 3)), frozenset())
     number: dict[str, int] = {}
     longest, n = max(len(w[0]) for w in windows), len(windows)
-    features = np.zeros((n, longest, 8), np.int64)
+    features = np.zeros((n, longest, SLOTS), np.int64)
     gold, mask = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
     for k, (words, tags, before, after, of_file) in enumerate(windows):
         around = [before, *words, after]
@@ -168,7 +170,7 @@ def learn(texts: list[str], width: int = 12, vocabulary_size: int = 400, rounds:
         marginal = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
         pairs = np.exp(alpha[:, :-1, :, None] + t + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * pair_mask
         slack = marginal - onehot
-        g = np.stack([np.bincount(features.ravel(), np.repeat(slack[..., y], 8, -1).ravel(), len(w)) for y in range(3)], 1) + penalty * w
+        g = np.stack([np.bincount(features.ravel(), np.repeat(slack[..., y], SLOTS, -1).ravel(), len(w)) for y in range(3)], 1) + penalty * w
         gt = pairs.sum((0, 1)) - gold_pairs + penalty * t
         for x, grad, m, v in ((w, g, *moments[:2]), (t, gt, *moments[2:])):
             m += 0.1 * (grad - m)

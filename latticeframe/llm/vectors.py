@@ -47,6 +47,7 @@ def blocks(rows: DataFrame, queries: DataFrame, shards: int, query_blocks: int,
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long")
     of_rows = rows.withColumn("shard", shard).where(F.col("shard") >= first).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     of_queries = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(shards - 1).cast("long"))))
+    of_queries, of_rows = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (of_queries, of_rows))  # columns of their own
     a, b = (x.repartition(n, "shard", "block").groupBy("shard", "block") for x in (of_queries, of_rows))
     return a.cogroup(b).applyInPandas(run, schema)
 
