@@ -116,7 +116,7 @@ def gold_tags(spans: list[tuple[int, int]], text: str) -> list[int]:
     return tags
 
 
-def learn(texts: list[str], width: int = 12, vocabulary_size: int = 400, rounds: int = 80, penalty: float = 0.1) -> Model:
+def learn(texts: list[str], width: int = 12, vocabulary_size: int = 400, rounds: int = 100, penalty: float = 0.01) -> Model:
     """A conditional random field fitted to texts by its likelihood gradient (forward-backward over all windows at once, Adam steps).
 
     A window is width tokens on either side of a tagged token, or around the middle of a text without one.
