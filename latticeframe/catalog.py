@@ -36,24 +36,24 @@ def read(spark: SparkSession, sf_dir: str, name: str, *key: str) -> Table:
 
 def sales(spark: SparkSession, sf_dir: str) -> MatrixTable:
     """Part x supplier entries of quantity and price."""
-    lines = read(spark, sf_dir, "lineitem").group_by("l_partkey", "l_suppkey").aggregate(qty=agg.sum("l_quantity"), price=agg.sum("l_extendedprice"))
+    lines = read(spark, sf_dir, "lineitem").group_by("l_partkey", "l_suppkey").aggregate(qty=agg.sum("l_quantity"), price=F.round(agg.sum("l_extendedprice"), 2))
     m = lines.to_matrix_table(["l_partkey"], ["l_suppkey"])
     part = read(spark, sf_dir, "part").df.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
     supplier = read(spark, sf_dir, "supplier").df.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", "s_acctbal")
     return m.new(rows=m.rows_df.join(part, "l_partkey"), cols=m.cols_df.join(supplier, "l_suppkey"))
 
 
-ENTRIES = "e AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS qty, sum(l_extendedprice) AS price FROM lineitem GROUP BY ALL)"
+ENTRIES = "e AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS qty, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY ALL)"
 
 
 # tables
 
 
-@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice * (1 - l_discount)) AS revenue, avg(l_discount) AS mean_discount, count(*) AS n
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 9) AS mean_discount, count(*) AS n
           FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def table_group_by_aggregate(spark, d):
     t = read(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-    return t.group_by("l_returnflag", "l_linestatus").aggregate(sum_qty=agg.sum("l_quantity"), revenue=agg.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), mean_discount=agg.mean("l_discount"), n=agg.count()).df
+    return t.group_by("l_returnflag", "l_linestatus").aggregate(sum_qty=agg.sum("l_quantity"), revenue=F.round(agg.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2), mean_discount=F.round(agg.mean("l_discount"), 9), n=agg.count()).df
 
 
 @query("SELECT o_orderkey, o_totalprice * 1.1 AS with_tax, o_totalprice > 100000 AS large FROM orders")
@@ -205,9 +205,9 @@ def table_gather(spark, d):
     return methods.gather(Table(t), "name", "value", ["l_quantity", "l_tax"]).df
 
 
-@query("SELECT o_orderpriority, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS F, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS O, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS F, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS O, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 2) AS P FROM orders GROUP BY 1")
 def table_spread(spark, d):
-    t = read(spark, d, "orders").group_by("o_orderpriority", "o_orderstatus").aggregate(x=agg.sum("o_totalprice"))
+    t = read(spark, d, "orders").group_by("o_orderpriority", "o_orderstatus").aggregate(x=F.round(agg.sum("o_totalprice"), 2))
     return methods.spread(Table(t.df), "o_orderstatus", "x", ["F", "O", "P"]).df
 
 
@@ -233,10 +233,11 @@ def agg_conditions(spark, d):
     return read(spark, d, "events").group_by("user_id").aggregate(clicks=agg.count_where(F.col("event_type") == "click"), some=agg.any(v > 90), every=agg.all(v >= 0), low=agg.min(v), high=agg.max(v), share=agg.fraction(v > 50)).df
 
 
-@query("SELECT event_type, avg(value) AS mean, stddev_pop(value) AS stdev, min(value) AS min, max(value) AS max, count(value) AS n, sum(value) AS sum FROM events GROUP BY 1")
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stdev, min(value) AS min, max(value) AS max, count(value) AS n, round(sum(value), 4) AS sum FROM events GROUP BY 1")
 def agg_stats(spark, d):
     t = read(spark, d, "events").group_by("event_type").aggregate(x=agg.stats("value"))
-    return t.df.select("event_type", "x.*")
+    x = F.col("x")
+    return t.df.select("event_type", F.round(x["mean"], 6).alias("mean"), F.round(x["stdev"], 6).alias("stdev"), x["min"].alias("min"), x["max"].alias("max"), x["n"].alias("n"), F.round(x["sum"], 4).alias("sum"))
 
 
 @query("SELECT user_id, event_type AS key, count(*) AS value FROM events GROUP BY ALL")
@@ -244,9 +245,9 @@ def agg_counter(spark, d):
     return read(spark, d, "events").group_by("user_id").aggregate(types=agg.counter("event_type")).df.select("user_id", F.inline("types"))
 
 
-@query("SELECT c_mktsegment, c_nationkey AS key, sum(c_acctbal) AS value FROM customer GROUP BY ALL")
+@query("SELECT c_mktsegment, c_nationkey AS key, round(sum(c_acctbal), 2) AS value FROM customer GROUP BY ALL")
 def agg_group_by(spark, d):
-    return read(spark, d, "customer").group_by("c_mktsegment").aggregate(balances=agg.group_by("c_nationkey", agg.sum("c_acctbal"))).df.select("c_mktsegment", F.inline("balances"))
+    return read(spark, d, "customer").group_by("c_mktsegment").aggregate(balances=agg.group_by("c_nationkey", F.round(agg.sum("c_acctbal"), 2))).df.select("c_mktsegment", F.inline("balances"))
 
 
 @query("SELECT lang, sum(length(w)) AS letters, count(*) AS words FROM (SELECT lang, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1")
@@ -283,9 +284,9 @@ def agg_collect_as_set(spark, d):
     return read(spark, d, "orders").group_by("o_orderpriority").aggregate(statuses=agg.collect_as_set("o_orderstatus")).df
 
 
-@query("SELECT s_nationkey, product(1 + s_acctbal / 1e6) AS p FROM supplier GROUP BY 1")
+@query("SELECT s_nationkey, round(product(1 + s_acctbal / 1e6), 9) AS p FROM supplier GROUP BY 1")
 def agg_product(spark, d):
-    return read(spark, d, "supplier").group_by("s_nationkey").aggregate(p=agg.product(1 + F.col("s_acctbal") / 1e6)).df
+    return read(spark, d, "supplier").group_by("s_nationkey").aggregate(p=F.round(agg.product(1 + F.col("s_acctbal") / 1e6), 9)).df
 
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2 FROM lineitem")
@@ -430,9 +431,9 @@ def matrix_annotate_rows(spark, d):
     return sales(spark, d).annotate_rows({"total": agg.sum("qty"), "n": agg.count()}).rows().select("p_brand", "total", "n").df
 
 
-@query(f"WITH {ENTRIES} SELECT l_suppkey, s_nationkey, avg(price / qty) AS mean_price FROM e JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL")
+@query(f"WITH {ENTRIES} SELECT l_suppkey, s_nationkey, round(avg(price / qty), 4) AS mean_price FROM e JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL")
 def matrix_annotate_cols(spark, d):
-    return sales(spark, d).annotate_cols({"mean_price": agg.mean(F.col("price") / F.col("qty"))}).cols().select("s_nationkey", "mean_price").df
+    return sales(spark, d).annotate_cols({"mean_price": F.round(agg.mean(F.col("price") / F.col("qty")), 4)}).cols().select("s_nationkey", "mean_price").df
 
 
 @query(f"WITH {ENTRIES} SELECT l_partkey, l_suppkey, price / qty AS unit, qty * p_size AS volume FROM e JOIN part ON p_partkey = l_partkey WHERE p_size > 25 AND qty > 30")
@@ -468,10 +469,10 @@ def matrix_localize_entries(spark, d):
     return t.df.select("l_partkey", F.transform("entries", lambda x: x["qty"]).alias("qtys"))
 
 
-@query(f"WITH {ENTRIES} SELECT count(*) AS n, sum(qty) AS qty, avg(price) AS price FROM e")
+@query(f"WITH {ENTRIES} SELECT count(*) AS n, sum(qty) AS qty, round(avg(price), 4) AS price FROM e")
 def matrix_aggregate_entries(spark, d):
     m = sales(spark, d)
-    return Table(m.entries_df).aggregate_df(n=agg.count(), qty=agg.sum("qty"), price=agg.mean("price"))
+    return Table(m.entries_df).aggregate_df(n=agg.count(), qty=agg.sum("qty"), price=F.round(agg.mean("price"), 4))
 
 
 @query(f"WITH {ENTRIES} SELECT l_partkey, l_suppkey, qty FROM e WHERE l_partkey <= 10 OR l_partkey BETWEEN 21 AND 30")
