@@ -7,10 +7,10 @@ removed if some line at an earlier position, anywhere, has a token set of Jaccar
    right for the prefix filter; hash clashes there only cost speed.
 2. Lines of equal sets are grouped by hash; all but the first go.
 3. Each line's rarest tokens, its prefix, go to the tasks that own them. There lines that share a prefix token meet in
-   order of position, pass the length, positional and parity-bitmap filters, and each line keeps its nearest candidate
-   for that token, so that large families of similar lines give one row a line and not one a pair.
-4. Candidates are verified on the lines' tokens. A line whose candidates all fail, or that met only part of a very
-   large group, is joined anew with all earlier lines of its tokens.
+   order of position, pass the length, positional and parity-bitmap filters, and each line keeps its nearest candidates
+   for that token, so that large families of similar lines give few rows a line and not one a pair.
+4. Candidates are verified on the lines' tokens. A line whose candidates all fail though it may have more is
+   joined anew with all earlier lines of those tokens.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from latticeframe.llm.common import Tables, bit_of, bit_table, held, mix, word_h
 COUNT_BITS = 25
 BATCH_CHARS = 6_000_000
 GROUP_ROWS = 4_096
+NEAREST = 3
 NULL_ID = -(2**63)
+PREFIX_NAMES = ["tok", "doc", "line", "n", "at", "bits", "more"]
 PREFIX = "tok long, doc long, line int, n int, at int, bits long, more long"
 
 
@@ -137,8 +139,11 @@ def rarity(surveyed: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col: str, tokens=None) -> DataFrame:
-    """Rows PREFIX for the lines' prefix tokens, once for equal lines of a batch; with tokens, a broadcast bit table, only for tokens that it may hold."""
+def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col: str, gone=None, but=None, tokens=None) -> DataFrame:
+    """Rows PREFIX for the lines' prefix tokens, once for equal lines of a batch.
+
+    Broadcast bit tables narrow them: lines in gone, unless in but, are left out; of tokens only those in tokens stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
     # a set of up to least - 1 tokens is similar to no other set
     least = int(np.ceil(threshold / (1 - threshold) - 1e-9))
@@ -163,6 +168,9 @@ def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col
                 good = (at < prefix_length(size, threshold)[place]) & (times[word] > 0) & (size[place] >= least)
                 if tokens is not None:
                     good &= held(tokens.value, lines.hashes)[word]
+                if gone is not None:
+                    at_line = line_hash(doc[lines.row[first[which]]], lines.number[first[which]])
+                    good &= ~(held(gone.value, at_line) & ~held(but.value, at_line))[place]
                 p, line = place[good], first[which[place[good]]]
                 arrays = [lines.hashes[word[good]].view(np.int64), doc[lines.row[line]], lines.number[line].astype(np.int32), size[p].astype(np.int32), at[good].astype(np.int32), bits[p], more[p]]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["tok", "doc", "line", "n", "at", "bits", "more"])
@@ -187,7 +195,7 @@ def passes_sql(threshold: float) -> str:
 
 
 def meet(columns: dict[str, np.ndarray], known: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For rows by token and position: of the earlier rows of its token that pass, the one with the nearest bitmap, or -1; and whether some row of its token was out of reach.
+    """For rows by token and position: of the earlier rows of its token that pass, the NEAREST ones by bitmap, or -1; and whether there may be more.
 
     Rows before known are only candidates. A row meets the first GROUP_ROWS rows of its token.
     """
@@ -195,54 +203,76 @@ def meet(columns: dict[str, np.ndarray], known: int, threshold: float) -> tuple[
     bits, more = columns["bits"].view(np.uint64), columns["more"].view(np.uint64)
     rows = np.arange(len(tok))
     start = np.maximum.accumulate(np.where(np.concatenate([[True], tok[1:] != tok[:-1]]), rows, 0))
-    best, least = np.full(len(tok), -1), np.full(len(tok), 1 << 20)
+    best, least = np.full((len(tok), NEAREST), -1), np.full((len(tok), NEAREST), 1 << 20)
+    passed = np.zeros(len(tok), np.int64)
     depth = rows - start
     alive = rows[(depth > 0) & (rows >= known)]
     k = 0
     while len(alive):  # the k-th row of each group against all rows after it
         other = start[alive] + k
         differ = np.bitwise_count(bits[alive] ^ bits[other]).astype(np.int64) + np.bitwise_count(more[alive] ^ more[other])
-        hit = passes(n[alive], at[alive], n[other], at[other], differ, threshold) & (differ < least[alive])
-        best[alive[hit]], least[alive[hit]] = other[hit], differ[hit]
+        hit = passes(n[alive], at[alive], n[other], at[other], differ, threshold)
+        row, to, far = alive[hit], other[hit], differ[hit]
+        passed[row] += 1
+        for slot in range(NEAREST):  # the nearer one stays, the other moves on to the next slot
+            held_to, held_far = best[row, slot], least[row, slot]
+            nearer = far < held_far
+            best[row, slot], least[row, slot] = np.where(nearer, to, held_to), np.where(nearer, far, held_far)
+            to, far = np.where(nearer, held_to, to), np.where(nearer, held_far, far)
         k += 1
         alive = alive[depth[alive] > k] if k < GROUP_ROWS else alive[:0]
-    return best, (best < 0) & (depth > GROUP_ROWS)
+    return best, (passed > NEAREST) | (depth > GROUP_ROWS)
 
 
 def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Rows PREFIX and (to_doc, to_line), from prefix rows that lie by token and position in their partitions: those with a candidate, and with null ones those that met only part of a group.
+    """Rows PREFIX and (to_doc, to_line, more_to), from prefix rows that lie by token and position in their partitions: one for each candidate kept.
 
-    The other prefix rows have no earlier row of their token that passes the filters.
+    more_to: there may be further earlier rows of the token that pass the filters; without a candidate kept to_doc is null.
     """
-    names = ["tok", "doc", "line", "n", "at", "bits", "more"]
+    names = PREFIX_NAMES
 
     def run(batches):
-        held = None  # the first rows of the group that the last batch ended in
+        last = None  # the first rows of the group that the last batch ended in
         for b in batches:
             now = {k: b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
             known = 0
-            if held is not None and len(held["tok"]) and b.num_rows and held["tok"][0] == now["tok"][0]:
-                known = len(held["tok"])
-                now = {k: np.concatenate([held[k], now[k]]) for k in names}
+            if last is not None and b.num_rows and last["tok"][0] == now["tok"][0]:
+                known = len(last["tok"])
+                now = {k: np.concatenate([last[k], now[k]]) for k in names}
             if not len(now["tok"]):
                 continue
             best, part = meet(now, known, threshold)
-            some = np.flatnonzero((best >= 0) | part)
-            to, none = best[some], best[some] < 0
-            ends = [pa.array(now["doc"][to], mask=none), pa.array(now["line"][to], mask=none)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(now[k][some]) for k in names], *ends], [*names, "to_doc", "to_line"])
+            for slot in range(NEAREST):
+                some = np.flatnonzero((best[:, slot] >= 0) | (part if slot == 0 else False))
+                to = best[some, slot]
+                ends = [pa.array(now["doc"][to], mask=to < 0), pa.array(now["line"][to], mask=to < 0), pa.array(part[some])]
+                yield pa.RecordBatch.from_arrays([*[pa.array(now[c][some]) for c in names], *ends], [*names, "to_doc", "to_line", "more_to"])
             low = int(np.searchsorted(now["tok"], now["tok"][-1]))
-            held = {k: now[k][low : low + GROUP_ROWS] for k in names}
+            last = {k: now[k][low : low + GROUP_ROWS] for k in names}
 
-    return prefixes.mapInArrow(run, PREFIX + ", to_doc long, to_line int")
+    return prefixes.mapInArrow(run, PREFIX + ", to_doc long, to_line int, more_to boolean")
 
 
 def key_of(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 
+def line_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(np.int64).view(np.uint64), 52) ^ line.astype(np.uint64)
+
+
 def line_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return bit_of(mix(doc.astype(np.int64).view(np.uint64), 52) ^ line.astype(np.uint64))
+    return bit_of(line_hash(doc, line))
+
+
+def doubtful(lines: DataFrame, gone: DataFrame, table) -> DataFrame:
+    """(doc, line) of the lines that a bit table of gone takes for its own though they are not."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(held(table.value, line_hash(*[c.to_numpy(zero_copy_only=False) for c in b.columns]))))
+
+    return lines.select("doc", "line").mapInArrow(run, "doc long, line int").join(gone, ["doc", "line"], "left_anti")
 
 
 def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -257,7 +287,7 @@ def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> D
                 row = np.repeat(np.arange(part.num_rows), counts)
                 number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
                 doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)[row]
-                hit = np.flatnonzero(held(table.value, mix(doc.view(np.uint64), 52) ^ number.astype(np.uint64)))
+                hit = np.flatnonzero(held(table.value, line_hash(doc, number)))
                 if not len(hit):
                     continue
                 words = pc.ascii_split_whitespace(per_text.flatten().take(pa.array(hit)))
@@ -304,16 +334,19 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     if threshold < 1:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         counts = rarity(surveyed)
-        prefixes = prefix_rows(docs, counts, threshold, id_col, text_col)
-        rows = candidates(prefixes.repartition(parts, "tok").sortWithinPartitions("tok", "doc", "line"), threshold)
-        rows = tables.keep(rows.join(found.select("doc", "line"), ["doc", "line"], "left_anti"))
-        met = rows.select("doc", "line", "to_doc", "to_line").distinct()
-        true = tables.keep(verified(met.where("to_doc is not null"), docs, tables, threshold, id_col, text_col))
-        left = tables.keep(rows.join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti").drop("to_doc", "to_line"))
+        share = spark.sparkContext.broadcast
+        gone = share(bit_table(found.select("doc", "line"), line_bit))
+        but = share(bit_table(doubtful(lines, found.select("doc", "line"), gone), line_bit))
+        prefixes = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but)
+        rows = tables.keep(candidates(prefixes.repartition(parts, "tok").sortWithinPartitions("tok", "doc", "line"), threshold))
+        met = rows.where("to_doc is not null").select("doc", "line", "to_doc", "to_line").distinct()
+        true = tables.keep(verified(tables.keep(met), docs, tables, threshold, id_col, text_col))
+        left = rows.where("more_to").select(*PREFIX_NAMES).distinct()
+        left = tables.keep(left.join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti"))
         found = found.unionByName(true)
         if not left.isEmpty():
-            tokens = spark.sparkContext.broadcast(bit_table(left.select("tok").distinct(), lambda tok: bit_of(tok.view(np.uint64))))
-            others = prefix_rows(docs, counts, threshold, id_col, text_col, tokens)
+            tokens = share(bit_table(left.select("tok").distinct(), lambda tok: bit_of(tok.view(np.uint64))))
+            others = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, tokens)
             again = left.alias("x").join(others.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")).distinct()
             again = tables.keep(again.join(met, ["doc", "line", "to_doc", "to_line"], "left_anti"))
             found = found.unionByName(verified(again, docs, tables, threshold, id_col, text_col))
