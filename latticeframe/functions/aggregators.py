@@ -126,9 +126,10 @@ def corr(x, y) -> Column:
     x, y = col(x).cast("double"), col(y).cast("double")
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    n, sx, sy = F.count(x), F.sum(x), F.sum(y)
-    top = n * F.sum(x * y) - sx * sy
-    under = F.sqrt(F.greatest(n * F.sum(x * x) - sx * sx, F.lit(0.0))) * F.sqrt(F.greatest(n * F.sum(y * y) - sy * sy, F.lit(0.0)))
+    total = lambda v: F.coalesce(F.sum(v), F.lit(0.0))
+    n, sx, sy = F.count(x), total(x), total(y)
+    top = n * total(x * y) - sx * sy
+    under = F.sqrt(F.greatest(n * total(x * x) - sx * sx, F.lit(0.0))) * F.sqrt(F.greatest(n * total(y * y) - sy * sy, F.lit(0.0)))
     return divide(top, under)
 
 
