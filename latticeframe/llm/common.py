@@ -86,29 +86,33 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return out
 
 
-TABLE_BITS = 27
+MOST_BITS = 27
 
 
-def bit_table(df: DataFrame, bits_of) -> np.ndarray:
-    """A bit table of fixed size with the places bits_of(columns as arrays) of all rows set: a filter that lets all of them through and few others."""
+def bit_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return mix(hashes, 51) >> np.uint64(64 - bits)
+
+
+def bit_table(df: DataFrame, hash_of) -> np.ndarray:
+    """A bit table with the places of hash_of(columns as arrays) of all rows set: a filter that lets all of them through and few others.
+
+    About 8 bits a row, at most 2 ** MOST_BITS bits, whatever the input.
+    """
+    bits = min(MOST_BITS, max(16, (8 * df.count()).bit_length()))
 
     def run(batches):
         for b in batches:
-            at = np.unique(bits_of(*[c.to_numpy(zero_copy_only=False) for c in b.columns]))
+            at = np.unique(bit_of(hash_of(*[c.to_numpy(zero_copy_only=False) for c in b.columns]), bits))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
 
     got = df.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def bit_of(hashes: np.ndarray) -> np.ndarray:
-    return mix(hashes, 51) >> np.uint64(64 - TABLE_BITS)
-
-
 def held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = bit_of(hashes)
+    at = bit_of(hashes, len(table).bit_length() + 5)
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 

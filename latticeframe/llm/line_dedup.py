@@ -18,10 +18,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Tables, bit_of, bit_table, held, mix, word_hashes
+from latticeframe.llm.common import Tables, bit_table, held, mix, word_hashes
 
 COUNT_BITS = 25
 BATCH_CHARS = 6_000_000
@@ -144,12 +145,12 @@ def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col
 
     Broadcast bit tables narrow them: lines in gone, unless in but, are left out; of tokens only those in tokens stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(zstandard.compress(counts.tobytes(), 1))  # of fixed size
     # a set of up to least - 1 tokens is similar to no other set
     least = int(np.ceil(threshold / (1 - threshold) - 1e-9))
 
     def run(batches):
-        counts = shared.value
+        counts = np.frombuffer(zstandard.decompress(shared.value), np.uint8)
         for b in batches:
             for part in slices(b, 1):
                 lines = Lines(part.column(1))
@@ -261,10 +262,6 @@ def line_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.int64).view(np.uint64), 52) ^ line.astype(np.uint64)
 
 
-def line_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return bit_of(line_hash(doc, line))
-
-
 def doubtful(lines: DataFrame, gone: DataFrame, table) -> DataFrame:
     """(doc, line) of the lines that a bit table of gone takes for its own though they are not."""
 
@@ -277,7 +274,7 @@ def doubtful(lines: DataFrame, gone: DataFrame, table) -> DataFrame:
 
 def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc, line, tokens) with the sorted token hashes of the lines in ends. A bit table lets few other lines out of the scan; the join that follows is exact."""
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(ends, line_bit))  # of fixed size
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ends, line_hash))  # of bounded size
 
     def run(batches):
         for b in batches:
@@ -335,8 +332,8 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         counts = rarity(surveyed)
         share = spark.sparkContext.broadcast
-        gone = share(bit_table(found.select("doc", "line"), line_bit))
-        but = share(bit_table(doubtful(lines, found.select("doc", "line"), gone), line_bit))
+        gone = share(bit_table(found.select("doc", "line"), line_hash))
+        but = share(bit_table(doubtful(lines, found.select("doc", "line"), gone), line_hash))
         prefixes = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but)
         rows = tables.keep(candidates(prefixes.repartition(parts, "tok").sortWithinPartitions("tok", "doc", "line"), threshold))
         met = rows.where("to_doc is not null").select("doc", "line", "to_doc", "to_line").distinct()
@@ -345,7 +342,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
         left = tables.keep(left.join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti"))
         found = found.unionByName(true)
         if not left.isEmpty():
-            tokens = share(bit_table(left.select("tok").distinct(), lambda tok: bit_of(tok.view(np.uint64))))
+            tokens = share(bit_table(left.select("tok").distinct(), lambda tok: tok.view(np.uint64)))
             others = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, tokens)
             again = left.alias("x").join(others.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")).distinct()
             again = tables.keep(again.join(met, ["doc", "line", "to_doc", "to_line"], "left_anti"))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Tables, bit_of, bit_table, components, held, mix, word_hashes
+from latticeframe.llm.common import Tables, bit_table, components, held, mix, word_hashes
 from latticeframe.llm.line_dedup import slices
 
 COORDINATES = 64
@@ -292,7 +292,7 @@ def verify(tasks: DataFrame, threshold: float, n: int) -> DataFrame:
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (rep, text) of the documents with ids in ids, and of few others, which a bit table lets out of the scan; the join that follows is exact."""
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, lambda rep: bit_of(rep.view(np.uint64))))  # of fixed size
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, lambda rep: rep.view(np.uint64)))  # of bounded size
 
     def run(batches):
         for b in batches:
