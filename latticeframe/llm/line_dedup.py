@@ -195,10 +195,11 @@ def passes_sql(threshold: float) -> str:
     )
 
 
-def meet(columns: dict[str, np.ndarray], known: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def meet(columns: dict[str, np.ndarray], known: int, threshold: float, cut: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """For rows by token and position: of the earlier rows of its token that pass, the NEAREST ones by bitmap, or -1; and whether there may be more.
 
-    Rows before known are only candidates. A row meets the first GROUP_ROWS rows of its token.
+    Rows before known are only candidates; cut: between them and the next row, earlier rows of their token are left out.
+    A row meets the first GROUP_ROWS rows of its token.
     """
     tok, n, at = columns["tok"], columns["n"].astype(np.int64), columns["at"].astype(np.int64)
     bits, more = columns["bits"].view(np.uint64), columns["more"].view(np.uint64)
@@ -222,7 +223,8 @@ def meet(columns: dict[str, np.ndarray], known: int, threshold: float) -> tuple[
             to, far = np.where(nearer, held_to, to), np.where(nearer, held_far, far)
         k += 1
         alive = alive[depth[alive] > k] if k < GROUP_ROWS else alive[:0]
-    return best, (passed > NEAREST) | (depth > GROUP_ROWS)
+    unmet = (depth > GROUP_ROWS) | (cut & (start == 0) & (rows >= known))
+    return best, (passed > NEAREST) | unmet
 
 
 def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
@@ -233,7 +235,7 @@ def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
     names = PREFIX_NAMES
 
     def run(batches):
-        last = None  # the first rows of the group that the last batch ended in
+        last, cut = None, False  # the first rows of the group that the last batch ended in, and whether it had more
         for b in batches:
             now = {k: b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
             known = 0
@@ -242,13 +244,14 @@ def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
                 now = {k: np.concatenate([last[k], now[k]]) for k in names}
             if not len(now["tok"]):
                 continue
-            best, part = meet(now, known, threshold)
+            best, part = meet(now, known, threshold, cut and known > 0)
             for slot in range(NEAREST):
                 some = np.flatnonzero((best[:, slot] >= 0) | (part if slot == 0 else False))
                 to = best[some, slot]
                 ends = [pa.array(now["doc"][to], mask=to < 0), pa.array(now["line"][to], mask=to < 0), pa.array(part[some])]
                 yield pa.RecordBatch.from_arrays([*[pa.array(now[c][some]) for c in names], *ends], [*names, "to_doc", "to_line", "more_to"])
             low = int(np.searchsorted(now["tok"], now["tok"][-1]))
+            cut = len(now["tok"]) - low > GROUP_ROWS or (cut and known > 0 and low == 0)
             last = {k: now[k][low : low + GROUP_ROWS] for k in names}
 
     return prefixes.mapInArrow(run, PREFIX + ", to_doc long, to_line int, more_to boolean")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,24 @@ def test_meets_across_batches(spark):
         assert {(r["doc_id"], r["line"]) for r in got.collect()} == {(i, 0) for i in range(1, 60)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+class Local:
+    """Hands back the function that would run on the executors."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("batch", [3, 4, 5, 7, 40])
+def test_rows_past_the_held_ones_of_a_long_group_are_flagged(monkeypatch, batch):
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", 4)
+    # two tokens of 40 and 9 rows; bits all differ, so that no row passes and only unmet rows are flagged
+    n = 49
+    columns = {"tok": [1] * 40 + [2] * 9, "doc": range(n), "line": [0] * n, "n": [5] * n, "at": [0] * n, "bits": [3 << 2 * (i % 31) for i in range(n)], "more": [3 << 2 * (i // 31) for i in range(n)]}
+    types = dict(part.split() for part in line_dedup.PREFIX.split(", "))
+    rows = pa.table({c: pa.array(list(v), {"long": pa.int64(), "int": pa.int32()}[types[c]]) for c, v in columns.items()})
+    run = line_dedup.candidates(Local(), 0.8)
+    got = pa.Table.from_batches(run(iter(rows.to_batches(max_chunksize=batch)))).to_pylist()
+    assert all(r["to_doc"] is None for r in got)
+    assert [r["doc"] for r in got if r["more_to"]] == [*range(5, 40), *range(45, n)]
