@@ -5,7 +5,8 @@
 2. In each run sets fall into a tree of buckets: a node picks one or two signature coordinates (1 / threshold of them
    on average), and a child holds the sets that agree there. A bucket of one ends; small buckets are compared pair by
    pair on the sketches, with a bound that similar sets fail with negligible probability; large ones split again. Runs
-   repeat until a pair at the threshold is met with the target recall. What is met joins candidate clusters.
+   repeat until a pair at the threshold is met with the target recall, and for sets in buckets that split further until
+   it is for the deepest level that they reached. What is met joins candidate clusters.
 3. Inside a cluster all pairs are verified on the full sets, block by block, so that links are exact and a pair that
    no bucket held is still found if other pairs connect its cluster. Verified links give classes and link counts.
 """
@@ -39,10 +40,26 @@ def second(threshold: float) -> float:
 
 
 def runs_for(threshold: float, target: float, levels: int = 2) -> int:
-    """Runs after which a pair at the threshold, met after so many levels, has been met with the target probability."""
-    q = second(threshold)
-    met = ((1 - q) * threshold + q * (1 - (1 - threshold) ** 2)) ** levels
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - met))) if met < 1 else 1
+    """Runs after which a pair at the threshold has been met after so many levels with the target probability.
+
+    Runs share the coordinates, of which a pair agrees in a binomial number; given that number runs are independent.
+    """
+    q, k = second(threshold), np.arange(COORDINATES + 1)
+    share = np.array([math.comb(COORDINATES, int(i)) * threshold ** int(i) * (1 - threshold) ** int(COORDINATES - i) for i in k])
+    met = np.ones(len(k))  # by the number of equal coordinates, the probability that a run holds the pair together
+    for _ in range(levels):
+        lost = 1 - k / COORDINATES * met
+        met = 1 - ((1 - q) * lost + q * lost**2)
+    enough = lambda runs: share @ (1 - met) ** runs <= 1 - target
+    if share[0] > 1 - target:
+        raise ValueError(f"a recall of {target} at the threshold {threshold} needs more than {COORDINATES} coordinates")
+    high = 1
+    while not enough(high):
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        low, high = (low, (low + high) // 2) if enough((low + high) // 2) else ((low + high) // 2, high)
+    return high
 
 
 def sketch_bound(threshold: float) -> int:
@@ -128,8 +145,8 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
 ROWS = "bucket long, rep long, s1 long, s2 long"
 
 
-def children(nodes: DataFrame, threshold: float, runs: int | None = None) -> DataFrame:
-    """Rows ROWS of the child buckets of nodes (path, rep, coordinates, s1, s2); with runs, of that many roots, whose paths are the runs' numbers."""
+def children(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Rows ROWS of the child buckets of nodes (path, rep, coordinates, s1, s2), or of the roots of the runs from low up to high of rows (low, high, rep, coordinates, s1, s2); a root's path is its run's number."""
     share = np.uint64(int(second(threshold) * (2**32 - 1)))
 
     def run(batches):
@@ -137,18 +154,22 @@ def children(nodes: DataFrame, threshold: float, runs: int | None = None) -> Dat
             if not b.num_rows:
                 continue
             sig = np.frombuffer(b"".join(b.column("coordinates").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            rows = np.arange(b.num_rows)
-            paths = [np.full(b.num_rows, r, np.uint64) for r in range(runs)] if runs else [b.column("path").to_numpy().view(np.uint64)]
-            for path in paths:
+            if "path" in b.schema.names:
+                paths = [(b.column("path").to_numpy().view(np.uint64), np.arange(b.num_rows))]
+            else:
+                low, high = b.column("low").to_numpy(), b.column("high").to_numpy()
+                roots = ((r, np.flatnonzero((low <= r) & (r < high))) for r in range(low.min(), high.max()))
+                paths = ((np.full(len(rows), r, np.uint64), rows) for r, rows in roots)
+            for path, rows in paths:
                 pick = mix(path, 31)
                 one = (pick % np.uint64(COORDINATES)).astype(np.int64)
                 two = (one + 1 + ((pick >> np.uint64(8)) % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-                for chosen, who in ((one, rows), (two, rows[(pick >> np.uint64(32)) < share])):
+                for chosen, who in ((one, np.arange(len(rows))), (two, np.flatnonzero((pick >> np.uint64(32)) < share))):
                     if len(who):
                         at = chosen[who]
                         with np.errstate(over="ignore"):
-                            bucket = mix(mix(path[who], 32) + mix(sig[who, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32)), 33), 34)
-                        index = pa.array(who)
+                            bucket = mix(mix(path[who], 32) + mix(sig[rows[who], at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32)), 33), 34)
+                        index = pa.array(rows[who])
                         yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), *[b.column(c).take(index) for c in ("rep", "s1", "s2")]], ["bucket", "rep", "s1", "s2"])
 
     return nodes.mapInArrow(run, ROWS)
@@ -209,12 +230,13 @@ def brute(small: DataFrame, bound: int) -> DataFrame:
     return small.mapInArrow(run, "a long, b long")
 
 
-def candidate_edges(reps: DataFrame, tables: Tables, threshold: float, runs: int, partitions: int) -> DataFrame:
-    """Edges between sets that some bucket of some run held together."""
-    rows, edges = children(reps, threshold, runs), None
-    sketches = reps.select("rep", "coordinates")
+def walk(roots: DataFrame, sketches: DataFrame, tables: Tables, threshold: float, partitions: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges between sets that some bucket of the runs of roots held together, and rows (rep, level) of sets in buckets that split more than twice: the levels after which a bucket of theirs ended."""
+    rows, edges, deep, above = children(roots, threshold), None, None, None
     for depth in range(DEPTH):
         rows = tables.keep(rows)
+        if above is not None:
+            tables.drop(above)
         counts = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
         shared = tables.keep(rows.join(counts, "bucket"))
         tables.drop(rows)
@@ -228,8 +250,33 @@ def candidate_edges(reps: DataFrame, tables: Tables, threshold: float, runs: int
         found = tables.keep(found.distinct())
         edges = found if edges is None else edges.unionByName(found)
         if last or large.isEmpty():
+            tables.drop(shared)
+            return edges, deep
+        if depth:
+            here = tables.keep(large.select("rep", F.lit(depth + 2).alias("level")).distinct())
+            deep = here if deep is None else deep.unionByName(here)
+        rows, above = children(large.select(F.col("bucket").alias("path"), "rep", "s1", "s2").join(sketches, "rep"), threshold), shared
+
+
+def candidate_edges(reps: DataFrame, tables: Tables, threshold: float, recall: float, partitions: int) -> DataFrame:
+    """Edges between sets that some bucket of some run held together: each pair at the threshold with the probability recall.
+
+    All sets go through the runs for two levels. Those in buckets that split further go through more, until there are
+    enough for the deepest level that they reached.
+    """
+    sketches, edges = reps.select("rep", "coordinates"), None
+    now = reps.select("rep", "coordinates", "s1", "s2", F.lit(0).alias("low"), F.lit(runs_for(threshold, recall)).alias("high"))
+    while True:
+        found, deep = walk(now, sketches, tables, threshold, partitions)
+        edges = found if edges is None else edges.unionByName(found)
+        if deep is None:
+            return edges
+        deepest = deep.groupBy("rep").agg(F.max("level").alias("level"))
+        levels = [r["level"] for r in deepest.select("level").distinct().collect()]  # DEPTH of them at most
+        wanted = F.coalesce(*[F.when(F.col("level") == n, runs_for(threshold, recall, n)) for n in levels])
+        now = tables.keep(now.join(deepest, "rep").select("rep", "coordinates", "s1", "s2", F.col("high").alias("low"), wanted.alias("high")).where("high > low"))
+        if now.isEmpty():
             return edges
-        rows = children(large.select(F.col("bucket").alias("path"), "rep", "s1", "s2").join(sketches, "rep"), threshold)
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -318,7 +365,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     of = tables.keep(one.join(groups, ["h1", "h2", "size"], "left").select("doc", "h1", F.coalesce("rep", "doc").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"), (F.col("size") > 0).alias("full")))
     heads = of.where("doc = rep and full").select("rep", "h1", "weight")
     reps = sets.withColumnRenamed("doc", "rep").join(heads, ["rep", "h1"], "left_semi").dropDuplicates(["rep"])
-    edges = candidate_edges(tables.keep(reps.select("rep", "coordinates", "s1", "s2")), tables, threshold, runs_for(threshold, recall), partitions)
+    edges = candidate_edges(tables.keep(reps.select("rep", "coordinates", "s1", "s2")), tables, threshold, recall, partitions)
     clusters = tables.keep(components(edges, tables))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("c"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")

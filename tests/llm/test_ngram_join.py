@@ -108,3 +108,24 @@ def test_components(spark):
         x, y = sorted((top(a), top(b)))
         parent[y] = x
     assert got == {n: top(n) for n in {v for e in edges if e[0] != e[1] for v in e}}
+
+
+def test_recall_holds_in_hot_buckets_that_split_often(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET", 8)
+    rng = np.random.default_rng(7)
+    pairs, width = 300, ngram_join.COORDINATES
+    passage = rng.integers(0, 2**32, width, dtype=np.uint32)  # all sets agree with it in about 0.6 of the coordinates
+    rows = []
+    for i in range(pairs):
+        a = np.where(rng.random(width) < 0.78, passage, rng.integers(0, 2**32, width, dtype=np.uint32))
+        b = np.where(rng.random(width) < 0.8, a, rng.integers(0, 2**32, width, dtype=np.uint32))  # Jaccard 0.8
+        s1, s2 = (int(x) for x in rng.integers(-(2**63), 2**63, 2))
+        rows += [(2 * i, bytearray(a.tobytes()), s1, s2), (2 * i + 1, bytearray(b.tobytes()), s1, s2)]
+    tables = common.Tables(spark)
+    reps = tables.keep(spark.createDataFrame(rows, "rep long, coordinates binary, s1 long, s2 long"))
+    _, deep = ngram_join.walk(reps.select("*", F.lit(0).alias("low"), F.lit(10).alias("high")), reps.select("rep", "coordinates"), tables, 0.8, 4)
+    assert deep.agg(F.max("level")).first()[0] > 5
+    edges = ngram_join.candidate_edges(reps, tables, 0.8, 0.99999, 4)
+    of = {r["node"]: r["component"] for r in common.components(edges, tables).collect()}
+    assert [i for i in range(pairs) if of.get(2 * i, -1) != of.get(2 * i + 1, -2)] == []
+    assert ngram_join.runs_for(0.8, 0.99999, 6) > 3 * ngram_join.runs_for(0.8, 0.99999, 2)
