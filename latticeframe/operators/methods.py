@@ -202,26 +202,30 @@ def identity_by_descent(matrix: MatrixTable, gt: str = "GT", bounded: bool = Tru
 def maximal_independent_set(edges: DataFrame, i: str = "i", j: str = "j", keep: bool = True, max_rounds: int = 200) -> DataFrame:
     """Nodes of a maximal set without edges between them, or with keep=False the others.
 
-    In rounds: every node whose (degree, node) is the smallest among its neighbours is chosen, and it and its
-    neighbours leave the graph. Each round is two joins and is written out.
+    In rounds, until no edge is left: every node whose (degree, hash, node) is the smallest among its neighbours is
+    chosen, and it and its neighbours leave the graph. The hash lets long chains of equal degrees settle in few rounds.
+    Each round is two joins and is written out. Edges left after max_rounds raise an error.
     """
     from latticeframe.plans.materialize import materialize
 
     both = edges.select(F.col(i).alias("a"), F.col(j).alias("b")).where("a <> b")
     both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     nodes = edges.select(F.col(i).alias("node")).unionByName(edges.select(F.col(j).alias("node"))).distinct()
+    rank = F.struct(F.col("d"), F.xxhash64("a").alias("h"), F.col("a"))
     chosen = None
     left = both
     for _ in range(max_rounds):
         degree = left.groupBy("a").agg(F.count("*").alias("d"))
-        ranked = left.join(degree, "a").select(F.col("b"), F.struct(F.col("d"), F.col("a")).alias("r"))
+        ranked = left.join(degree, "a").select(F.col("b"), rank.alias("r"))
         least = ranked.groupBy("b").agg(F.min("r").alias("m")).withColumnRenamed("b", "a")
-        won = materialize(degree.join(least, "a").where(F.struct("d", "a") < F.col("m")).select(F.col("a").alias("node")))
+        won = materialize(degree.join(least, "a").where(rank < F.col("m")).select(F.col("a").alias("node")))
         chosen = won if chosen is None else chosen.unionByName(won)
         gone = won.unionByName(left.join(won.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"))).distinct()
         left = materialize(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
         if left.isEmpty():
             break
+    else:
+        raise RuntimeError(f"edges are left after {max_rounds} rounds")
     touched = both.select(F.col("a").alias("node")).distinct()
     kept = nodes.join(touched, "node", "left_anti").unionByName(nodes.join(touched, "node", "left_semi").join(chosen, "node", "left_semi"))
     # nodes whose neighbours all left unchosen are chosen too

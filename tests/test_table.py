@@ -198,3 +198,13 @@ def test_maximal_independent_set(spark):
     got = {r[0] for r in methods.maximal_independent_set(spark.createDataFrame(e, "i int, j int")).collect()}
     assert not any(a in got and b in got for a, b in e if a != b)
     assert all(n in got or any(x in got for p in e if n in p for x in p if x != n) for n in range(8))
+
+
+def test_independent_set_of_a_long_chain(spark):
+    n = 2000
+    e = spark.range(n - 1).selectExpr("id as i", "id + 1 as j")
+    got = {r[0] for r in methods.maximal_independent_set(e, max_rounds=30).collect()}
+    assert not any(k + 1 in got for k in got)
+    assert all({k - 1, k, k + 1} & got for k in range(n))
+    with pytest.raises(RuntimeError):
+        methods.maximal_independent_set(e, max_rounds=1)
