@@ -76,9 +76,11 @@ REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh["'\s/>])[^>]*\
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (url, target) from the canonical links and refresh redirects in pages' html; relative targets are resolved."""
     html, url = F.col(html_col), F.col(url_col)
-    canonical = F.when(html.contains("canonical") | html.contains("CANONICAL"), F.concat(*[F.regexp_extract(html, CANONICAL, k) for k in (1, 2, 3)]))
-    refresh = F.when(F.lower(html).contains("http-equiv"), F.regexp_extract(html, REFRESH, 1))
-    found = pages.select(url.alias("url"), F.explode(F.array(canonical, refresh)).alias("href")).where("href <> '' and instr(url, '://') > 0")
+    every = lambda pattern, k: F.regexp_extract_all(html, F.lit(pattern), F.lit(k))
+    canonical = F.when(F.lower(html).contains("canonical"), F.concat(*[every(CANONICAL, k) for k in (1, 2, 3)]))
+    refresh = F.when(F.lower(html).contains("http-equiv"), every(REFRESH, 1))
+    none = F.array().cast("array<string>")
+    found = pages.select(url.alias("url"), F.explode(F.concat(F.coalesce(canonical, none), F.coalesce(refresh, none))).alias("href")).where("href <> '' and instr(url, '://') > 0")
     scheme, base = F.substring_index("url", "://", 1), F.concat(F.substring_index("url", "://", 1), F.lit("://"), F.regexp_extract(after_scheme(F.col("url")), "^[^/?#]*", 0))
     href, folder = F.trim("href"), F.regexp_replace(path_of(F.col("url")), "[^/]*$", "")
     target = (

@@ -211,3 +211,12 @@ def test_mixing_edge_cases(spark):
 @pytest.mark.parametrize("text", ["", "one", " two  words\n", "a\tb\r\nc"])
 def test_words_are_counted(spark, text):
     assert spark.createDataFrame([(text,)], "t string").select(mixing.tokens_of(F.col("t"))).first()[0] == len(text.split())
+
+
+def test_every_link_of_a_page_counts_in_any_case(spark):
+    from latticeframe.llm.urls import link_edges
+
+    link, meta = '<link rel="Canonical" href="/%s">', '<meta http-equiv="Refresh" content="0; url=/%s">'
+    rows = [("http://a.fr/x", link % "c1" + meta % "r1" + "<link href='/c2' rel=canonical>" + meta % "r2"), ("http://b.fr/y", link % "c"), ("http://c.fr/z", None), ("http://d.fr/z", "<p>no link</p>")]
+    got = sorted(tuple(r) for r in link_edges(spark.createDataFrame(rows, "url string, html string")).collect())
+    assert got == [*[("http://a.fr/x", f"http://a.fr/{x}") for x in ("c1", "c2", "r1", "r2")], ("http://b.fr/y", "http://b.fr/c")]
