@@ -1,12 +1,15 @@
-"""What the operators share: shared-folder tables, column checks, word hashing and connected components."""
+"""What the operators share: shared-folder tables, slices of bounded size, word hashing and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,35 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+SLICE_BYTES = 2_000_000
+
+
+def slices(batches, column: int, size: int = SLICE_BYTES):
+    """Batches in parts whose values of a string, binary or list column take about so many bytes or items, at least a row each.
+
+    Memory then follows the size and not the rows of an Arrow batch. Workers are reused by later operators, so freed memory goes back to the system at the end.
+    """
+    for b in batches:
+        values = b.column(column)
+        lengths = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes, low = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while low < b.num_rows:
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + size, "right")))
+            yield b.slice(low, high - low)
+            low = high
+    hand_back()
+
+
+def hand_back() -> None:
+    """Freed memory of this process goes back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 class Codes(dict):
     """Numbers words in order of first use."""
 

@@ -21,8 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Tables, bit_table, components, held, mix, word_hashes
-from latticeframe.llm.line_dedup import slices
+from latticeframe.llm.common import Tables, bit_table, components, held, mix, slices, word_hashes
 
 COORDINATES = 64
 SKETCH = 128
@@ -120,24 +119,23 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
     """Rows (doc, h1, h2, size, coordinates binary, s1, s2); size 0 and nulls for a text without words."""
 
     def run(batches):
-        for b in batches:
-            for part in slices(b, 1):
-                sets = Shingles(part.column(1), n)
-                keys, coordinates, sketches = [], [], []
-                for i in range(part.num_rows):
-                    hashes = sets.of(i)
-                    if len(hashes):
-                        m = mix(signature(hashes), 5)
-                        coordinates.append((m[:COORDINATES] >> np.uint64(32)).astype(np.uint32).tobytes())
-                        sketches.append(np.packbits((m & np.uint64(1)).astype(bool)).view(np.int64))
-                        keys.append(set_key(hashes))
-                    else:
-                        coordinates.append(None)
-                        sketches.append((0, 0))
-                        keys.append((0, 0))
-                keys, sketches = np.array(keys, np.int64).reshape(-1, 2), np.array(sketches, np.int64).reshape(-1, 2)
-                arrays = [part.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.diff(sets.ends)), pa.array(coordinates, pa.binary()), pa.array(sketches[:, 0]), pa.array(sketches[:, 1])]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc", "h1", "h2", "size", "coordinates", "s1", "s2"])
+        for part in slices(batches, 1):
+            sets = Shingles(part.column(1), n)
+            keys, coordinates, sketches = [], [], []
+            for i in range(part.num_rows):
+                hashes = sets.of(i)
+                if len(hashes):
+                    m = mix(signature(hashes), 5)
+                    coordinates.append((m[:COORDINATES] >> np.uint64(32)).astype(np.uint32).tobytes())
+                    sketches.append(np.packbits((m & np.uint64(1)).astype(bool)).view(np.int64))
+                    keys.append(set_key(hashes))
+                else:
+                    coordinates.append(None)
+                    sketches.append((0, 0))
+                    keys.append((0, 0))
+            keys, sketches = np.array(keys, np.int64).reshape(-1, 2), np.array(sketches, np.int64).reshape(-1, 2)
+            arrays = [part.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.diff(sets.ends)), pa.array(coordinates, pa.binary()), pa.array(sketches[:, 0]), pa.array(sketches[:, 1])]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "h1", "h2", "size", "coordinates", "s1", "s2"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).where("doc is not null").mapInArrow(run, "doc long, h1 long, h2 long, size long, coordinates binary, s1 long, s2 long")
 

@@ -10,18 +10,22 @@ from __future__ import annotations
 
 import codecs
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Codes, mix
+from latticeframe.llm.common import Codes, mix, slices
 from latticeframe.llm.pieces import DEFAULT_MODEL, SPACE, load
 
 BASE = np.uint64(0x100000001B3)
-BATCH_CHARS = 12_000_000
-PROBES = 1_500_000
+PROBES = 300_000
+KEPT_WORDS = 150_000
+KEPT_LENGTH = 40
+SLICE_IDS = 500_000
 
 codecs.register_error("latticeframe-each", lambda e: ("�", e.start + 1))
 
@@ -44,6 +48,11 @@ class Encoder:
         self.ids = np.array([p.normal[s][0] for s in surfaces], np.int32)[order]
         self.scores = np.array([p.normal[s][1] for s in surfaces])[order]
         assert len(np.unique(self.keys)) == len(self.keys), "piece hashes clash"
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table of words met before: their numbers, and of each the ids as flat[offsets[n]:offsets[n + 1]]."""
+        self.known, self.flat, self.offsets = Codes(), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def equal(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of words of one length, chars (n, length): (n, length + 1) backpointers as starts and ids; an unknown character has the id -1."""
@@ -125,17 +134,25 @@ class Encoder:
         return flat, offsets
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and where each text's begin (one more entry at the end)."""
-        codes, counts, segments, numbered = Codes(), [], [], []
+        """Ids of all texts, one after another, and where each text's begin (one more entry at the end).
+
+        Words stay known from call to call; the table starts anew once it has KEPT_WORDS words or some word is very long.
+        """
+        counts, numbered, number = [], [], self.known.__getitem__
         for t in texts:
             words = self.pieces.segments(t) if t else []
             counts.append(len(words))
-            numbered.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))
+            numbered.append(np.fromiter(map(number, words), np.int32, len(words)))
         segments = np.concatenate(numbered) if numbered else np.zeros(0, np.int32)
-        flat, offsets = self.words(list(codes))
-        lengths = np.diff(offsets)[segments]
+        new = list(islice(self.known, len(self.offsets) - 1, None))
+        if new:
+            flat, offsets = self.words(new)
+            self.flat, self.offsets = np.concatenate([self.flat, flat]), np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+        lengths = np.diff(self.offsets)[segments]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = flat[np.repeat(offsets[segments] - ends[:-1], lengths) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(self.offsets[segments] - ends[:-1], lengths) + np.arange(ends[-1])]
+        if len(self.known) > KEPT_WORDS or len(self.flat) > KEPT_WORDS * KEPT_LENGTH:
+            self.forget()
         return ids, ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
 
@@ -145,26 +162,40 @@ def encoder(path: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def id_bytes(path: str) -> list[bytes]:
+def id_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids, one after another, and where each id's begin; the last entry, for what is no id, is empty."""
     p = load(path)
-    return [b"" if i in p.control else " ⁇ ".encode() if i == p.unknown else bytes([p.byte_of[i]]) if i in p.byte_of else s.replace(SPACE, " ").encode() for i, s in enumerate(p.surface)]
-
-
-def decode_ids(ids, table: list[bytes]) -> str:
-    """The text of ids: pieces joined, one leading space (the encoder's) taken off; each byte that is not UTF-8 becomes U+FFFD."""
-    raw = b"".join([table[i] for i in ids if i is not None and 0 <= i < len(table)])
-    raw = raw[1:] if raw[:1] == b" " else raw
+    each = [b"" if i in p.control else " ⁇ ".encode() if i == p.unknown else bytes([p.byte_of[i]]) if i in p.byte_of else s.replace(SPACE, " ").encode() for i, s in enumerate(p.surface)]
+    return np.frombuffer(b"".join(each), np.uint8), np.cumsum([0, *map(len, each), 0])
+
+
+def decode_ids(ids: np.ndarray, ends: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """Texts of the ids, text i's being ids[ends[i]:ends[i + 1]]: pieces joined, one leading space (the encoder's) taken off; each byte that is not UTF-8 becomes U+FFFD."""
+    data, starts = table
+    none = len(starts) - 2
+    ids = np.where((ids >= 0) & (ids < none), ids, none)
+    lengths = np.diff(starts)[ids]
+    after = np.concatenate([[0], np.cumsum(lengths)])
+    raw = data[np.repeat(starts[ids] - after[:-1], lengths) + np.arange(after[-1])]
+    cuts = after[ends]
+    led = np.flatnonzero(np.diff(cuts) > 0)
+    led = led[raw[cuts[led]] == 32]
+    raw = np.delete(raw, cuts[led])
+    cuts[1:] -= np.cumsum(np.bincount(led, minlength=len(cuts) - 1))
+    joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
     try:
-        return raw.decode()
-    except UnicodeDecodeError:
-        return raw.decode("utf-8", "latticeframe-each")
+        return joined.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "latticeframe-each") for x in joined.to_pylist()], pa.string())
 
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the column ids_col, array<int> of the text's token ids; a column of that name is replaced.
 
     Every row keeps its place and its other columns, repeated rows included; there is no shuffle. A null text has null
-    ids, an empty text an empty array. Characters that no piece covers become byte tokens. Ties go as pieces.py says.
+    ids, an empty text an empty array; an empty table gives no rows. Characters that no piece covers become byte tokens.
+    Ties go as pieces.py says: the file's scores are those of a unigram model, so a file trained as byte pairs gives
+    other ids than the library's merges, which decode to the same text.
     """
     rest = [c for c in docs.columns if c != ids_col]
     frame = docs.select(*[F.col(f"`{c}`") for c in rest])
@@ -173,24 +204,17 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text",
 
     def run(batches):
         enc = encoder(model)
-        for b in batches:
-            low = 0
-            sizes = np.cumsum(b.column(at).to_pandas().str.len().fillna(0).to_numpy())
-            while low < b.num_rows:  # slices of bounded size, at least one row each
-                done = sizes[low - 1] if low else 0
-                high = max(low + 1, int(np.searchsorted(sizes, done + BATCH_CHARS, "right")))
-                part = b.slice(low, high - low)
-                texts = part.column(at).to_pylist()
-                ids, ends = enc.texts(texts)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*rest, ids_col])
-                low = high
+        for part in slices(batches, at):
+            texts = part.column(at).to_pylist()
+            ids, ends = enc.texts(texts)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*rest, ids_col])
 
     return frame.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """docs with the column text_col, the text of the ids; a column of that name is replaced. Null ids give a null text, unknown ids and null entries nothing."""
+    """docs with the column text_col, the text of the ids; a column of that name is replaced. Null ids give a null text, unknown ids and null entries nothing; an empty table gives no rows."""
     rest = [c for c in docs.columns if c != text_col]
     frame = docs.select(*[F.col(f"`{c}`") for c in rest])
     at = rest.index(ids_col)
@@ -198,8 +222,12 @@ def decode(docs: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids", te
 
     def run(batches):
         table = id_bytes(model)
-        for b in batches:
-            texts = [None if ids is None else decode_ids(ids, table) for ids in (x.as_py() for x in b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*rest, text_col])
+        for part in slices(batches, at, SLICE_IDS):
+            lists = part.column(at)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            texts = decode_ids(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), table)
+            texts = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
+            yield pa.RecordBatch.from_arrays([*part.columns, texts], [*rest, text_col])
 
     return frame.mapInArrow(run, schema)

@@ -1,9 +1,8 @@
-"""Quality classifier: zstandard dictionaries of good and of bad labelled text, and a calibrated score.
+"""Quality classifier: zstandard dictionaries trained on good and on bad labelled text, and a calibrated score.
 
-Fitting takes a bounded, hash-ordered sample of labelled rows. Part of it becomes the two dictionaries, the rest
-calibrates. A text is cut into blocks that cover all of it; each block is compressed with either dictionary, and the
-normalised difference of the summed sizes, with the compressed size a byte (which tells endless repetition from
-prose), goes through a logistic calibration.
+Fitting takes a bounded, hash-ordered sample of labelled rows. Two of three texts of a class train its dictionary, the
+third calibrates. A text is cut into blocks that cover all of it; each block is compressed with either dictionary, and
+the normalised difference of the summed sizes becomes the score through a logistic calibration.
 """
 
 from __future__ import annotations
@@ -13,48 +12,48 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1024
-OVERHEAD = 8
+from latticeframe.llm.common import slices
+
+BLOCK = 8_192
+TAUGHT = 1_024  # bytes of a block that trains a dictionary
+PARTS = 30
 
 
 @dataclass(frozen=True)
 class Model:
+    """The two dictionaries, the compression level, and the calibration: score = logistic(weights[0] + weights[1] * difference)."""
+
     good: bytes
     bad: bytes
     level: int
-    weights: tuple[float, ...]
+    weights: tuple[float, float]
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=2)
 def compressors(good: bytes, bad: bytes, level: int):
-    import zstandard as z
-
-    return [z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False).compress for d in (good, bad)]
+    out = []
+    for content in (good, bad):
+        held = zstandard.ZstdCompressionDict(content)
+        held.precompute_compress(level)
+        out.append(zstandard.ZstdCompressor(dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+    return out
 
 
-def features(text: str, good: bytes, bad: bytes, level: int) -> tuple[float, float]:
-    """(bad size - good size) / (bad size + good size) and the log of compressed bytes a byte, over all blocks; zeros for an empty text."""
+def difference(text: str, good: bytes, bad: bytes, level: int) -> float:
+    """(bad size - good size) / (bad size + good size + 16), sizes summed over all blocks; 0 for an empty text."""
     raw = text.encode("utf-8", "surrogatepass")
-    if not raw:
-        return 0.0, 0.0
-    by_good, by_bad = compressors(good, bad, level)
-    g = b = 0
-    for low in range(0, len(raw), BLOCK):
-        block = raw[low : low + BLOCK]
-        g += len(by_good(block)) - OVERHEAD
-        b += len(by_bad(block)) - OVERHEAD
-    g, b = max(g, 1), max(b, 1)
-    return (b - g) / (b + g + 16), float(np.log((min(g, b) + 16) / (len(raw) + 16)))
+    blocks = [raw[low : low + BLOCK] for low in range(0, len(raw), BLOCK)]
+    g, b = (sum(len(compress(x)) for x in blocks) for compress in compressors(good, bad, level))
+    return (b - g) / (b + g + 16)
 
 
-def expand(x: np.ndarray) -> np.ndarray:
-    """Inputs of the logistic calibration."""
-    d, r = 10 * x[:, 0], x[:, 1]
-    low = np.maximum(-2.5 - r, 0)
-    return np.stack([np.ones(len(x)), d, d * np.abs(d), low, r], 1)
+def design(differences: list[float]) -> np.ndarray:
+    """Inputs of the calibration."""
+    return np.stack([np.ones(len(differences)), 10 * np.array(differences, float)], 1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 60) -> np.ndarray:
@@ -71,56 +70,69 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: in
     return w
 
 
-def cut_dictionary(texts: list[bytes], size: int) -> bytes:
-    """A raw dictionary: an equal slice from each text, so that all of them are in it."""
-    each = max(64, size // max(1, len(texts)))
-    return b"".join(t[:each] for t in texts)[-size:]
+def train_dictionary(texts: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary trained on all blocks of all texts; their bytes themselves where there are too few to train on."""
+    blocks = [t[low : low + TAUGHT] for t in texts for low in range(0, len(t), TAUGHT)]
+    total = sum(map(len, blocks))
+    try:
+        return zstandard.train_dictionary(min(size, max(1_024, total // 2)), blocks, k=512, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(blocks)[:size] or b"empty text"
 
 
-def learn(texts: list[str], quality: list[int], dictionary_bytes: int = 1 << 19, level: int = 3) -> Model:
-    """A model of texts in a fixed order; every third text of a class calibrates, the others build its dictionary. Without one of the classes the score is the other's share."""
+def learn(texts: list[str], quality: list[int], dictionary_bytes: int = 400 << 10, level: int = 3) -> Model:
+    """A model of texts in a fixed order; every third text of a class calibrates, the others train its dictionary. Without one of the classes the score is the other's share."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     y = np.array(quality, float)
     turn = np.zeros(len(y), int)
     for k in (0, 1):
         turn[y == k] = np.arange((y == k).sum()) % 3
     if not len(y) or y.min() == y.max():
-        return Model(b"good text", b"bad text", level, (30.0 if len(y) and y[0] == 1 else -30.0 if len(y) else 0.0, 0.0, 0.0, 0.0, 0.0))
-    dicts = [cut_dictionary([r for r, q, t in zip(raw, quality, turn, strict=True) if q == k and t < 2] or [b"empty text"], dictionary_bytes) for k in (1, 0)]
+        return Model(b"good text", b"bad text", level, (30.0 if len(y) and y[0] == 1 else -30.0 if len(y) else 0.0, 0.0))
+    dicts = [train_dictionary([r for r, q, t in zip(raw, quality, turn, strict=True) if q == k and t < 2], dictionary_bytes) for k in (1, 0)]
     held = np.flatnonzero(turn == 2)
     if len(set(y[held])) < 2:
         held = np.arange(len(y))
-    x = expand(np.array([features(texts[i], *dicts, level) for i in held]))
-    return Model(dicts[0], dicts[1], level, tuple(fit_logistic(x, y[held])))
+    weights = fit_logistic(design([difference(texts[i], *dicts, level) for i in held]), y[held])
+    return Model(dicts[0], dicts[1], level, tuple(weights))
+
+
+def spread(text: Column, most: int) -> Column:
+    """The text, or of a text of more than most characters PARTS pieces at equal distances, from its start to its end, of most characters together."""
+    piece = most // PARTS
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring(text, (F.lit(1) + F.floor(i * (F.length(text) - piece) / (PARTS - 1))).cast("int"), F.lit(piece)))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(pieces, ""))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int = 30_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on labelled rows whose crc32(id as text) mod 3 is not 1.
 
-    Of each class at most max_rows ids, those with the smallest hashes, and of these the texts of at most max_chars
-    characters: this bounds what reaches the driver. An id with several labels counts as good if any says so.
+    Of each class at most max_rows ids, those with the smallest hashes; a text of more than max_chars characters teaches
+    with pieces from all over it. This bounds what reaches the driver. An id with several labels counts as good if any
+    says so; of several texts of an id the smallest counts, a null text as empty. Without labelled rows every score is 0.5.
     """
     teach = labels.where(f"`{id_col}` is not null and quality in (0, 1) and crc32(cast(`{id_col}` as string)) % 3 <> 1").groupBy(id_col).agg(F.max("quality").cast("int").alias("quality"))
     picked = [r for k in (0, 1) for r in teach.where(F.col("quality") == k).orderBy(F.xxhash64(id_col), id_col).limit(max_rows).collect()]
     if not picked:
         return learn([], [])
     ids = docs.sparkSession.createDataFrame(picked, teach.schema)
-    rows = docs.select(id_col, text_col).where(F.length(text_col) <= max_chars).join(F.broadcast(ids), id_col)
-    rows = rows.groupBy(id_col).agg(F.max("quality").alias("quality"), F.min(text_col).alias("text")).orderBy(F.xxhash64(id_col, F.lit(1)), id_col).collect()
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), id_col)  # 2 * max_rows ids
+    rows = rows.groupBy(id_col).agg(F.max("quality").alias("quality"), F.min(spread(F.col("text"), max_chars)).alias("text")).orderBy(F.xxhash64(id_col, F.lit(1)), id_col).collect()
     return learn([r["text"] for r in rows], [r["quality"] for r in rows])
 
 
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
     if not texts:
         return np.zeros(0)
-    x = expand(np.array([features(t or "", model.good, model.bad, model.level) for t in texts]))
+    x = design([difference(t or "", model.good, model.bad, model.level) for t in texts])
     return 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
     """docs with score_col, the probability that a text is good, from the whole text alone; a column of that name is replaced.
 
-    Every row keeps its place and other columns; no shuffle. A null text counts as empty; an empty text gets the score of no evidence.
+    Every row keeps its place and other columns; no shuffle. A null text counts as empty; an empty text gets the score of
+    no evidence; an empty table gives no rows.
     """
     rest = [c for c in docs.columns if c != score_col]
     frame = docs.select(*[F.col(f"`{c}`") for c in rest])
@@ -128,7 +140,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", score_col: s
     schema = frame.withColumn(score_col, F.lit(0.0)).schema
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(b.column(at).to_pylist(), model), pa.float64())], [*rest, score_col])
+        for part in slices(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(part.column(at).to_pylist(), model), pa.float64())], [*rest, score_col])
 
     return frame.mapInArrow(run, schema)

@@ -12,9 +12,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from latticeframe.llm.common import slices
 from latticeframe.llm.pieces import DEFAULT_MODEL, load
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 KEPT_LENGTH = 40
 
 
@@ -76,14 +77,15 @@ def token_counts(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc
     """Rows (id, n_tokens long, n_pieces long), one for each row of docs, repeated rows included; no shuffle.
 
     A null or empty text has 0 tokens; a null id stays null. Other columns are not read, so their names cannot clash.
-    Ties between segmentations go as pieces.py says. An empty table gives no rows.
+    Ties between segmentations go as pieces.py says. An empty table gives no rows. The file's scores are read as a
+    unigram model's: counts of a file trained as byte pairs are not those of the library's merges.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         count = counter(model).text
-        for b in batches:
-            got = [count(t) if t else (0, 0) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[1] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.int64())], [id_col, "n_tokens", "n_pieces"])
+        for part in slices(batches, 1):
+            got = [count(t) if t else (0, 0) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[1] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.int64())], [id_col, "n_tokens", "n_pieces"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_pieces long")

@@ -153,6 +153,31 @@ def test_quality_learns_from_nothing_else(spark):
     assert quality.fit(docs, labels) == quality.fit(docs, flipped)
 
 
+def test_scores_against_compression_by_hand(spark):
+    import zstandard as z
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def size(raw, content):
+        return len(z.ZstdCompressor(level=model.level, dict_data=z.ZstdCompressionDict(content), write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw))
+
+    got = quality.classify(docs, model).collect()
+    for r in got[::40]:
+        raw = r["text"].encode()
+        g, b = (sum(size(raw[i : i + 8192], c) for i in range(0, len(raw), 8192)) for c in (model.good, model.bad))
+        assert np.isclose(r["quality_score"], 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * 10 * (b - g) / (b + g + 16)))))
+
+
+def test_long_texts_teach_with_all_their_parts(spark):
+    text = "".join(f"{i:05d}" for i in range(20_000))
+    got = spark.createDataFrame([(text,), ("short",)], "t string").select(quality.spread(F.col("t"), 3_000)).collect()
+    assert got[1][0] == "short"
+    assert len(got[0][0]) == 3_000
+    assert got[0][0].startswith("00000") and got[0][0].endswith("19999")
+    assert all(got[0][0][k * 100 : k * 100 + 100] in text for k in range(30))
+
+
 def test_quality_edge_cases(spark):
     model = quality.learn(["good words in a row " * 9, "bad*** words%%% " * 9] * 20, [1, 0] * 20)
     df = spark.createDataFrame([(1, None), (None, ""), (2, "good words in a row"), (2, "good words in a row"), (3, "bad*** " * 50_000)], "doc_id long, text string").withColumn("quality_score", F.lit("clash"))
@@ -163,6 +188,7 @@ def test_quality_edge_cases(spark):
     assert got[-1]["quality_score"] < 0.5 < [r["quality_score"] for r in got if r["doc_id"] == 2][0]
     none = quality.fit(df.limit(0), spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.scores(["x"], none).tolist() == [0.5]
+    assert quality.classify(df.limit(0), model).count() == 0
     assert quality.scores(["x"], quality.learn(["a"], [1]))[0] > 0.99
 
 

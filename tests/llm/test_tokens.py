@@ -65,12 +65,14 @@ def test_against_the_library():
         p.score = max(p.score, -40_000.0)  # the library adds up in single precision, where scores of -1e9 drown all others
     library = SentencePieceProcessor(model_proto=model.SerializeToString())
     texts = [w.replace("🙂", "").replace("\n", "") or "a" for w in words(3000, 3)] + [" ".join(w.replace("🙂", "").replace("\n", "") for w in words(12, k)) for k in range(50)]
-    texts = [t for t in texts if "  " not in t and not t.startswith(" ") and not t.endswith(" ")]
+    texts += ["  two  spaces ", " led", "trailing   ", "a  b   c    d"]
     assert ids_of(texts) == library.encode(texts)
     original = SentencePieceProcessor(model_file=DEFAULT_MODEL)
     table = id_bytes(DEFAULT_MODEL)
-    for ids in [original.encode(t) for t in TEXTS] + [[1, 5, 2], [3, 200, 131, 100]]:
-        assert decode_ids(ids, table) == original.decode(ids)
+    lists = [original.encode(t) for t in TEXTS] + [[1, 5, 2], [3, 200, 131, 100]]
+    for some in (lists, lists[:-1]):
+        ends = np.cumsum([0, *map(len, some)])
+        assert decode_ids(np.array([i for ids in some for i in ids]), ends, table).to_pylist() == [original.decode(ids) for ids in some]
 
 
 def test_round_trip_and_edges(spark):
@@ -87,6 +89,24 @@ def test_round_trip_and_edges(spark):
     assert decode(spark.createDataFrame([([None, -5, 10**6],)], "ids array<int>")).first()["decoded"] == ""
 
 
+def test_table_of_known_words_starts_anew(monkeypatch):
+    from latticeframe.llm import piece_codec
+
+    monkeypatch.setattr(piece_codec, "KEPT_WORDS", 20)
+    texts = [" ".join(words(9, k % 5)) for k in range(15)]
+    assert [ids_of([t])[0] for t in texts] == [expected(t) for t in texts]
+    assert ids_of(texts) == [expected(t) for t in texts]
+
+
+def test_slices_of_one_row_give_the_same(spark, monkeypatch):
+    from latticeframe.llm import common
+
+    monkeypatch.setattr(common.slices, "__defaults__", (1,))
+    t = __import__("pyarrow").record_batch({"text": ["a b", None, "", "c" * 50], "ids": [[1], None, [], [2, 3]]})
+    assert [r for p in common.slices([t], 0) for r in p.to_pylist()] == t.to_pylist()
+    assert [r for p in common.slices([t], 1) for r in p.to_pylist()] == t.to_pylist()
+
+
 def test_words_of_one_length_do_not_mix():
     a = encoder(DEFAULT_MODEL)
     some = ["▁the", "▁of.", "▁qqq", "▁ééé"]
