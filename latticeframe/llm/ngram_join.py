@@ -4,9 +4,11 @@
    Texts of equal sets count as one from here on.
 2. In each run sets fall into a tree of buckets: a node picks one or two signature coordinates (1 / threshold of them
    on average), and a child holds the sets that agree there. A bucket of one ends; small buckets are compared pair by
-   pair on the sketches, with a bound that similar sets fail with negligible probability; large ones split again. Runs
-   repeat until a pair at the threshold is met with the target recall, and for sets in buckets that split further until
-   it is for the deepest level that they reached. What is met joins candidate clusters.
+   pair on the sketches, with a bound that similar sets fail with negligible probability. Sets of a large bucket are
+   compared with a few of them, its pivots; if that connects them all, as it does in a family of near copies, the bucket
+   ends too, else it splits again. Runs repeat until a pair at the threshold is met with the target recall, and for sets
+   in buckets that split further until it is for the deepest level that they reached; buckets whose sets earlier runs
+   have all connected end at once. What is met joins candidate clusters.
 3. Inside a cluster all pairs are verified on the full sets, block by block, so that links are exact and a pair that
    no bucket held is still found if other pairs connect its cluster. Verified links give classes and link counts.
 """
@@ -26,7 +28,10 @@ from latticeframe.llm.common import Tables, bit_table, components, held, mix, sl
 COORDINATES = 64
 SKETCH = 128
 BUCKET = 1_024
-BLOCK = 256
+PIVOTS = 8
+BLOCK = 1_024  # sets of a verification block, and shingles of all of them
+BLOCK_SHINGLES = 400_000
+WIDTH = 4_096
 DEPTH = 12
 with np.errstate(over="ignore"):
     MULTIPLIERS = mix(np.arange(SKETCH, dtype=np.uint64), 11) | np.uint64(1)
@@ -140,11 +145,14 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).where("doc is not null").mapInArrow(run, "doc long, h1 long, h2 long, size long, coordinates binary, s1 long, s2 long")
 
 
-ROWS = "bucket long, rep long, s1 long, s2 long"
+ROWS = "bucket long, rep long, comp long, s1 long, s2 long"
+
+
+NODE = ["rep", "comp", "s1", "s2"]
 
 
 def children(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Rows ROWS of the child buckets of nodes (path, rep, coordinates, s1, s2), or of the roots of the runs from low up to high of rows (low, high, rep, coordinates, s1, s2); a root's path is its run's number."""
+    """Rows ROWS of the child buckets of nodes (path, rep, comp, coordinates, s1, s2), or of the roots of the runs from low up to high of rows (low, high, rep, comp, coordinates, s1, s2); a root's path is its run's number."""
     share = np.uint64(int(second(threshold) * (2**32 - 1)))
 
     def run(batches):
@@ -168,7 +176,7 @@ def children(nodes: DataFrame, threshold: float) -> DataFrame:
                         with np.errstate(over="ignore"):
                             bucket = mix(mix(path[who], 32) + mix(sig[rows[who], at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32)), 33), 34)
                         index = pa.array(rows[who])
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), *[b.column(c).take(index) for c in ("rep", "s1", "s2")]], ["bucket", "rep", "s1", "s2"])
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), *[b.column(c).take(index) for c in NODE]], ["bucket", *NODE])
 
     return nodes.mapInArrow(run, ROWS)
 
@@ -228,42 +236,90 @@ def brute(small: DataFrame, bound: int) -> DataFrame:
     return small.mapInArrow(run, "a long, b long")
 
 
+def pivoted(large: DataFrame, bound: int) -> DataFrame:
+    """Rows (bucket, rep, comp, s1, s2, to) of large buckets: to lists the pivots that the set's sketch connects it with, each as the smallest pivot that sketches connect it with."""
+    slot = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("slot")
+    some = large.groupBy("bucket", slot).agg(F.min(F.struct("rep", "s1", "s2")).alias("p")).groupBy("bucket").agg(F.collect_list("p").alias("p"))  # PIVOTS of them at most
+    pivots = some.select("bucket", F.col("p.rep").alias("p"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2"))
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            width = pc.list_value_length(b.column("p")).to_numpy(zero_copy_only=False)
+            at, of = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width), np.repeat(np.arange(n), width)
+            sides = []
+            for name in ("p", "p1", "p2"):
+                wide = np.zeros((n, PIVOTS), np.int64)
+                wide[of, at] = b.column(name).flatten().to_numpy()
+                sides.append(wide)
+            p, p1, p2 = sides[0], sides[1].view(np.uint64), sides[2].view(np.uint64)
+            there = np.arange(PIVOTS) < width[:, None]
+            far = lambda x1, x2, k: np.bitwise_count(x1 ^ p1[:, k, None]).astype(np.int64) + np.bitwise_count(x2 ^ p2[:, k, None])
+            top = np.where(there, p, np.iinfo(np.int64).max)
+            for _ in range(PIVOTS):  # the smallest pivot passes along sketch links
+                for k in range(PIVOTS):
+                    near = (far(p1, p2, k) <= bound) & there & there[:, k, None]
+                    least = np.where(near, top, np.iinfo(np.int64).max).min(1)
+                    top = np.where(near, np.minimum(top, least[:, None]), top)
+            s1, s2 = (b.column(c).to_numpy().view(np.uint64)[:, None] for c in ("s1", "s2"))
+            met = np.concatenate([far(s1, s2, k) <= bound for k in range(PIVOTS)], 1) & there
+            tops = np.sort(np.where(met, top, np.iinfo(np.int64).max), 1)
+            new = (tops < np.iinfo(np.int64).max) & np.concatenate([np.ones((n, 1), bool), tops[:, 1:] != tops[:, :-1]], 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(1))]), pa.int32()), pa.array(tops[new]))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("bucket", *NODE)], lists], ["bucket", *NODE, "to"])
+
+    return large.select("bucket", *NODE).join(pivots, "bucket").mapInArrow(run, f"{ROWS}, to array<long>")
+
+
 def walk(roots: DataFrame, sketches: DataFrame, tables: Tables, threshold: float, partitions: int) -> tuple[DataFrame, DataFrame | None]:
     """Edges between sets that some bucket of the runs of roots held together, and rows (rep, level) of sets in buckets that split more than twice: the levels after which a bucket of theirs ended."""
-    rows, edges, deep, above = children(roots, threshold), None, None, None
+    rows, edges, deep, above, bound = children(roots, threshold), None, None, None, sketch_bound(threshold)
     for depth in range(DEPTH):
         rows = tables.keep(rows)
         if above is not None:
             tables.drop(above)
-        counts = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+        counts = rows.groupBy("bucket").agg(F.count("*").alias("c"), (F.min("comp") < F.max("comp")).alias("apart")).where("c > 1 and apart").drop("apart")
         shared = tables.keep(rows.join(counts, "bucket"))
         tables.drop(rows)
-        last = depth == DEPTH - 1
         small = shared.where(f"c <= {BUCKET}").select("bucket", "rep", "s1", "s2").repartition(partitions, "bucket").sortWithinPartitions("bucket", "rep")
-        found = brute(small, sketch_bound(threshold))
+        found = brute(small, bound)
         large = shared.where(f"c > {BUCKET}")
+        if large.isEmpty():
+            found = tables.keep(found.distinct())
+            tables.drop(shared)
+            return found if edges is None else edges.unionByName(found), deep
+        large = tables.keep(pivoted(large, bound))
+        linked = large.select(F.col("rep").alias("a"), F.explode("to").alias("b")).where("a <> b")
+        one = (F.size("to") == 1) & (F.element_at("to", 1) == F.col("least"))
+        least = large.groupBy("bucket").agg(F.min(F.try_element_at("to", F.lit(1))).alias("least"))
+        open_ = large.join(least, "bucket").groupBy("bucket").agg(F.min(F.coalesce(one, F.lit(False))).alias("done")).where("not done").select("bucket")
+        large = tables.keep(large.join(open_, "bucket", "left_semi").select("bucket", *NODE))
+        last = depth == DEPTH - 1
+        found = found.unionByName(linked)
         if last:  # sets that agreed at every level
             first = large.groupBy("bucket").agg(F.min("rep").alias("b"))
             found = found.unionByName(large.join(first, "bucket").select(F.col("rep").alias("a"), "b"))
         found = tables.keep(found.distinct())
+        tables.drop(shared)
         edges = found if edges is None else edges.unionByName(found)
         if last or large.isEmpty():
-            tables.drop(shared)
             return edges, deep
         if depth:
             here = tables.keep(large.select("rep", F.lit(depth + 2).alias("level")).distinct())
             deep = here if deep is None else deep.unionByName(here)
-        rows, above = children(large.select(F.col("bucket").alias("path"), "rep", "s1", "s2").join(sketches, "rep"), threshold), shared
+        rows, above = children(large.select(F.col("bucket").alias("path"), *NODE).join(sketches, "rep"), threshold), large
 
 
 def candidate_edges(reps: DataFrame, tables: Tables, threshold: float, recall: float, partitions: int) -> DataFrame:
-    """Edges between sets that some bucket of some run held together: each pair at the threshold with the probability recall.
+    """Edges between sets that some bucket of some run held together: each pair at the threshold with the probability recall, or connected by other edges.
 
     All sets go through the runs for two levels. Those in buckets that split further go through more, until there are
     enough for the deepest level that they reached.
     """
     sketches, edges = reps.select("rep", "coordinates"), None
-    now = reps.select("rep", "coordinates", "s1", "s2", F.lit(0).alias("low"), F.lit(runs_for(threshold, recall)).alias("high"))
+    now = reps.select("rep", F.col("rep").alias("comp"), "coordinates", "s1", "s2", F.lit(0).alias("low"), F.lit(runs_for(threshold, recall)).alias("high"))
     while True:
         found, deep = walk(now, sketches, tables, threshold, partitions)
         edges = found if edges is None else edges.unionByName(found)
@@ -272,65 +328,85 @@ def candidate_edges(reps: DataFrame, tables: Tables, threshold: float, recall: f
         deepest = deep.groupBy("rep").agg(F.max("level").alias("level"))
         levels = [r["level"] for r in deepest.select("level").distinct().collect()]  # DEPTH of them at most
         wanted = F.coalesce(*[F.when(F.col("level") == n, runs_for(threshold, recall, n)) for n in levels])
-        now = tables.keep(now.join(deepest, "rep").select("rep", "coordinates", "s1", "s2", F.col("high").alias("low"), wanted.alias("high")).where("high > low"))
+        of = components(edges, tables).select(F.col("node").alias("rep"), F.col("component").alias("into"))
+        now = now.join(deepest, "rep").join(of, "rep", "left").select("rep", F.coalesce("into", "rep").alias("comp"), "coordinates", "s1", "s2", F.col("high").alias("low"), wanted.alias("high")).where("high > low")
+        now = tables.keep(now)
         if now.isEmpty():
             return edges
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections."""
-    if len(sets) == 2:
-        both = len(np.intersect1d(*sets, assume_unique=True))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values = np.concatenate(sets)
-    _, code = np.unique(values, return_inverse=True)
-    by = np.argsort(code, kind="stable")
-    code, owner = code[by], owner[by]
-    out = np.zeros((len(sets), len(sets)), np.float64)
-    width = 8_192
-    for low in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-        a, b = np.searchsorted(code, (low, low + width))
-        dense = np.zeros((len(sets), width), np.float32)
-        dense[owner[a:b], code[a:b] - low] = 1
-        out += dense @ dense.T
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b, or of a; those of a set with itself may be too small. Only hashes that lie in two sets count, a stretch of them at a time."""
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    va, oa = flat(a)
+    values, times = np.unique(va, return_counts=True)
+    if b is None:
+        values = values[times > 1]
+    else:
+        vb, ob = flat(b)
+        values = np.intersect1d(values, vb)
+
+    def coded(v, owner):
+        at = np.minimum(np.searchsorted(values, v), max(len(values) - 1, 0))
+        some = np.flatnonzero(values[at] == v) if len(values) else np.zeros(0, np.int64)
+        by = some[np.argsort(at[some], kind="stable")]
+        return at[by], owner[by]
+
+    def dense(code, owner, low, n):
+        x, y = np.searchsorted(code, (low, low + WIDTH))
+        out = np.zeros((n, min(WIDTH, len(values) - low)), np.float32)
+        out[owner[x:y], code[x:y] - low] = 1
+        return out
+
+    left = coded(va, oa)
+    right = left if b is None else coded(vb, ob)
+    out = np.zeros((len(a), len(a if b is None else b)), np.float32)
+    for low in range(0, len(values), WIDTH):
+        x = dense(*left, low, len(a))
+        out += x @ (x if b is None else dense(*right, low, len(b))).T
     return out.astype(np.int64)
 
 
 def verify(tasks: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Rows (rep, links, root) from tasks (task, rep, weight, first, whole, h1, text), which lie by task: within a block, or of one block's sets with another's.
+    """Rows (rep, links, root) from tasks (task, rep, weight, first, whole, h1, text), which lie by task, first and rep: within a whole block, or of one block's sets with another's, first being the block.
 
     links: the weights of the sets that rep is linked with; root: the smallest rep that links of the task connect it with.
     """
 
     def run(batches):
         for t in by_group(batches, "task"):
-            task, rep, weight, whole, first = (t.column(c).to_numpy() for c in ("task", "rep", "weight", "whole", "first"))
+            task, rep, weight, first, whole, h1 = (t.column(c).to_numpy() for c in ("task", "rep", "weight", "first", "whole", "h1"))
             cuts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
             texts = t.column("text").combine_chunks()
             for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 shingles = Shingles(texts.slice(low, high - low), n)
                 sets = [shingles.of(i) for i in range(high - low)]
-                own = np.array([set_key(s)[0] for s in sets]) == t.column("h1").slice(low, high - low).to_numpy()
+                own = np.array([set_key(s)[0] for s in sets]) == h1[low:high]
                 seen = np.flatnonzero(own)  # of repeated rows the first counts
                 own[seen[1:][rep[low + seen[1:]] == rep[low + seen[:-1]]]] = False
-                size = np.array([len(s) for s in sets])
-                if high - low < 2:
+                sets, at = [s for s, x in zip(sets, own, strict=True) if x], low + np.flatnonzero(own)
+                cross, cut = not whole[low], int((first[at] == first[low]).sum())
+                if len(at) < 2 or (cross and cut in (0, len(at))):
                     continue
-                both = overlaps(sets)
-                link = (both >= np.ceil(threshold * (size[:, None] + size[None] - both) - 1e-9)) & own[:, None] & own[None]
-                np.fill_diagonal(link, False)
-                if not whole[low]:
-                    link &= first[low:high, None] != first[None, low:high]
-                a, b = np.nonzero(np.triu(link))
-                r = rep[low:high]
+                size = np.array([len(s) for s in sets])
+                rows, columns = (size[:cut], size[cut:]) if cross else (size, size)
+                both = overlaps(sets[:cut], sets[cut:]) if cross else overlaps(sets)
+                link = both >= np.ceil(threshold * (rows[:, None] + columns[None] - both) - 1e-9)
+                if not cross:
+                    np.fill_diagonal(link, False)
+                r, w = rep[at], weight[at]
+                a, b = np.nonzero(link)
+                links = np.zeros(len(at), np.int64)
+                np.add.at(links, a, w[b + cut] if cross else w[b])
+                if cross:
+                    b = b + cut
+                    np.add.at(links, b, w[a])
                 order = np.argsort(r, kind="stable")
                 place = np.empty_like(order)
                 place[order] = np.arange(len(order))
                 root = r[order][labels_of(len(r), place[a], place[b])[place]]
-                links = link @ weight[low:high]
                 some = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(r[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["rep", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(r[some]), pa.array(links[some]), pa.array(root[some])], ["rep", "links", "root"])
 
     return tasks.mapInArrow(run, "rep long, links long, root long")
 
@@ -352,30 +428,30 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     Two texts are linked if their sets of n-word shingles (words divided by ASCII white space; a shorter text has one
     shingle) have a Jaccard similarity of at least the threshold; classes are the connected components of links. A text
     without words, null too, is linked with nothing. Ids are integers; rows with a null id have no row; of rows that
-    share an id the one with the smallest set hash counts, and they have one row together. Ties cannot arise. Other
-    columns are not read. recall: the share of pairs at the threshold that some bucket holds.
+    share an id the one with the smallest set hash counts, and they have one row together. Sets are taken for equal where
+    their 128-bit hashes are. There are no ties to break: all links count. Other columns are not read. An empty table
+    gives no rows. recall: the share of pairs at the threshold that some bucket holds.
     """
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sets = tables.keep(signatures(docs, n, id_col, text_col))
     one = sets.groupBy("doc").agg(F.min(F.struct("h1", "h2", "size")).alias("x")).select("doc", "x.*")
     groups = one.where("size > 0").groupBy("h1", "h2", "size").agg(F.min("doc").alias("rep"), F.count("*").alias("weight"))
-    of = tables.keep(one.join(groups, ["h1", "h2", "size"], "left").select("doc", "h1", F.coalesce("rep", "doc").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"), (F.col("size") > 0).alias("full")))
-    heads = of.where("doc = rep and full").select("rep", "h1", "weight")
+    of = tables.keep(one.join(groups, ["h1", "h2", "size"], "left").select("doc", "h1", "size", F.coalesce("rep", "doc").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"), (F.col("size") > 0).alias("full")))
+    heads = of.where("doc = rep and full").select("rep", "h1", "size", "weight")
     reps = sets.withColumnRenamed("doc", "rep").join(heads, ["rep", "h1"], "left_semi").dropDuplicates(["rep"])
     edges = candidate_edges(tables.keep(reps.select("rep", "coordinates", "s1", "s2")), tables, threshold, recall, partitions)
     clusters = tables.keep(components(edges, tables))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("c"))
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    members = clusters.join(sizes, "component").select(F.col("node").alias("rep"), "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("first"))
-    members = tables.keep(members.join(heads, "rep"))
+    clusters = tables.keep(clusters.select(F.col("node").alias("rep"), "component").join(heads, "rep"))
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    members = clusters.join(sizes, "component").select("rep", "component", "h1", "weight", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("first"))
     # a block meets itself and each other block of its cluster once
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("second")
     texts = texts_of(docs, members.select("rep"), id_col, text_col)
     tasks = texts.join(members, "rep").select("*", other)
-    tasks = tasks.withColumn("low", F.least("first", "second")).withColumn("high", F.greatest("first", "second"))
-    tasks = tasks.select(F.xxhash64("component", "low", "high").alias("task"), "rep", "weight", "first", (F.col("low") == F.col("high")).alias("whole"), "h1", "text")
-    done = tables.keep(verify(tasks.repartition(partitions, "task").sortWithinPartitions("task", "rep"), threshold, n))
+    tasks = tasks.select(F.xxhash64("component", F.least("first", "second"), F.greatest("first", "second")).alias("task"), "rep", "weight", "first", (F.col("first") == F.col("second")).alias("whole"), "h1", "text")
+    done = tables.keep(verify(tasks.repartition(partitions, "task").sortWithinPartitions("task", "first", "rep"), threshold, n))
     links = done.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(done.select(F.col("rep").alias("a"), F.col("root").alias("b")), tables).select(F.col("node").alias("rep"), "component")
     out = of.join(links, "rep", "left").join(classes, "rep", "left")

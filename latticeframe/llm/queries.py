@@ -10,11 +10,12 @@ from latticeframe.llm.common import table
 
 # Fixed values of the queries.
 RULES = [urls.Rule("block", "com/en/"), urls.Rule("allow", "example.com/en/7"), urls.Rule("allow", "net/de/"), urls.Rule("block", "example.net/de/8"), urls.Rule("block", "org/es/")]
-SOURCES = {f"src{i}": 0.05 for i in range(20)}
-LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+# The share of "*", of all other sources and languages and of none, goes to the others where it is empty.
+SOURCES = {f"src{i}": 0.05 for i in range(20)} | {"*": 0.05}
+LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1, "*": 0.05}
 TOPICS = {"contact": 0.05, "legal": 0.05, "technical": 0.1, "*": 0.8}
 LEXICONS = {"contact": ["@", "mail", "phone"], "legal": ["license", "copyright", "warranty"], "technical": ["token", "password", "secret", "api"]}
-SWEEPS, SHARE, SEED = 25, 0.5, 2024
+SHARE, SEED = 0.5, 2024
 THRESHOLD = 0.8
 
 
@@ -23,7 +24,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    return mixing.mix(docs, SOURCES, LANGUAGES, TOPICS, LEXICONS, SHARE, SWEEPS, SEED)
+    return mixing.mix(docs, SOURCES, LANGUAGES, TOPICS, LEXICONS, SHARE, SEED)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +81,18 @@ def queries() -> dict:
     }
 
 
-def mixing_sql() -> str:
-    """Raking unrolled: each step divides by the category's present weight and scales to its target."""
+def mixing_sql(sweeps: int = 40) -> str:
+    """Probabilities least(1, factor of the source * of the language * of the topic), by sweeps over the axes.
+
+    A category wants its part of the kept tokens, or all it has where that is less (the least level x with
+    sum(least(have, x * target)) = total). A step gives each category the multiplier with which its cells, cut at 1, keep that.
+    """
 
     def targets(name: str, shares: dict[str, float]) -> str:
         listed = ", ".join(f"('{k}', {v!r})" for k, v in {"*": 0.0, **shares}.items())
         return f"t_{name}(k, v) AS (VALUES {listed})"
 
-    in_list = lambda names: ", ".join(f"'{n}'" for n in names)
+    in_list = lambda names: ", ".join(f"'{n}'" for n in names if n != "*")
     hits = {t: f"len(regexp_extract_all(lower(coalesce(text, '')), '{'|'.join(w)}'))" for t, w in sorted(LEXICONS.items())}
     top = f"greatest({', '.join(hits.values())})"
     topic = f"CASE WHEN {top} = 0 THEN '*' " + " ".join(f"WHEN {h} = {top} THEN '{t}'" for t, h in hits.items()) + " END"
@@ -95,21 +100,26 @@ def mixing_sql() -> str:
         targets("s", SOURCES), targets("l", LANGUAGES), targets("t", TOPICS),
         f"""d AS (SELECT doc_id, CASE WHEN source IN ({in_list(SOURCES)}) THEN source ELSE '*' END AS s, CASE WHEN lang IN ({in_list(LANGUAGES)}) THEN lang ELSE '*' END AS l, {topic} AS t,
             len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) AS n, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 AS u FROM documents)""",
-        "f0 AS (SELECT s, l, t, sum(n)::DOUBLE AS w, sum(n)::DOUBLE AS f FROM d GROUP BY s, l, t)",
+        "w0 AS (SELECT s, l, t, sum(n)::DOUBLE AS w FROM d GROUP BY s, l, t)",
+        "w1 AS (SELECT w0.* FROM w0 JOIN t_s AS a ON a.k = s JOIN t_l AS b ON b.k = l JOIN t_t AS c ON c.k = t WHERE a.v > 0 AND b.v > 0 AND c.v > 0 AND w > 0)",
+        f"total AS (SELECT least({SHARE} * (SELECT sum(w) FROM w0), (SELECT sum(w) FROM w1)) AS total)",
     ]
+    for axis in "slt":  # have, and the level at which the categories with have >= level * target fill up the total
+        steps += [
+            f"h_{axis} AS (SELECT {axis} AS k, v, sum(w) AS have FROM w1 JOIN t_{axis} ON k = {axis} GROUP BY ALL)",
+            f"x_{axis} AS (SELECT *, (total - coalesce(sum(have) OVER (ORDER BY have / v, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(v) OVER (ORDER BY have / v, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM h_{axis}, total)",
+            f"b_{axis} AS (SELECT k, least(have, v * coalesce((SELECT min_by(x, have / v) FROM x_{axis} WHERE x <= have / v), 1e300)) AS b, have FROM h_{axis})",
+        ]
+    steps.append("f0 AS (SELECT s, l, t, w, 1.0::DOUBLE AS f FROM w1)")
     k = 0
-    for _ in range(SWEEPS):
+    for _ in range(sweeps):
         for axis in "slt":
-            steps.append(f"g{k} AS (SELECT f{k}.*, v, sum(f) OVER (PARTITION BY {axis}) AS h FROM f{k} JOIN t_{axis} ON k = {axis})")
-            share = "CASE WHEN h > 0 THEN v * f / h ELSE 0 END"
-            steps.append(f"f{k + 1} AS MATERIALIZED (SELECT s, l, t, w, {share} / sum({share}) OVER () AS f FROM g{k})")
+            before, after = (f"OVER (PARTITION BY {axis} ORDER BY f DESC, s, l, t ROWS BETWEEN {x})" for x in ("UNBOUNDED PRECEDING AND 1 PRECEDING", "CURRENT ROW AND UNBOUNDED FOLLOWING"))
+            steps.append(f"g{k} AS (SELECT f{k}.*, b, have, (b - coalesce(sum(w) {before}, 0)) / sum(w * f) {after} AS c FROM f{k} JOIN b_{axis} ON k = {axis})")
+            steps.append(f"m{k} AS (SELECT {axis} AS k, CASE WHEN any_value(b) >= any_value(have) * (1 - 1e-12) THEN 1 / min(f) ELSE max_by(c, f) FILTER (c * f <= 1) END AS m FROM g{k} GROUP BY {axis})")
+            steps.append(f"f{k + 1} AS MATERIALIZED (SELECT s, l, t, w, f * m AS f FROM f{k} JOIN m{k} ON k = {axis})")
             k += 1
-    steps += [
-        f"c AS (SELECT s, l, t, w, f / w AS f, {SHARE} * (SELECT sum(w) FROM f{k}) AS b FROM f{k} WHERE w > 0 AND f > 0)",
-        "o AS (SELECT *, (b - coalesce(sum(w) OVER (ORDER BY f DESC, s, l, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w * f) OVER (ORDER BY f DESC, s, l, t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM c)",
-        "m AS (SELECT coalesce((SELECT c FROM o WHERE c * f <= 1 ORDER BY f DESC, s, l, t LIMIT 1), (SELECT 1 / min(f) FROM o)) AS c)",
-        "p AS (SELECT d.doc_id, coalesce(least(1.0, m.c * c.f), 0.0) AS p, u FROM d CROSS JOIN m LEFT JOIN c USING (s, l, t))",
-    ]
+    steps.append(f"p AS (SELECT d.doc_id, least(1.0, coalesce(c.f, 0.0)) AS p, u FROM d LEFT JOIN f{k} AS c USING (s, l, t))")
     return f"WITH {', '.join(steps)} SELECT doc_id, round(p, 6) AS probability, u < p AS kept FROM p"
 
 

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,48 +196,101 @@ def test_quality_edge_cases(spark):
 # mixing
 
 
+TARGETS = [np.array(t) for t in ([0.4, 0.3, 0.2, 0.1], [0.5, 0.25, 0.25], [0.9, 0.1])]
+
+
 def test_rake_meets_the_marginals():
     rng = np.random.default_rng(1)
     w = rng.random((4, 3, 2)) + 0.1
-    targets = [np.array(t) for t in ([0.4, 0.3, 0.2, 0.1], [0.5, 0.25, 0.25], [0.9, 0.1])]
-    fitted = mixing.rake(w, targets, 60)
-    for axis, t in enumerate(targets):
-        assert np.allclose(fitted.sum(tuple(k for k in range(3) if k != axis)), t, atol=1e-9)
+    for share in (0.02, 0.15):
+        fit = mixing.rake(w, TARGETS, share)
+        kept = w * fit.probabilities
+        assert fit.residual <= 1e-10 and fit.probabilities.max() <= 1
+        assert np.isclose(kept.sum(), share * w.sum())
+        for axis, t in enumerate(TARGETS):
+            assert np.allclose(kept.sum(tuple(k for k in range(3) if k != axis)) / kept.sum(), t, atol=1e-9)
+    fitted = mixing.rake(w, TARGETS, 0.02).probabilities * w  # no cell is at its cap
     odds = lambda x: x[0, 0, 0] * x[1, 1, 0] / (x[0, 1, 0] * x[1, 0, 0])  # noqa: E731  raking keeps odds ratios
     assert np.isclose(odds(fitted), odds(w))
 
 
-def test_scale_keeps_the_share():
+def test_cells_at_the_cap_and_short_categories():
+    w = np.array([[10.0, 40.0], [30.0, 120.0]])
+    fit = mixing.rake(w, [np.array([0.7, 0.3]), np.array([0.4, 0.6])], 0.4)
+    assert np.allclose(fit.wanted[0], [50 / 80, 30 / 80])  # the first row has 50 of the 56 that it should give
+    assert np.allclose(fit.wanted[1], [0.4, 0.6])
+    assert fit.residual <= 1e-10 and np.allclose(fit.probabilities, [[1, 1], [22 / 30, 8 / 120]])
+    clash = mixing.rake(np.array([[10.0, 0.0], [0.0, 90.0]]), [np.array([0.5, 0.5]), np.array([0.2, 0.8])], 0.2)
+    assert clash.residual > 0.1
+
+
+def test_reachable_fills_up_in_proportion():
+    assert mixing.reachable(np.array([10.0, 100, 100, 0, 50]), np.array([0.5, 0.2, 0.2, 0.1, 0.0]), 100).tolist() == [10, 45, 45, 0, 0]
+    assert mixing.reachable(np.array([1.0, 2.0]), np.array([0.5, 0.5]), 3).tolist() == [1, 2]
+    assert mixing.reachable(np.zeros(2), np.array([0.5, 0.5]), 0).tolist() == [0, 0]
+
+
+def test_scale_keeps_the_budget():
     w, f = np.array([10.0, 50.0, 40.0]), np.array([5.0, 1.0, 0.5])
-    for share in (0.1, 0.5, 0.9):
-        c = mixing.scale(w, f, share)
-        assert np.isclose((w * np.minimum(1, c * f)).sum(), share * 100)
-    assert mixing.scale(w * 0, f, 0.5) == 0
+    for budget in (10, 50, 90):
+        c = mixing.scale(w, f, budget)
+        assert np.isclose((w * np.minimum(1, c * f)).sum(), budget)
+    assert mixing.scale(w * 0, f, 50) == 0
+    assert mixing.scale(w, f, 100) == np.inf
 
 
-def test_mixed_tokens_come_near_the_targets(spark):
+def test_expected_marginals_meet_the_targets_on_all_axes(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "src0").otherwise(F.col("source")))
-    out = queries.mixed(df).withColumn("n", mixing.tokens_of(F.col("text"))).where("mix_kept")
-    total = out.agg(F.sum("n")).first()[0]
-    langs = {r["lang"]: r["n"] / total for r in out.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    assert all(abs(langs[k] - v) < 0.06 for k, v in queries.LANGUAGES.items())
-    assert abs(total / df.agg(F.sum(mixing.tokens_of(F.col("text")))).first()[0] - queries.SHARE) < 0.05
+    rows = mixing.with_topics(queries.mixed(df), queries.LEXICONS, "text", "topic", "n").select("lang", "source", "topic", "n", "mix_probability", "mix_kept").toPandas()
+    rows["w"] = rows["n"] * rows["mix_probability"]
+    assert np.isclose(rows["w"].sum(), queries.SHARE * rows["n"].sum())
+    assert abs(rows["n"][rows["mix_kept"]].sum() / rows["n"].sum() - queries.SHARE) < 0.02
+    for column, targets in (("lang", queries.LANGUAGES), ("source", queries.SOURCES), ("topic", queries.TOPICS)):
+        have = rows.groupby(column)["n"].sum()
+        want = mixing.reachable(have.to_numpy(float), np.array([targets[k] for k in have.index]), queries.SHARE * rows["n"].sum())
+        got = rows.groupby(column)["w"].sum().to_numpy()
+        assert np.abs(got - want).max() / got.sum() < 0.005
+        full = np.isclose(want, have)
+        assert all(rows["mix_probability"][rows[column] == k].min() > 1 - 1e-9 for k in have.index[full])  # kept whole
+        assert len(have.index[full]) < 3
+    langs = rows.groupby("lang")["w"].sum() / rows["w"].sum()
+    assert all(abs(langs[k] - v) < 0.005 for k, v in queries.LANGUAGES.items() if k != "*")
+
+
+def test_topics_against_the_words(spark):
+    texts = ["", None, "Mail mail PHONE", "token secret license", "license token", "warranty @", "none"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [tuple(r) for r in mixing.with_topics(df, queries.LEXICONS, "text", "topic", "n").select("topic", "n").collect()]
+    assert got == [("*", 0), ("*", 0), ("contact", 3), ("technical", 3), ("legal", 2), ("contact", 2), ("*", 1)]
 
 
 def test_mixing_edge_cases(spark):
-    rows = [(1, None, None, None), (None, "", "en", "src0"), (2, "a b c", "en", "src0"), (2, "a b c", "en", "src0"), (3, "x", "xx", "elsewhere"), (4, "token " * 50_000, "de", "src1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("mix_kept", F.lit("clash")).withColumn("s", F.lit("clash")).withColumn("cell", F.lit(1))
-    got = queries.mixed(df).collect()
-    assert len(got) == len(rows)
-    assert all(0 <= r["mix_probability"] <= 1 for r in got)
-    assert all(r["mix_probability"] == 0 for r in got if r["doc_id"] in (1, 3))
-    assert len({r["mix_kept"] for r in got if r["doc_id"] == 2}) == 1
-    assert queries.mixed(df.limit(0)).count() == 0
+    rows = [(1, None, None, None), (None, "", "en", "src0"), (2, "a b c", "en", "src0"), (2, "a b c", "en", "src0"), (3, "x", "xx", "elsewhere"), (4, "token " * 50_000, "de", "src1"), (5, "word " * 40_000, "en", "src2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("mix_kept", F.lit("clash")).withColumn("s", F.lit("clash")).withColumn("rest", F.lit(1)).withColumn("u", F.lit(1))
 
+    def mixed(df, languages=queries.LANGUAGES):
+        return mixing.mix(df, {"src0": 0.4, "src1": 0.3, "*": 0.3}, languages, {"*": 1.0, "technical": 1.0}, {"technical": ["token"]}, 0.3, most_off=1.0)
 
-@pytest.mark.parametrize("text", ["", "one", " two  words\n", "a\tb\r\nc"])
-def test_words_are_counted(spark, text):
-    assert spark.createDataFrame([(text,)], "t string").select(mixing.tokens_of(F.col("t"))).first()[0] == len(text.split())
+    got = mixed(df).collect()
+    assert len(got) == len(rows)
+    assert got[0].asDict().keys() == {*df.columns, "mix_probability"}
+    assert all(0 <= r["mix_probability"] <= 1 and r["s"] == "clash" and r["rest"] == 1 for r in got)
+    assert sorted(map(str, [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in got])) == sorted(map(str, rows))
+    assert len({r["mix_kept"] for r in got if r["doc_id"] == 2}) == 1
+    without = mixed(df, {"en": 1.0, "de": 1.0}).collect()
+    assert all((r["mix_probability"] == 0) == (r["doc_id"] in (1, 3)) for r in without if r["text"])
+    assert mixed(df.limit(0)).count() == 0
+    assert mixed(df.where("doc_id = 1")).first()["mix_probability"] == 0
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.mix(df.where("doc_id in (4, 5)"), {"src1": 0.5, "src2": 0.5}, {"de": 0.9, "en": 0.1}, {"*": 1.0}, {}, 0.1).count()
+
+
+def test_words_are_counted():
+    texts = ["", "one", " two  words\n", None, "a\tb\r\nc", "x", "\x0bv\x0c é ü", "", " "]
+    want = [len(re.findall(r"[^ \t\r\n]+", t or "")) for t in texts]
+    assert mixing.words_of(pa.array(texts)).tolist() == want
+    assert mixing.words_of(pa.array(["skip", *texts, "skip"])[1:-1]).tolist() == want
+    assert mixing.words_of(pa.array([], pa.string())).tolist() == []
 
 
 def test_every_link_of_a_page_counts_in_any_case(spark):

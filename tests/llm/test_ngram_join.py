@@ -63,6 +63,31 @@ def test_buckets_that_split_and_clusters_of_several_blocks(spark, monkeypatch):
     assert classes(spark, docs) == brute(docs, 0.8, 5)
 
 
+def test_pivots_end_a_family_and_not_a_mixture(spark):
+    """A bucket of one family ends, as its sketches connect with the pivots; one of unlike sets splits on."""
+    rng = np.random.default_rng(3)
+    base, n = rng.integers(-(2**63), 2**63, 2), 60
+    family = [(1, i, i, int(base[0] ^ (1 << (i % 60))), int(base[1])) for i in range(n)]
+    others = [(2, 100 + i, 100 + i, *(int(x) for x in rng.integers(-(2**63), 2**63, 2))) for i in range(n)]
+    df = spark.createDataFrame(family + others, ngram_join.ROWS)
+    got = {r["rep"]: r["to"] for r in ngram_join.pivoted(df, ngram_join.sketch_bound(0.8)).collect()}
+    assert {tuple(got[i]) for i in range(n)} == {(min(t for i in range(n) for t in got[i]),)}
+    mixed = [tuple(got[100 + i]) for i in range(n)]
+    assert sum(bool(t) for t in mixed) == ngram_join.PIVOTS and all(t == (100 + i,) for i, t in enumerate(mixed) if t)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 9_000, rng.integers(1, 3_000))).astype(np.uint64) for _ in range(12)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    got = ngram_join.overlaps(sets)
+    np.fill_diagonal(got, 0)
+    np.fill_diagonal(want, 0)
+    assert (got == want).all()
+    assert (ngram_join.overlaps(sets[:5], sets[5:]) == want[:5, 5:]).all()
+    assert (ngram_join.overlaps([sets[0]], [sets[0] + np.uint64(10_000)]) == 0).all()
+
+
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "  \n"), (4, "one"), (5, "one"), (6, "one two three"), (None, "one"), (7, "same id a"), (7, "same id b")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("rep", F.lit("clash"))
@@ -75,7 +100,8 @@ def test_edge_cases(spark):
 
 def test_exact_copies_count_as_links(spark):
     docs = [(i, "the very same words in every one of these texts") for i in range(30)] + [(99, "another text that has nothing in common with them at all")]
-    assert classes(spark, docs) == {(i, 0, 29) for i in range(30)} | {(99, 99, 0)}
+    docs += [(200, " ".join(f"long{i}" for i in range(50_000))), (201, " ".join(f"long{i}" for i in range(45_000)))]
+    assert classes(spark, docs) == {(i, 0, 29) for i in range(30)} | {(99, 99, 0), (200, 200, 1), (201, 200, 1)}
 
 
 def test_runs_reach_the_recall():
@@ -123,7 +149,7 @@ def test_recall_holds_in_hot_buckets_that_split_often(spark, monkeypatch):
         rows += [(2 * i, bytearray(a.tobytes()), s1, s2), (2 * i + 1, bytearray(b.tobytes()), s1, s2)]
     tables = common.Tables(spark)
     reps = tables.keep(spark.createDataFrame(rows, "rep long, coordinates binary, s1 long, s2 long"))
-    _, deep = ngram_join.walk(reps.select("*", F.lit(0).alias("low"), F.lit(10).alias("high")), reps.select("rep", "coordinates"), tables, 0.8, 4)
+    _, deep = ngram_join.walk(reps.select("*", F.col("rep").alias("comp"), F.lit(0).alias("low"), F.lit(10).alias("high")), reps.select("rep", "coordinates"), tables, 0.8, 4)
     assert deep.agg(F.max("level")).first()[0] > 5
     edges = ngram_join.candidate_edges(reps, tables, 0.8, 0.99999, 4)
     of = {r["node"]: r["component"] for r in common.components(edges, tables).collect()}
