@@ -27,7 +27,8 @@ from latticeframe.llm.common import Tables, bit_table, components, held, mix, sl
 
 COORDINATES = 64
 SKETCH = 128
-BUCKET = 1_024
+BUCKET = 16_384
+FEW = 32
 PIVOTS = 8
 BLOCK = 1_024  # sets of a verification block, and shingles of all of them
 BLOCK_SHINGLES = 400_000
@@ -211,6 +212,18 @@ def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return labels
 
 
+def connected(s1: np.ndarray, s2: np.ndarray, bound: int) -> np.ndarray:
+    """Labels of the components that sketches connect: the place of each one's first member. Rows that have their component already are not compared again."""
+    labels = np.arange(len(s1))
+    for k in range(len(s1) - 1):
+        other = k + 1 + np.flatnonzero(labels[k + 1 :] != labels[k])
+        near = other[np.bitwise_count(s1[other] ^ s1[k]).astype(np.int64) + np.bitwise_count(s2[other] ^ s2[k]) <= bound]
+        if len(near):
+            joined = np.unique(np.append(labels[near], labels[k]))
+            labels[np.isin(labels, joined)] = joined[0]
+    return labels
+
+
 def brute(small: DataFrame, bound: int) -> DataFrame:
     """Edges (a, b) from each set of a small bucket to the first of those that its sketch connects it with; rows lie by bucket and rep."""
 
@@ -219,19 +232,24 @@ def brute(small: DataFrame, bound: int) -> DataFrame:
             bucket, rep = t.column("bucket").to_numpy(), t.column("rep").to_numpy()
             s1, s2 = t.column("s1").to_numpy().view(np.uint64), t.column("s2").to_numpy().view(np.uint64)
             rows = np.arange(len(rep))
-            start = np.maximum.accumulate(np.where(np.concatenate([[True], bucket[1:] != bucket[:-1]]), rows, 0))
-            depth, pairs, k = rows - start, [], 0
+            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            size = np.diff(np.append(begin, len(rep)))
+            many = size > FEW
+            start, depth = np.repeat(begin, size), rows - np.repeat(begin, size)
+            depth[np.repeat(many, size)] = 0
+            pairs, k = [(rows[:0], rows[:0])], 0
             alive = rows[depth > 0]
-            while len(alive):
+            while len(alive):  # the k-th row of each bucket of few against all rows after it
                 other = start[alive] + k
                 near = np.bitwise_count(s1[alive] ^ s1[other]).astype(np.int64) + np.bitwise_count(s2[alive] ^ s2[other]) <= bound
                 pairs.append((other[near], alive[near]))
                 k += 1
                 alive = alive[depth[alive] > k]
-            if pairs:
-                root = labels_of(len(rep), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
-                moved = rep[root] != rep
-                yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[root][moved])], ["a", "b"])
+            root = labels_of(len(rep), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+            for low, n in zip(begin[many].tolist(), size[many].tolist(), strict=True):
+                root[low : low + n] = low + connected(s1[low : low + n], s2[low : low + n], bound)
+            moved = rep[root] != rep
+            yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[root][moved])], ["a", "b"])
 
     return small.mapInArrow(run, "a long, b long")
 

@@ -76,6 +76,19 @@ def test_pivots_end_a_family_and_not_a_mixture(spark):
     assert sum(bool(t) for t in mixed) == ngram_join.PIVOTS and all(t == (100 + i,) for i, t in enumerate(mixed) if t)
 
 
+def test_connected_rows():
+    rng = np.random.default_rng(6)
+    for n, flips in ((2, 1), (40, 3), (300, 9), (300, 30)):
+        base = rng.integers(0, 2**63, 2, dtype=np.uint64)
+        s = [[base[0] if i % 3 else rng.integers(0, 2**63, dtype=np.uint64), base[1]] for i in range(n)]
+        for x in s:
+            for f in rng.integers(0, 63, flips):
+                x[f % 2] = x[f % 2] ^ (np.uint64(1) << np.uint64(f))
+        s1, s2 = np.array([x[0] for x in s], np.uint64), np.array([x[1] for x in s], np.uint64)
+        a, b = np.nonzero(np.bitwise_count(s1[:, None] ^ s1).astype(int) + np.bitwise_count(s2[:, None] ^ s2) <= 20)
+        assert (ngram_join.connected(s1, s2, 20) == ngram_join.labels_of(n, a, b)).all()
+
+
 def test_overlaps():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 9_000, rng.integers(1, 3_000))).astype(np.uint64) for _ in range(12)]
@@ -137,9 +150,9 @@ def test_components(spark):
 
 
 def test_recall_holds_in_hot_buckets_that_split_often(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BUCKET", 8)
+    monkeypatch.setattr(ngram_join, "BUCKET", 4)
     rng = np.random.default_rng(7)
-    pairs, width = 300, ngram_join.COORDINATES
+    pairs, width = 120, ngram_join.COORDINATES
     passage = rng.integers(0, 2**32, width, dtype=np.uint32)  # all sets agree with it in about 0.6 of the coordinates
     rows = []
     for i in range(pairs):
