@@ -5,12 +5,14 @@ removed if some line at an earlier position, anywhere, has a token set of Jaccar
 
 1. Token rarity is counted over all documents in a table of fixed size, indexed by token hash. Any order of tokens is
    right for the prefix filter; hash clashes there only cost speed.
-2. Lines of equal sets are grouped by hash; all but the first go.
+2. Lines of equal sets are grouped by hash; all but the first go. A slice of texts sends the first of its equal lines
+   only, so a line that is everywhere makes few rows.
 3. Each line's rarest tokens, its prefix, go to the tasks that own them. There lines that share a prefix token meet in
    order of position, pass the length, positional and parity-bitmap filters, and each line keeps its nearest candidates
    for that token, so that large families of similar lines give few rows a line and not one a pair.
-4. Candidates are verified on the lines' tokens. A line whose candidates all fail though it may have more is
-   joined anew with all earlier lines of those tokens.
+4. Candidates are verified on the hashes of the lines' tokens (64 bits each), first the nearest one of each line, then
+   the others of lines that failed. A line whose candidates all fail though it may have more is joined anew with all
+   earlier lines of those tokens.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from latticeframe.llm.common import Tables, bit_table, held, mix, slices, word_hashes
 
 COUNT_BITS = 25
+CHUNK_BITS = 12
 GROUP_ROWS = 4_096
 NEAREST = 3
 NULL_ID = -(2**63)
@@ -63,7 +66,8 @@ class Lines:
         self.n_lines = len(tokens)
 
 
-LINES = "sig long, bits long, n int, doc long, line int"
+LINES = "sig long, bits long, n int, doc long, line int, packed binary"
+LINE_NAMES = ["sig", "bits", "n", "doc", "line", "packed"]
 
 
 def set_keys(lines: Lines, rank: np.ndarray | None = None):
@@ -90,7 +94,7 @@ def set_keys(lines: Lines, rank: np.ndarray | None = None):
 
 
 def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One pass over all texts: a row LINES for each line with tokens, and, with n null, rows of a hash bucket (sig) and how often its tokens occur in the task's lines (bits), equal lines of a batch counted once."""
+    """One pass over all texts. Rows LINES: a row for each line with tokens that is the first of its kind in its slice; with n = 0 a row for each other one, sig and bits being the place of that first; and with n null rows of a task's token counts (equal lines of a slice counted once): the number of the chunk in sig, the counts in packed."""
 
     def run(batches):
         counts = np.zeros(1 << COUNT_BITS, np.uint16)  # of the task, which is enough to tell rare tokens from common ones
@@ -105,28 +109,62 @@ def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             which, size, sig, bits, *_ = set_keys(lines)
             slot = np.full(lines.n_lines, -1)
             slot[which] = np.arange(len(which))
-            own = slot[lines.distinct]
-            full = own >= 0
-            own = own[full]
-            doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)
-            arrays = [sig[own], bits[own], size[own].astype(np.int32), doc[lines.row[full]], lines.number[full].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["sig", "bits", "n", "doc", "line"])
-        full = np.flatnonzero(counts)
-        for low in range(0, len(full), 1 << 18):
-            some = full[low : low + (1 << 18)]
-            none = pa.nulls(len(some), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some].astype(np.int64)), none, pa.nulls(len(some), pa.int64()), none], ["sig", "bits", "n", "doc", "line"])
+            row = np.flatnonzero(slot[lines.distinct] >= 0)
+            own = slot[lines.distinct[row]]
+            doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)[lines.row[row]]
+            line = lines.number[row].astype(np.int32)
+            order = np.lexsort((size, bits, sig))  # lines that differ may have equal sets
+            kind = np.empty(len(order), np.int64)
+            kind[order] = np.cumsum(np.concatenate([[True], np.any([x[order[1:]] != x[order[:-1]] for x in (sig, bits, size)], axis=0)]))
+            by = np.lexsort((line, doc, kind[own]))
+            own, doc, line = own[by], doc[by], line[by]
+            head = np.flatnonzero(np.concatenate([[True], kind[own[1:]] != kind[own[:-1]]]))
+            at = np.repeat(head, np.diff(np.append(head, len(own))))  # each row's first
+            is_head = at == np.arange(len(own))
+            keep = is_head | (doc != doc[at]) | (line != line[at])
+            arrays = [np.where(is_head, sig[own], doc[at]), np.where(is_head, bits[own], line[at]), np.where(is_head, size[own], 0).astype(np.int32), doc, line]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[keep]) for x in arrays], pa.nulls(int(keep.sum()), pa.binary())], LINE_NAMES)
+        chunks = counts.reshape(-1, 1 << CHUNK_BITS)
+        some = np.flatnonzero(chunks.any(1))
+        for low in range(0, len(some), 256):
+            now = some[low : low + 256]
+            none = pa.nulls(len(now), pa.int64())
+            packed = pa.array([zstandard.compress(chunks[i].tobytes(), 1) for i in now], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(now), none, none.cast(pa.int32()), none, none.cast(pa.int32()), packed], LINE_NAMES)
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, LINES)
 
 
-def rarity(surveyed: DataFrame) -> np.ndarray:
+def rarity(surveyed: DataFrame, partitions: int) -> np.ndarray:
     """For each hash bucket of tokens how often they occur, over all texts, as 8 log2 of the count; 0 for once or never. An array of fixed size, whatever the input."""
-    counts = surveyed.where("n is null").groupBy("sig").agg(F.sum("bits").alias("n")).where("n > 1")
-    got = counts.select(F.col("sig").cast("int"), F.least(F.round(8 * F.log2("n")), F.lit(255)).cast("short").alias("n")).toArrow()
-    out = np.zeros(1 << COUNT_BITS, np.uint8)
-    out[got["sig"].to_numpy()] = got["n"].to_numpy().astype(np.uint8)
-    return out
+
+    def run(batches):
+        last, total = None, None
+        for b in batches:
+            for chunk, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if chunk != last and last is not None:
+                    yield done(last, total)
+                if chunk != last:
+                    last, total = chunk, np.zeros(1 << CHUNK_BITS, np.int64)
+                total += np.frombuffer(zstandard.decompress(packed.as_buffer()), np.uint16)
+        if last is not None:
+            yield done(last, total)
+
+    def done(chunk, total):
+        scaled = np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([zstandard.compress(scaled.tobytes(), 1)], pa.binary())], ["sig", "packed"])
+
+    rows = surveyed.where("n is null").select("sig", "packed").repartition(partitions, "sig").sortWithinPartitions("sig")
+    got = rows.mapInArrow(run, "sig long, packed binary").toArrow()
+    out = np.zeros((1 << (COUNT_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
+    for chunk, packed in zip(got["sig"].to_pylist(), got["packed"], strict=True):
+        out[chunk] = np.frombuffer(zstandard.decompress(packed.as_buffer()), np.uint8)
+    return out.ravel()
+
+
+def token_key(hashes: np.ndarray) -> np.ndarray:
+    """What stands for a token in the prefix rows: 40 bits of its hash. A clash lets lines meet in vain, and no more."""
+    return hashes >> np.uint64(24)
 
 
 def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col: str, gone=None, but=None, tokens=None) -> DataFrame:
@@ -156,12 +194,12 @@ def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col
             # a token counted once is in one line only
             good = (at < prefix_length(size, threshold)[place]) & (times[word] > 0) & (size[place] >= least)
             if tokens is not None:
-                good &= held(tokens.value, lines.hashes)[word]
+                good &= held(tokens.value, token_key(lines.hashes))[word]
             if gone is not None:
                 at_line = line_hash(doc[lines.row[first[which]]], lines.number[first[which]])
                 good &= ~(held(gone.value, at_line) & ~held(but.value, at_line))[place]
             p, line = place[good], first[which[place[good]]]
-            arrays = [lines.hashes[word[good]].view(np.int64), doc[lines.row[line]], lines.number[line].astype(np.int32), size[p].astype(np.int32), at[good].astype(np.int32), bits[p], more[p]]
+            arrays = [token_key(lines.hashes)[word[good]].view(np.int64), doc[lines.row[line]], lines.number[line].astype(np.int32), size[p].astype(np.int32), at[good].astype(np.int32), bits[p], more[p]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["tok", "doc", "line", "n", "at", "bits", "more"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, PREFIX)
@@ -183,8 +221,8 @@ def passes_sql(threshold: float) -> str:
     )
 
 
-def meet(columns: dict[str, np.ndarray], known: int, threshold: float, cut: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """For rows by token and position: of the earlier rows of its token that pass, the NEAREST ones by bitmap, or -1; and whether there may be more.
+def meet(columns: dict[str, np.ndarray], known: int, threshold: float, cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows by token and position: of the earlier rows of its token that pass, the NEAREST ones by bitmap, or -1; how many bits they differ in; and whether there may be more.
 
     Rows before known are only candidates; cut: between them and the next row, earlier rows of their token are left out.
     A row meets the first GROUP_ROWS rows of its token.
@@ -212,13 +250,17 @@ def meet(columns: dict[str, np.ndarray], known: int, threshold: float, cut: bool
         k += 1
         alive = alive[depth[alive] > k] if k < GROUP_ROWS else alive[:0]
     unmet = (depth > GROUP_ROWS) | (cut & (start == 0) & (rows >= known))
-    return best, (passed > NEAREST) | unmet
+    return best, least, (passed > NEAREST) | unmet
+
+
+CANDIDATES = PREFIX + ", to_doc long, to_line int, far int, more_to boolean"
 
 
 def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Rows PREFIX and (to_doc, to_line, more_to), from prefix rows that lie by token and position in their partitions: one for each candidate kept.
+    """Rows CANDIDATES, from prefix rows that lie by token and position in their partitions: one for each candidate kept, far being the bits in which it differs.
 
-    more_to: there may be further earlier rows of the token that pass the filters; without a candidate kept to_doc is null.
+    more_to: there may be further earlier rows of the token that pass the filters; without a candidate kept to_doc is
+    null. Of the prefix row all but doc and line is null unless more_to is set.
     """
     names = PREFIX_NAMES
 
@@ -232,17 +274,18 @@ def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
                 now = {k: np.concatenate([last[k], now[k]]) for k in names}
             if not len(now["tok"]):
                 continue
-            best, part = meet(now, known, threshold, cut and known > 0)
+            best, differ, part = meet(now, known, threshold, cut and known > 0)
             for slot in range(NEAREST):
-                some = np.flatnonzero((best[:, slot] >= 0) | (part if slot == 0 else False))
-                to = best[some, slot]
-                ends = [pa.array(now["doc"][to], mask=to < 0), pa.array(now["line"][to], mask=to < 0), pa.array(part[some])]
-                yield pa.RecordBatch.from_arrays([*[pa.array(now[c][some]) for c in names], *ends], [*names, "to_doc", "to_line", "more_to"])
+                more = part & (slot == 0)
+                some = np.flatnonzero((best[:, slot] >= 0) | more)
+                to, plain = best[some, slot], ~more[some]
+                ends = [pa.array(now["doc"][to], mask=to < 0), pa.array(now["line"][to], mask=to < 0), pa.array(differ[some, slot].astype(np.int32)), pa.array(~plain)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(now[c][some], mask=None if c in ("doc", "line") else plain) for c in names], *ends], [*names, "to_doc", "to_line", "far", "more_to"])
             low = int(np.searchsorted(now["tok"], now["tok"][-1]))
             cut = len(now["tok"]) - low > GROUP_ROWS or (cut and known > 0 and low == 0)
             last = {k: now[k][low : low + GROUP_ROWS] for k in names}
 
-    return prefixes.mapInArrow(run, PREFIX + ", to_doc long, to_line int, more_to boolean")
+    return prefixes.mapInArrow(run, CANDIDATES)
 
 
 def key_of(id_col: str) -> Column:
@@ -264,7 +307,7 @@ def doubtful(lines: DataFrame, gone: DataFrame, table) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc, line, tokens) with the sorted token hashes of the lines in ends. A bit table lets few other lines out of the scan; the join that follows is exact."""
+    """Rows (doc, line, tokens) with the sorted token hashes of the lines in ends, and of few others that a bit table lets out of the scan."""
     table = docs.sparkSession.sparkContext.broadcast(bit_table(ends, line_hash))  # of bounded size
 
     def run(batches):
@@ -289,19 +332,31 @@ def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> D
             lists = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(hashes[new].view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit].astype(np.int32)), lists], ["doc", "line", "tokens"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "doc long, line int, tokens array<long>")
-    return found.join(ends, ["doc", "line"], "left_semi")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "doc long, line int, tokens array<long>")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))
+
+
+def some_of(sets: DataFrame, ends: DataFrame) -> DataFrame:
+    """The sets of the lines in ends and of few others."""
+    table = sets.sparkSession.sparkContext.broadcast(bit_table(ends, line_hash))  # of bounded size
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(held(table.value, line_hash(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+
+    return sets.mapInArrow(run, sets.schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, tables: Tables, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (doc, line, to_doc, to_line) whose token sets reach the threshold."""
-    ends = tables.keep(pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line"))).distinct())
-    sets = tables.keep(line_sets(docs, ends, id_col, text_col))
     left = pairs.join(sets, ["doc", "line"])
     right = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
     both = left.join(right, ["to_doc", "to_line"])
     shared = F.size(F.array_intersect("tokens", "to_tokens"))
-    return both.where(shared >= F.ceil(F.lit(threshold) * (F.size("tokens") + F.size("to_tokens") - shared) - 1e-9)).select("doc", "line", "to_doc", "to_line")
+    return both.where(shared >= F.ceil(F.lit(threshold) * (F.size("tokens") + F.size("to_tokens") - shared) - 1e-9)).select("doc", "line", "to_doc", "to_line").distinct()
 
 
 def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,33 +365,40 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     Lines end at "\\n"; numbers start at 0. Lines without tokens are never removed. Ids are integers; a null id comes
     before all others. Rows that share an id count as one document: a line number removed in one is removed in all, and
     equal lines at one place do not remove each other. Null texts are empty. Among several earlier lines the one given
-    is the earliest with an equal set, else the earliest verified. An empty table gives no rows.
+    is the earliest found, of an equal set if there is one. An empty table gives no rows. Sets are compared by 64-bit
+    hashes of their tokens, equal sets by hashes of 128 bits and their size.
     """
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     surveyed = tables.keep(survey(docs, id_col, text_col))
-    lines = surveyed.where("n is not null")
+    lines = surveyed.where("n > 0").select("sig", "bits", "n", "doc", "line")
     groups = lines.groupBy("sig", "bits", "n").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     equal = lines.join(groups, ["sig", "bits", "n"]).where("first.doc <> doc or first.line <> line").select("doc", "line", F.col("first.doc").alias("to_doc"), F.col("first.line").alias("to_line"))
-    found = tables.keep(equal)
+    beside = surveyed.where("n = 0").select("doc", "line", F.col("sig").alias("to_doc"), F.col("bits").cast("int").alias("to_line"))
+    found = tables.keep(equal.unionByName(beside))
     if threshold < 1:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        counts = rarity(surveyed)
+        counts = rarity(surveyed, parts)
         share = spark.sparkContext.broadcast
         gone = share(bit_table(found.select("doc", "line"), line_hash))
         but = share(bit_table(doubtful(lines, found.select("doc", "line"), gone), line_hash))
+        tables.drop(surveyed)
         prefixes = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but)
         rows = tables.keep(candidates(prefixes.repartition(parts, "tok").sortWithinPartitions("tok", "doc", "line"), threshold))
-        met = rows.where("to_doc is not null").select("doc", "line", "to_doc", "to_line").distinct()
-        true = tables.keep(verified(tables.keep(met), docs, tables, threshold, id_col, text_col))
-        left = rows.where("more_to").select(*PREFIX_NAMES).distinct()
-        left = tables.keep(left.join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti"))
+        pairs = rows.where("to_doc is not null").select("doc", "line", "to_doc", "to_line", "far")
+        sets = tables.keep(line_sets(docs, ends_of(pairs), id_col, text_col))
+        nearest = pairs.groupBy("doc", "line").agg(F.min(F.struct("far", "to_doc", "to_line")).alias("to")).select("doc", "line", "to.to_doc", "to.to_line")
+        true = tables.keep(verified(nearest, sets, threshold))
+        ok = true.select("doc", "line")
+        others = tables.keep(pairs.drop("far").join(ok, ["doc", "line"], "left_anti").distinct())
+        true = tables.keep(true.unionByName(verified(others, some_of(sets, ends_of(others)), threshold)))
         found = found.unionByName(true)
+        left = tables.keep(rows.where("more_to").select(*PREFIX_NAMES).join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti").select(*PREFIX_NAMES).distinct())
         if not left.isEmpty():
             tokens = share(bit_table(left.select("tok").distinct(), lambda tok: tok.view(np.uint64)))
-            others = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, tokens)
-            again = left.alias("x").join(others.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")).distinct()
-            again = tables.keep(again.join(met, ["doc", "line", "to_doc", "to_line"], "left_anti"))
-            found = found.unionByName(verified(again, docs, tables, threshold, id_col, text_col))
+            earlier = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, tokens)
+            again = left.alias("x").join(earlier.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")).distinct()
+            again = tables.keep(again.join(others, ["doc", "line", "to_doc", "to_line"], "left_anti"))
+            found = found.unionByName(verified(again, line_sets(docs, ends_of(again), id_col, text_col), threshold))
     best = found.groupBy("doc", "line").agg(F.min(F.struct("to_doc", "to_line")).alias("to"))
     name = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return best.select(name("doc").alias(id_col), "line", name("to.to_doc").alias(f"to_{id_col}"), F.col("to.to_line").alias("to_line"))

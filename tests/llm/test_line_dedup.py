@@ -61,6 +61,30 @@ def test_edge_cases(spark):
     assert line_dedup.repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_long_groups_over_several_batches(spark, monkeypatch):
+    """Few rows of a token are held, batches are small, and no filter helps: the exact join finds the rest."""
+    monkeypatch.setattr(line_dedup, "passes", lambda n, at, m, bt, differ, threshold: np.ones(len(n), bool))
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        docs = corpus(8)
+        got = line_dedup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), 0.8)
+        assert {(r["doc_id"], r["line"]) for r in got.collect()} == brute(docs, 0.8)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_lines_and_lines_that_are_everywhere(spark, monkeypatch):
+    from latticeframe.llm import common
+
+    monkeypatch.setattr(common.slices, "__defaults__", (40_000,))
+    long = [f"t{i}" for i in range(30_000)]
+    docs = [(i, "the line that every text has\nown words of text number n%d\nevery that line the has text" % i) for i in range(50)]
+    docs += [(100, " ".join(long)), (101, " ".join(long[:25_000])), (102, " ".join(long[:23_000])), (50, "the line that every text has")]
+    got = [(r["doc_id"], r["line"]) for r in line_dedup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got) == sorted(brute(docs, 0.8))
+
+
 def test_meets_across_batches(spark):
     docs = [(i, f"common words that every line has plus w{i}") for i in range(60)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)

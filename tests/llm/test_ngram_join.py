@@ -162,9 +162,16 @@ def test_recall_holds_in_hot_buckets_that_split_often(spark, monkeypatch):
         rows += [(2 * i, bytearray(a.tobytes()), s1, s2), (2 * i + 1, bytearray(b.tobytes()), s1, s2)]
     tables = common.Tables(spark)
     reps = tables.keep(spark.createDataFrame(rows, "rep long, coordinates binary, s1 long, s2 long"))
-    _, deep = ngram_join.walk(reps.select("*", F.col("rep").alias("comp"), F.lit(0).alias("low"), F.lit(10).alias("high")), reps.select("rep", "coordinates"), tables, 0.8, 4)
-    assert deep.agg(F.max("level")).first()[0] > 5
+    deepest, walk = [], ngram_join.walk
+
+    def watched(*args):
+        edges, deep = walk(*args)
+        deepest.append(deep.agg(F.max("level")).first()[0] if deep is not None else 0)
+        return edges, deep
+
+    monkeypatch.setattr(ngram_join, "walk", watched)
     edges = ngram_join.candidate_edges(reps, tables, 0.8, 0.99999, 4)
+    assert deepest[0] > 4
     of = {r["node"]: r["component"] for r in common.components(edges, tables).collect()}
     assert [i for i in range(pairs) if of.get(2 * i, -1) != of.get(2 * i + 1, -2)] == []
     assert ngram_join.runs_for(0.8, 0.99999, 6) > 3 * ngram_join.runs_for(0.8, 0.99999, 2)
