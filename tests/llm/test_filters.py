@@ -166,8 +166,8 @@ def test_scores_against_compression_by_hand(spark):
     got = quality.classify(docs, model).collect()
     for r in got[::40]:
         raw = r["text"].encode()
-        g, b = (sum(size(raw[i : i + 8192], c) for i in range(0, len(raw), 8192)) for c in (model.good, model.bad))
-        assert np.isclose(r["quality_score"], 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * 10 * (b - g) / (b + g + 16)))))
+        g, b = (sum(size(raw[i : i + 1024], c) - 8 for i in range(0, len(raw), 1024)) for c in (model.good, model.bad))
+        assert np.isclose(r["quality_score"], 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * 10 * (b - g) / max(b + g, 1)))))
 
 
 def test_long_texts_teach_with_all_their_parts(spark):
@@ -269,7 +269,7 @@ def test_mixing_edge_cases(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("mix_kept", F.lit("clash")).withColumn("s", F.lit("clash")).withColumn("rest", F.lit(1)).withColumn("u", F.lit(1))
 
     def mixed(df, languages=queries.LANGUAGES):
-        return mixing.mix(df, {"src0": 0.4, "src1": 0.3, "*": 0.3}, languages, {"*": 1.0, "technical": 1.0}, {"technical": ["token"]}, 0.3, most_off=1.0)
+        return mixing.mix(df, {"src0": 0.4, "src1": 0.3, "*": 0.3}, languages, {"*": 1.0, "technical": 1.0}, {"technical": ["token"]}, 0.3)
 
     got = mixed(df).collect()
     assert len(got) == len(rows)
@@ -281,8 +281,11 @@ def test_mixing_edge_cases(spark):
     assert all((r["mix_probability"] == 0) == (r["doc_id"] in (1, 3)) for r in without if r["text"])
     assert mixed(df.limit(0)).count() == 0
     assert mixed(df.where("doc_id = 1")).first()["mix_probability"] == 0
+    clash = df.where("doc_id in (4, 5)"), {"src1": 0.5, "src2": 0.5}, {"de": 0.9, "en": 0.1}, {"*": 1.0}, {}, 0.1
     with pytest.raises(ValueError, match="contradict"):
-        mixing.mix(df.where("doc_id in (4, 5)"), {"src1": 0.5, "src2": 0.5}, {"de": 0.9, "en": 0.1}, {"*": 1.0}, {}, 0.1).count()
+        mixing.mix(*clash, most_off=0.005).count()
+    with pytest.warns(UserWarning, match="contradict"):
+        assert mixing.mix(*clash).count() == 2
 
 
 def test_words_are_counted():
