@@ -75,17 +75,13 @@ def train_dictionary(texts: list[bytes], size: int) -> bytes:
     blocks = [t[low : low + BLOCK] for t in texts for low in range(0, len(t), BLOCK)]
     total = sum(map(len, blocks))
     try:
-        return zstandard.train_dictionary(min(size, max(1_024, total // 2)), blocks, k=512, d=8).as_bytes()
+        return zstandard.train_dictionary(min(size, max(1_024, total // 2)), blocks, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(blocks)[:size] or b"empty text"
 
 
-def learn(texts: list[str], quality: list[int], dictionary_bytes: int = 800 << 10, level: int = 3, rows: dict[int, int] | None = None) -> Model:
-    """A model of texts in a fixed order; every third text of a class calibrates, the others train its dictionary.
-
-    rows: how many labelled rows each class has, for scores that are probabilities among them; without it, among the
-    texts. Without one of the classes the score is the other's share.
-    """
+def learn(texts: list[str], quality: list[int], dictionary_bytes: int = 400 << 10, level: int = 3) -> Model:
+    """A model of texts in a fixed order; every third text of a class calibrates, the others train its dictionary. Without one of the classes the score is the other's share."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     y = np.array(quality, float)
     turn = np.zeros(len(y), int)
@@ -98,8 +94,6 @@ def learn(texts: list[str], quality: list[int], dictionary_bytes: int = 800 << 1
     if len(set(y[held])) < 2:
         held = np.arange(len(y))
     weights = fit_logistic(design([difference(texts[i], *dicts, level) for i in held]), y[held])
-    if rows:
-        weights[0] += np.log(rows[1] / rows[0]) - np.log((y[held] == 1).sum() / (y[held] == 0).sum())
     return Model(dicts[0], dicts[1], level, tuple(weights))
 
 
@@ -124,8 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int
     ids = docs.sparkSession.createDataFrame(picked, teach.schema)
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), id_col)  # 2 * max_rows ids
     rows = rows.groupBy(id_col).agg(F.max("quality").alias("quality"), F.min(spread(F.col("text"), max_chars)).alias("text")).orderBy(F.xxhash64(id_col, F.lit(1)), id_col).collect()
-    of_class = {r["quality"]: r["count"] for r in teach.groupBy("quality").count().collect()}
-    return learn([r["text"] for r in rows], [r["quality"] for r in rows], rows=of_class if len(of_class) == 2 else None)
+    return learn([r["text"] for r in rows], [r["quality"] for r in rows])
 
 
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
