@@ -2,7 +2,9 @@
 
 The field tags whitespace tokens as outside, begin or inside of a secret. A token's scores come from its own shape,
 from the words beside it and from features of its file. Training maximises the likelihood on a bounded sample whose
-tags are the pattern matches; decoding is Viterbi over whole texts. A token whose "outside" score leads by more than
+tags are the pattern matches, each of which also teaches without its keyword and in other company, so that the field
+finds what the patterns miss; unusual tokens that match no pattern teach what no secret is. Decoding is Viterbi over
+whole texts. A token whose "outside" score leads by more than
 transitions could ever return is outside on every best path, so Viterbi runs only over the stretches between such tokens.
 """
 
@@ -10,14 +12,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from latticeframe.llm.common import slices
+from latticeframe.llm.quality import spread
+
 # Fixed patterns: kinds in their order, and the least lengths of what they must match.
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -28,6 +36,7 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_ADDED = 6, 20, 8
 
 O, B, I = 0, 1, 2
 SLOTS = 9  # features of a token
+KEPT_LENGTH = 64
 EDGES = "\"'`,;:()[]{}<>=.!?*&%$#|"
 
 
@@ -57,24 +66,24 @@ class Shapes(dict):
 
 
 SHAPES = Shapes()
-RUNS = re.compile(r"(.)\1+")
+RUNS = re.compile(r"(.)\1+", re.DOTALL)
 MIXED = re.compile("[af]+")
 
 
 def signature(word: str) -> str:
     """A token's shape: classes with runs shortened, a length class, and for long tokens whether letters and digits alternate."""
-    s = word[:64].translate(SHAPES)
+    s = word.translate(SHAPES)
     size = min(len(word).bit_length(), 8)
     if size < 5:
         return f"{size}{RUNS.sub(r'\1', MIXED.sub('a', s))[:8]}"
     kinds = "".join(sorted(set(s)))
-    swaps = sum(x != y for x, y in zip(s.replace("f", "a"), s[1:].replace("f", "a"), strict=False))
-    return f"{size}{kinds}:{min(swaps * 4 // len(s), 4)}"
+    swaps = len(RUNS.sub(r"\1", s.replace("f", "a"))) - 1
+    return f"{size}{kinds if len(kinds) < 8 else '*'}:{min(swaps * 4 // len(s), 4)}"
 
 
 def plain(word: str) -> str:
     """A word as its neighbours see it."""
-    return word.strip(EDGES).lower()[:24] or word[:2]
+    return word.strip(EDGES).lower() or word[:2]
 
 
 def own_features(sig: str) -> list[str]:
@@ -106,34 +115,78 @@ def token_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"\S+", text)]
 
 
-def gold_tags(spans: list[tuple[int, int]], text: str) -> list[int]:
-    """Tags of tokens: those that hold a pattern's secret are begin or inside."""
-    tags, secrets = [O] * len(spans), [(s[3], s[1]) for s in base_spans(text)]
-    for low, high in secrets:
-        inside = [i for i, (a, b) in enumerate(spans) if a < high and b > low]
-        for n, i in enumerate(inside):
-            tags[i] = tags[i] or (B if n == 0 else I)
-    return tags
+def gold_tags(spans: list[tuple[int, int]], text: str) -> tuple[list[int], list[str]]:
+    """Tags of tokens, those that hold a pattern's secret being begin or inside; and the tokens as they are without the patterns' keywords: of a token with a secret the secret, of one that only leads to it nothing."""
+    tags, bare = [O] * len(spans), [text[a:b] for a, b in spans]
+    ends = [b for _, b in spans]
+    for start, high, _, low in base_spans(text):
+        first = True
+        for i in range(bisect_right(ends, start), len(spans)):
+            a, b = spans[i]
+            if a >= high:
+                break
+            if b <= low:
+                bare[i] = ""
+                continue
+            tags[i], first = tags[i] or (B if first else I), False
+            bare[i] = text[max(a, low) : b]
+    return tags, bare
+
+
+def unusual(word: str) -> bool:
+    """Long, in capitals, or of letters and digits: what a shape alone might take for a secret."""
+    return len(word) >= LEAST_ADDED and (len(word) >= 16 or word.isupper() or (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)))
+
+
+ALPHABETS = [("0123456789abcdef", 20), (string.digits + string.ascii_letters, 24), (string.digits + string.ascii_uppercase, 18), (string.digits + string.ascii_letters + "-_", 40)]
+
 
+def disguises(secret: str) -> list[str]:
+    """Made-up secrets that no pattern matches, one for each alphabet; they follow from the secret, so training repeats."""
+    out = []
+    for n, (letters, size) in enumerate(ALPHABETS):
+        raw = hashlib.sha512(f"{n}:{secret}".encode("utf-8", "surrogatepass")).digest()
+        out.append("".join(letters[x % len(letters)] for x in raw[: size - raw[-1] % (size // 3)]))
+    return out
+
+
+def evenly(places: list[int], most: int) -> list[int]:
+    """At most so many of the places, from the first to the last at equal distances."""
+    return places if len(places) <= most else [places[i * (len(places) - 1) // (most - 1)] for i in range(most)]
 
-def learn(texts: list[str], width: int = 12, vocabulary_size: int = 400, rounds: int = 100, penalty: float = 0.01) -> Model:
+
+def learn(texts: list[str], width: int = 12, vocabulary_size: int = 400, rounds: int = 100, penalty: float = 0.01, most_windows: int = 8) -> Model:
     """A conditional random field fitted to texts by its likelihood gradient (forward-backward over all windows at once, Adam steps).
 
-    A window is width tokens on either side of a tagged token, or around the middle of a text without one.
+    A window is width tokens on either side of a tagged token, of an unusual token without a tag, or of the middle of a
+    text without either; of each sort at most most_windows a text, spread over all of it. A window with a tag
+    comes as it is, and again without the keyword, the words beside the secret replaced by others of the text: once with
+    the secret, and once with each of its disguises.
     """
     windows, words_near = [], Counter()
     for text in texts:
         spans = token_spans(text)
         if not spans:
             continue
-        tags = gold_tags(spans, text)
+        tags, bare = gold_tags(spans, text)
         words = [text[a:b] for a, b in spans]
         marked = [i for i, t in enumerate(tags) if t]
+        odd = [i for i, t in enumerate(tags) if not t and bare[i] and unusual(words[i])]
         for i in marked:
             words_near.update(plain(words[j]) for j in (i - 1, i + 1) if 0 <= j < len(words))
-        for i in (marked or [len(words) // 2])[:8]:
+        of_file = file_features(text, len(words))
+        without = [f for f in of_file if not f.startswith("keyword=")] + ["keyword=False"]
+        others = [w for w, t, x in zip(words, tags, bare, strict=True) if not t and x == w and not unusual(w)]
+        for i in evenly(marked, most_windows) + evenly(odd, most_windows) or [len(words) // 2]:
             low, high = max(0, i - width), i + width + 1
-            windows.append((words[low:high], tags[low:high], words[low - 1] if low else "", words[high] if high < len(words) else "", file_features(text, len(words))))
+            ends = words[low - 1] if low else "", words[high] if high < len(words) else ""
+            windows.append((words[low:high], tags[low:high], *ends, of_file))
+            if tags[i] and others:
+                left = [(x, t) for x, t in zip(bare[low:high], tags[low:high], strict=True) if x]
+                beside = {j for k, (_, t) in enumerate(left) if t for j in (k - 1, k + 1)}
+                for n, secret in enumerate([None, *disguises(bare[i])]):
+                    changed = [others[(7 * i + 13 * k + n) % len(others)] if k in beside and not t else secret if t and secret else x for k, (x, t) in enumerate(left)]
+                    windows.append((changed, [t for _, t in left], *ends, without))
     model = Model({}, np.zeros((3, 3)), frozenset(w for w, _ in words_near.most_common(vocabulary_size)))
     if not any(t for w in windows for t in w[1]):
         return Model({"len=0": (0.0, 0.0, 0.0), "bias": (8.0, 0.0, 0.0)}, np.zeros((3, 3)), frozenset())
@@ -228,7 +281,8 @@ class Decoder:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             m = self.model
             self.table[n] = m.emission(own_features(signature(word))), m.emission(m.near("prev", word)), m.emission(m.near("next", word))
-        self.kept[word] = n
+        if len(word) <= KEPT_LENGTH:
+            self.kept[word] = n
         return n
 
     def tags(self, text: str, words: list[str]) -> np.ndarray:
@@ -273,13 +327,18 @@ class Decoder:
 
 
 def fit(docs: DataFrame, with_keyword: int = 300, without: int = 500, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model of a bounded sample: texts of at most max_chars characters with the smallest id hashes, with_keyword of those that name a keyword or a long hexadecimal run, and so many without."""
+    """A model of a bounded sample: the texts with the smallest id hashes, with_keyword of those that name a keyword or hold a long hexadecimal run, and so many without.
+
+    A text of more than max_chars characters teaches with pieces from all over it. Of texts that share an id the smallest
+    counts; null ids and null or empty texts do not teach. Without any text that a pattern matches the field adds nothing.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(text)
-    named = low.contains("token") | low.contains("secret") | low.contains("passw") | low.contains("api") | text.contains("AKIA")
-    ids = docs.where(f"length(`{text_col}`) between 1 and {max_chars} and `{id_col}` is not null").select(F.col(id_col).alias("id"), named.alias("named"))
-    picked = [r["id"] for k, n in ((True, with_keyword), (False, without)) for r in ids.where(F.col("named") == k).select("id").orderBy(F.xxhash64("id"), "id").limit(n).collect()]
-    rows = docs.where(F.col(id_col).isin(picked)).select(F.col(id_col).alias("id"), text.alias("text")).groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
+    named = low.contains("token") | low.contains("secret") | low.contains("passw") | low.contains("api") | text.contains("AKIA") | text.rlike("[0-9a-f]{24}")
+    ids = docs.where(f"`{text_col}` <> '' and `{id_col}` is not null").select(F.col(id_col).alias("id"), named.alias("named"))
+    first = ids.withColumn("rank", F.row_number().over(W.partitionBy("named").orderBy(F.xxhash64("id"), "id")))  # each task sends as many rows as are wanted
+    picked = [r["id"] for r in first.where((F.col("rank") <= with_keyword) & F.col("named") | (F.col("rank") <= without) & ~F.col("named")).where(F.col("rank") <= max(with_keyword, without)).select("id").collect()]
+    rows = docs.where(F.col(id_col).isin(picked)).select(F.col(id_col).alias("id"), spread(text, max_chars).alias("text")).groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
     return learn([r["text"] for r in rows])
 
 
@@ -287,20 +346,20 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Rows (id, spans array<struct<kind, start, end>>), one for each row of docs; no shuffle.
 
     Spans are in code points, end exclusive, by start and then kind. A null text counts as empty and has no spans;
-    repeated rows give repeated results; other columns are not read.
+    repeated rows give repeated results; other columns are not read; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     element = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
         decoder = Decoder(model)
-        for b in batches:
+        for part in slices(batches, 1):
             out = []
-            for text in b.column(1).to_pylist():
+            for text in part.column(1).to_pylist():
                 base = base_spans(text or "")
                 found = sorted(base + decoder.spans(text or "", base), key=lambda s: (s[0], KINDS.index(s[2])))
                 out.append([{"kind": s[2], "start": s[0], "end": s[1]} for s in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(element))], [id_col, "spans"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(element))], [id_col, "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind string, start long, end long>>")
 

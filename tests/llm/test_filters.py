@@ -114,6 +114,40 @@ def test_field_finds_secrets_that_patterns_miss():
     assert decoder.spans(words(200), []) == []
 
 
+def test_field_finds_planted_secrets_in_whole_documents_and_little_else(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model, r, planted = secrets.fit(docs), random.Random(9), {}
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    rows = docs.orderBy("doc_id").collect()
+    changed = []
+    for n, row in enumerate(rows):
+        words = (row["text"] or "").split(" ")
+        if n % 20 == 0 and len(words) > 30:
+            code = "".join(r.choice(alphabets[n // 20 % 3]) for _ in range(20))
+            words.insert(r.randrange(len(words)), code)
+            planted[row["doc_id"]] = code
+        changed.append((row["doc_id"], " ".join(words)))
+    text = dict(changed)
+    found = {x["doc_id"]: [text[x["doc_id"]][s["start"] : s["end"]] for s in x["spans"] if s["kind"] == "crf"] for x in secrets.scan(spark.createDataFrame(changed, "doc_id long, text string"), model).collect()}
+    assert len(planted) > 400
+    assert sum(any(code in s for s in found[i]) for i, code in planted.items()) >= 0.95 * len(planted)
+    clean = [s for i, spans in found.items() if i not in planted for s in spans]
+    assert len(clean) <= 0.01 * len(rows)
+
+
+def test_keywords_leave_the_bare_tokens():
+    text = 'see token = "abcdef1234" and password:hunter22x end'
+    spans = secrets.token_spans(text)
+    tags, bare = secrets.gold_tags(spans, text)
+    assert tags == [0, 0, 0, 1, 0, 1, 0]
+    assert bare == ["see", "", "", 'abcdef1234"', "and", "hunter22x", "end"]
+    assert all(not secrets.base_spans(d) for d in secrets.disguises("abcdef1234"))
+
+
+def test_shapes_come_from_whole_tokens():
+    assert secrets.signature("a" * 80 + "9x" * 20) != secrets.signature("a" * 120)
+
+
 def test_certain_tokens_do_not_change_the_best_path():
     rng = np.random.default_rng(3)
     for _ in range(200):
