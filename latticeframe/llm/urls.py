@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from latticeframe.llm.common import Tables, components
 
-MOST_RULES = 256
+FEW_RULES = 256
+NO_RULE = "struct<size: int, rule: string, verdict: string>"
 
 
 @dataclass(frozen=True)
@@ -49,20 +50,37 @@ def path_of(url: Column) -> Column:
 
 
 def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The longest rule that fits, as struct<size, rule, verdict>, or null; equally long rules: the one last in order of text.
-
-    At most MOST_RULES rules, which become one expression.
-    """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    """The longest rule that fits, as NO_RULE, or null; equally long rules: the one last in order of text. All rules become one expression."""
     fits = [
         F.when(((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path), F.struct(F.lit(len(r.rule)).alias("size"), F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict")))
         for r in rules
     ]
-    none = F.lit(None).cast("struct<size: int, rule: string, verdict: string>")
+    none = F.lit(None).cast(NO_RULE)
     return F.greatest(none, none, *fits)
 
 
+def with_rule(rows: DataFrame, rules: list[Rule], few: int = FEW_RULES) -> DataFrame:
+    """rows (host, path, ...) with own, the longest rule that fits.
+
+    Up to few rules are one expression. More are a table: each distinct (host, path) goes with every suffix of its host to
+    the lengths of paths that rules of that suffix have, and with the paths cut to these lengths to the rules themselves,
+    so both joins are of equal keys and a host with many rules meets no page that they do not fit.
+    """
+    if len(rules) <= few:
+        return rows.withColumn("own", best_rule(F.col("host"), F.col("path"), rules))
+    listed = rows.sparkSession.createDataFrame([(r.host, r.path, len(r.path), r.rule, r.verdict) for r in dict.fromkeys(rules)], "suffix string, start string, length int, rule string, verdict string")
+    best = F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best")
+    listed = listed.groupBy("suffix", "start").agg(best, F.first("length").alias("length"))
+    lengths = listed.groupBy("suffix").agg(F.collect_set("length").alias("lengths"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    pages = rows.where("host <> ''").select("host", "path").distinct()
+    starts = pages.select("host", "path", F.explode(suffixes).alias("suffix")).join(lengths, "suffix")
+    starts = starts.select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")).select("host", "path", "suffix", F.expr("substring(path, 1, n)").alias("start"))
+    own = starts.join(listed, ["suffix", "start"]).groupBy("host", "path").agg(F.max("best").alias("own"))
+    return rows.join(own, ["host", "path"], "left")
+
+
 def node_of(url: Column) -> Column:
     """What stands for a url among the nodes: scheme, fragment and a closing slash taken off, host in lower case."""
     query = F.regexp_extract(after_scheme(url), "^[^?#]*([^#]*)", 1)
@@ -73,6 +91,28 @@ CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical["'\s/>])[^>]*\bhr
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh["'\s/>])[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*([^"'>\s]+)"""
 
 
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&#47;": "/", "&#x2f;": "/", "&#x2F;": "/", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """The entities that urls need, the ampersand last."""
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its "." and ".." segments resolved; what would climb above the root stays there."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    step = lambda kept, x: F.when(x == "..", up(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array(F.lit("")), step)
+    done = F.array_join(kept, "/")
+    folder = F.when(last.isin(".", ".."), F.concat(done, F.lit("/"))).otherwise(done)
+    return F.when(path.contains("/."), folder).otherwise(path)
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (url, target) from the canonical links and refresh redirects in pages' html; relative targets are resolved."""
     html, url = F.col(html_col), F.col(url_col)
@@ -82,12 +122,17 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     none = F.array().cast("array<string>")
     found = pages.select(url.alias("url"), F.explode(F.concat(F.coalesce(canonical, none), F.coalesce(refresh, none))).alias("href")).where("href <> '' and instr(url, '://') > 0")
     scheme, base = F.substring_index("url", "://", 1), F.concat(F.substring_index("url", "://", 1), F.lit("://"), F.regexp_extract(after_scheme(F.col("url")), "^[^/?#]*", 0))
-    href, folder = F.trim("href"), F.regexp_replace(path_of(F.col("url")), "[^/]*$", "")
+    href, path = F.trim(decoded(F.col("href"))), path_of(F.col("url"))
+    folder, query = F.regexp_replace(path, "[^/]*$", ""), F.regexp_extract(after_scheme(F.col("url")), "^[^?#]*([^#]*)", 1)
+    own = F.regexp_extract(href, "^[^?#]*", 0)  # the path of a relative target, and what follows it
+    tail = F.substring(href, F.length(own) + 1, F.length(href))
+    full = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own))
     target = (
-        F.when(href.contains("://"), href)
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(base, href))
-        .otherwise(F.concat(base, F.when(folder == "", F.lit("/")).otherwise(folder), href))
+        .when(href.startswith("#"), F.concat(base, path, query))
+        .when(own == "", F.concat(base, path, tail))
+        .otherwise(F.concat(base, without_dots(full), tail))
     )
     return found.select("url", target.alias("target"))
 
@@ -98,17 +143,17 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     verdict is that of the page's own rule, else its class's, else default. redirects has the columns url and target.
     A null url, or one without ://, has an empty host and path, no rule and no class. Null html has no links.
     Repeated rows give repeated results; other columns are not read. A class whose members are met by both allow and
-    block rules counts as allowed. Ties between equally long rules go to the last in order of text.
+    block rules counts as allowed. Ties between equally long rules go to the last in order of text. An empty table gives
+    no rows. Links without a host of their own are resolved against the page's url, dot segments and entities included.
     """
     url = F.col("url")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     host, path = host_of(url), path_of(url)
-    own = best_rule(F.col("host"), F.col("path"), rules)
     edges = link_edges(pages, url_col, html_col) if html_col else None
     if redirects is not None:
         given = redirects.select("url", "target").where("instr(url, '://') > 0 and instr(target, '://') > 0")
         edges = given if edges is None else edges.unionByName(given)
-    rows = rows.select("id", "url", host.alias("host"), path.alias("path")).withColumn("own", own)
+    rows = with_rule(rows.select("id", "url", host.alias("host"), path.alias("path")), rules)
     columns = [F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule")]
     plain = rows.select(*columns, F.lit(None).cast("string").alias("class_rule"), F.coalesce("own.verdict", F.lit(default)).alias("verdict"))
     if edges is None:
@@ -118,10 +163,12 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     if edges.isEmpty():
         return plain
     ends = edges.select(url.alias("url")).unionByName(edges.select(F.col("target").alias("url")))
-    ruled = ends.select(node_of(url).alias("node"), best_rule(host, path, rules).alias("own")).where("own is not null")
+    ruled = with_rule(ends.select(node_of(url).alias("node"), host.alias("host"), path.alias("path")), rules).where("own is not null").select("node", "own")
     members = components(edges.select(node_of(url).alias("a"), node_of(F.col("target")).alias("b")), tables)
     best = F.max(F.struct((F.col("own.verdict") == "allow").alias("allow"), "own.size", "own.rule", "own.verdict"))
     classes = tables.keep(members.join(ruled, "node").groupBy("component").agg(best.alias("best")))
     decided = members.join(classes, "component").select("node", "best")
-    joined = rows.withColumn("node", F.when(F.instr(url, "://") > 0, node_of(url))).join(decided, "node", "left")
+    # pages without a url have no node and pass by the join
+    joined = rows.where("instr(url, '://') > 0").withColumn("node", node_of(url)).join(decided, "node", "left").drop("node")
+    joined = joined.unionByName(rows.where("coalesce(instr(url, '://'), 0) = 0").withColumn("best", F.lit(None).cast(decided.schema["best"].dataType)))
     return joined.select(*columns, F.col("best.rule").alias("class_rule"), F.coalesce("own.verdict", "best.verdict", F.lit(default)).alias("verdict"))

@@ -58,6 +58,33 @@ def test_decisions_reach_aliases(spark):
     }
 
 
+def test_many_rules_against_brute_force(spark):
+    r = random.Random(4)
+    hosts = ["com", "example.com", "a.example.com", "net", "b.net", "c.b.net"]
+    rules = [urls.Rule(r.choice(["allow", "block"]), f"{r.choice(hosts)}/{''.join(r.choice('xy/') for _ in range(r.randint(0, 6)))}") for _ in range(600)]
+    rules = list({x.rule: x for x in rules}.values())
+    assert len(rules) > 256
+    pages = [f"http://{r.choice(['', 'www.', 'A.', 'q'])}{r.choice(hosts)}/{''.join(r.choice('xy/') for _ in range(r.randint(0, 9)))}" for _ in range(300)] + URLS
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(pages)] + [(0, pages[0], None)], "page_id long, url string, html string")
+    got = sorted(tuple(map(str, (x["page_id"], x["host"], x["path"], x["rule"], x["verdict"]))) for x in urls.judge(df, rules).collect())
+    assert got == sorted(tuple(map(str, (i, *judged(u, rules)))) for i, u in [*enumerate(pages), (0, pages[0])])
+    few = sorted(tuple(x) for x in urls.judge(df, rules[:200]).collect())
+    listed = urls.with_rule(df.select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path")), rules[:200], few=0)
+    assert sorted((x["page_id"], x["own"]["rule"] if x["own"] else None) for x in listed.collect()) == sorted(((x[0], x[3]) for x in few), key=lambda x: (x[0],))
+
+
+@pytest.mark.parametrize(
+    ("url", "href"),
+    [("http://a.fr/p/q?x=1", h) for h in ("?y=2", "../../es/1", "./r", "r?a=1&amp;b=2", "/s/../t/.", "..", "#part", "//b.fr/z", "https://c.fr/u", "go?to=http://d.fr/", "/x&#47;y", "../../../top")] + [("http://a.fr", "r"), ("http://a.fr/?q", "../r")],
+)
+def test_links_resolve_as_the_library_does(spark, url, href):
+    from html import unescape
+    from urllib.parse import urljoin
+
+    got = urls.link_edges(spark.createDataFrame([(url, f'<link rel=canonical href="{href}">')], "url string, html string")).first()["target"]
+    assert got.partition("#")[0] == urljoin(url, unescape(href)).partition("#")[0]
+
+
 # secrets
 
 
