@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def slices(batches, column: int, size: int = SLICE_BYTES):
@@ -61,6 +62,7 @@ def slices(batches, column: int, size: int = SLICE_BYTES):
 
     Memory then follows the size and not the rows of an Arrow batch. Workers are reused by later operators, so freed memory goes back to the system at the end.
     """
+    plain_memory()
     for b in batches:
         values = b.column(column)
         lengths = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
@@ -72,6 +74,16 @@ def slices(batches, column: int, size: int = SLICE_BYTES):
     hand_back()
 
 
+@lru_cache(maxsize=1)
+def plain_memory() -> None:
+    """From now on this process takes Arrow's memory from the C library, and large blocks straight from the system, where they return as soon as they are free."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # the least size of a block of its own
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def hand_back() -> None:
     """Freed memory of this process goes back to the system, where its C library can."""
     gc.collect()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from latticeframe.llm.common import Tables, bit_table, held, mix, slices, word_hashes
 
-COUNT_BITS = 25
+COUNT_BITS = 24
 CHUNK_BITS = 12
 GROUP_ROWS = 4_096
 NEAREST = 3
