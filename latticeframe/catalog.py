@@ -431,6 +431,25 @@ def matrix_annotate_rows(spark, d):
     return sales(spark, d).annotate_rows({"total": agg.sum("qty"), "n": agg.count()}).rows().select("p_brand", "total", "n").df
 
 
+@query(f"WITH {ENTRIES}, c AS (SELECT DISTINCT l_suppkey FROM e) SELECT l_suppkey, n_name AS nation FROM c JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey")
+def matrix_annotate_cols_lookup(spark, d):
+    return sales(spark, d).annotate_cols(nation=read(spark, d, "nation", "n_nationkey").index("s_nationkey")["n_name"]).cols().select("nation").df
+
+
+@query(f"WITH {ENTRIES} SELECT l_partkey, l_suppkey, p_brand AS brand, s_acctbal AS balance FROM e JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey")
+def matrix_annotate_entries_lookup(spark, d):
+    m, suppliers = sales(spark, d), read(spark, d, "supplier", "s_suppkey")
+    return m.annotate_entries(brand=F.col("p_brand"), balance=suppliers.index("l_suppkey")["s_acctbal"]).entries_df.select("l_partkey", "l_suppkey", "brand", "balance")
+
+
+@query(f"""WITH {ENTRIES} SELECT l_partkey, s_nationkey, count(*) AS n, sum(CAST(round(qty * price * 100) AS BIGINT)) AS paired
+          FROM e JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL""")
+def matrix_collect_cols_by_key(spark, d):
+    m = sales(spark, d).key_cols_by("s_nationkey").collect_cols_by_key()
+    cells = F.zip_with("qty", "price", lambda q, p: F.round(q * p * 100).cast("long"))
+    return m.entries_df.select("l_partkey", "s_nationkey", F.size("qty").cast("long").alias("n"), F.aggregate(cells, F.lit(0).cast("long"), lambda a, x: a + x).alias("paired"))
+
+
 @query(f"WITH {ENTRIES} SELECT l_suppkey, s_nationkey, round(avg(price / qty), 4) AS mean_price FROM e JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL")
 def matrix_annotate_cols(spark, d):
     return sales(spark, d).annotate_cols({"mean_price": F.round(agg.mean(F.col("price") / F.col("qty")), 4)}).cols().select("s_nationkey", "mean_price").df

@@ -7,13 +7,14 @@ the column key.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.operators.table import Table, aggregate
+from latticeframe.operators.table import Lookup, Table, aggregate
 from latticeframe.semantics import col
 
 
@@ -106,7 +107,7 @@ class MatrixTable:
     # annotation
 
     def attach(self, side: DataFrame, key, plain: dict, aggs: dict) -> DataFrame:
-        side = side.withColumns({k: col(v) for k, v in plain.items()}) if plain else side
+        side = Table(side, key).annotate(**plain).df if plain else side
         if not aggs:
             return side
         done = aggregate(self.full_entries(), list(key), aggs)
@@ -114,25 +115,27 @@ class MatrixTable:
         return side.select(*names(keep)).join(done, list(key), "left")
 
     def annotate_rows(self, aggs: dict | None = None, **named) -> MatrixTable:
-        """Row fields; those in aggs are aggregations over the row's entries (a row without entries gets missing values)."""
+        """Row fields, lookups in other tables among them; those in aggs are aggregations over the row's entries (a row without entries gets missing values)."""
         return self.new(rows=self.attach(self.rows_df, self.row_key, named, aggs or {}))
 
     def annotate_cols(self, aggs: dict | None = None, **named) -> MatrixTable:
         return self.new(cols=self.attach(self.cols_df, self.col_key, named, aggs or {}))
 
     def annotate_entries(self, **named) -> MatrixTable:
-        """Entry fields, from entry, row and column fields."""
-        entries = self.with_axes(named).withColumns({k: col(v) for k, v in named.items()})
+        """Entry fields, from entry, row and column fields and lookups in other tables."""
+        entries = Table(self.with_axes(named), [*self.row_key, *self.col_key]).annotate(**named).df
         keep = [*self.row_key, *self.col_key, *[c for c in self.entry_names() if c not in named], *named]
         return self.new(entries=entries.select(*names(keep)))
 
     def with_axes(self, named) -> DataFrame:
         """Entries joined with the axes, each only if an expression may use it."""
-        text = " ".join(str(col(v)) for v in named.values())
+        used = [k for v in named.values() for k in (v.keys if isinstance(v, Lookup) else [col(v)])]
+        text = " ".join(str(v) for v in used)
+        uses = lambda c: re.search(rf"(?<!\w){re.escape(c)}(?!\w)", text)
         df = self.entries_df
-        if any(c in text for c in self.rows_df.columns if c not in self.row_key):
+        if any(uses(c) for c in self.rows_df.columns if c not in self.row_key):
             df = df.join(self.rows_df.drop(*[c for c in self.rows_df.columns if c in self.entry_names()]), list(self.row_key))
-        if any(c in text for c in self.cols_df.columns if c not in self.col_key):
+        if any(uses(c) for c in self.cols_df.columns if c not in self.col_key):
             df = df.join(self.cols_df.drop(*[c for c in self.cols_df.columns if c in df.columns and c not in self.col_key]), list(self.col_key))
         return df
 
@@ -282,12 +285,16 @@ class MatrixTable:
         return GroupedMatrixTable(self, "cols", {**{k: F.col(f"`{k}`") for k in keys}, **{k: col(v) for k, v in named.items()}})
 
     def collect_cols_by_key(self) -> MatrixTable:
-        """One column for each key, its fields and its entries' fields as arrays."""
-        fields = [c for c in self.cols_df.columns if c not in self.col_key]
-        gather = lambda c: F.sort_array(F.collect_list(F.col(f"`{c}`"))).alias(c)
-        cols = self.cols_df.groupBy(*self.col_key).agg(*[gather(c) for c in fields]) if fields else self.cols_df.distinct()
-        entries = self.entries_df.groupBy(*self.row_key, *self.col_key).agg(*[gather(c) for c in self.entry_names()])
-        return self.new(cols=cols, entries=entries)
+        """One column for each key, its fields and its entries' fields as arrays; missing values stay, and the n-th values of all fields are of one column or entry, in their order."""
+
+        def gathered(df: DataFrame, key, fields: list[str]) -> DataFrame:
+            if not fields:
+                return df.distinct()
+            kept = df.groupBy(*names(key)).agg(F.sort_array(F.collect_list(F.struct(*names(fields)))).alias("__all"))
+            return kept.select(*names(key), *[F.col(f"__all.`{c}`").alias(c) for c in fields])
+
+        cols = gathered(self.cols_df, self.col_key, [c for c in self.cols_df.columns if c not in self.col_key])
+        return self.new(cols=cols, entries=gathered(self.entries_df, [*self.row_key, *self.col_key], self.entry_names()))
 
     # explode, union, index
 

@@ -8,6 +8,7 @@ never match in joins and form a group of their own in aggregations.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -215,7 +216,7 @@ class Table:
 
     def order_by(self, *by) -> Table:
         """A total order; the table has no key afterwards."""
-        return self.with_df(self.df.orderBy(*[b if isinstance(b, Column) and "NULLS" in str(b) else asc(b) for b in by]), ())
+        return self.with_df(self.df.orderBy(*[b if isinstance(b, Column) and re.search(r" (ASC|DESC) NULLS (FIRST|LAST)\W*$", str(b)) else asc(b) for b in by]), ())
 
     # row fields
 

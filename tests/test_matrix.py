@@ -40,6 +40,29 @@ def test_annotation_and_grouping(m):
     assert cells(cols, "s")[(1, True)] == 23
 
 
+def test_collected_fields_stay_together(spark):
+    rows, cols = spark.createDataFrame([(0,)], "r int"), spark.createDataFrame([("a", 2), ("a", None), ("b", 1)], "c string, w int")
+    entries = spark.createDataFrame([(0, "a", 1, 9), (0, "a", 2, None), (0, "a", 3, 7), (0, "b", None, 4)], "r int, c string, x int, y int")
+    got = MatrixTable(rows, cols, entries, ["r"], ["c"]).collect_cols_by_key()
+    assert {r["c"]: (r["x"], r["y"]) for r in got.entries_df.collect()} == {"a": ([1, 2, 3], [9, None, 7]), "b": ([None], [4])}
+    assert {r["c"]: sorted(r["w"], key=str) for r in got.cols_df.collect()} == {"a": [2, None], "b": [1]}
+
+
+def test_lookups_on_axes_and_entries(spark, m):
+    from latticeframe.operators.table import Table
+
+    t = Table(spark.createDataFrame([(0, "zero"), (2, "two")], "k int, v string"), "k")
+    assert {r["row_idx"]: r["v"] for r in m.annotate_rows(v=t.index("row_idx")["v"]).rows_df.collect()} == {0: "zero", 1: None, 2: "two", 3: None}
+    assert {r["col_idx"]: r["v"] for r in m.annotate_cols(v=t.index("col_idx")["v"]).cols_df.collect()} == {0: "zero", 1: None, 2: "two"}
+    assert cells(m.annotate_entries(v=t.index("col_idx")["v"], y=F.col("x") + 1), "v")[(3, 2)] == "two"
+
+
+def test_fields_are_found_by_their_whole_names(m):
+    named = m.annotate_rows(q=F.lit(1)).annotate_entries(qual=F.col("x"))
+    assert "q" not in named.with_axes({"y": F.col("qual") + 1}).columns
+    assert "q" in named.with_axes({"y": F.col("q") + 1}).columns
+
+
 def test_keys_union_and_shapes(m):
     again = m.key_rows_by(k=F.col("row_idx") + 100)
     assert cells(again)[(103, 2)] == 32
