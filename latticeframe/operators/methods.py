@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from latticeframe.functions import aggregators as agg
 from latticeframe.functions import genetics as g
 from latticeframe.functions.statistics import hardy_weinberg
-from latticeframe.operators.blockmatrix import BlockMatrix
+from latticeframe.operators.blockmatrix import SCHEMA, BlockMatrix, add_up, pack
 from latticeframe.operators.matrix import MatrixTable
 from latticeframe.operators.table import Table
 from latticeframe.semantics import divide
@@ -144,27 +144,110 @@ def genetic_relatedness_matrix(matrix: MatrixTable, gt: str = "GT") -> BlockMatr
 
 def row_correlation(matrix: MatrixTable, field: str) -> BlockMatrix:
     """Correlations of rows, missing entries taking the row's mean."""
-    b = BlockMatrix.from_matrix(matrix, field, mean_impute=True, center=True, normalize=True)
+    b = standardized(matrix, field)
     return b @ b.T
 
 
+def nearby_products(b: BlockMatrix, places: DataFrame, radius: float, upper: bool = False) -> BlockMatrix:
+    """b times its transpose where two rows have one group and lie within radius of each other, and 0 elsewhere.
+
+    places has a row (i, group, at) for each row of b; rows with a null group or place are near none. Places fall into
+    cells as wide as the radius, and only pairs of blocks that have rows in the same or neighbouring cells are
+    multiplied, with upper only those on or above the diagonal. Products so grow with the rows within the radius and
+    not with the square of all rows.
+    """
+    edge, width = b.block, float(radius) or 1.0
+    if not 0 <= radius < float("inf"):
+        raise ValueError("the radius must be finite and not negative")
+    known = places.select((F.col("i") / edge).cast("int").alias("br"), "i", "group", F.col("at").cast("double").alias("at"))
+    cells = known.where("group is not null and at is not null").select("br", "group", F.floor(F.col("at") / width).alias("cell")).distinct()
+    around = cells.select(F.col("br").alias("bc"), "group", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    near = cells.join(around, ["group", "cell"]).where("bc >= br" if upper else "true").select("br", "bc").distinct()
+    size, out = b.size_of, BlockMatrix(b.blocks, b.n_rows, b.n_rows, edge)
+
+    def multiply(frames):
+        for x in frames:
+            data = [pack(np.frombuffer(p).reshape(size(r, k)) @ np.frombuffer(q).reshape(size(c, k)).T) for r, c, k, p, q in zip(x.br, x.bc, x.k, x.a, x.b, strict=True)]
+            yield pd.DataFrame({"br": x.br, "bc": x.bc, "data": data})
+
+    left = b.blocks.select("br", F.col("bc").alias("k"), F.col("data").alias("a"))
+    right = b.blocks.select(F.col("br").alias("bc"), F.col("bc").alias("k"), F.col("data").alias("b"))
+    products = add_up(near.join(left, "br").join(right, ["bc", "k"]).mapInPandas(multiply, SCHEMA), out.size_of, b.grid()[1])
+    # the places of a block's rows, at most as many as a block has
+    sides = known.groupBy("br").agg(F.sort_array(F.collect_list(F.struct("i", "group", "at"))).alias("s"))
+    field = lambda c, f: F.transform(c, lambda p: p[f])
+    rows = sides.select("br", field("s", "group").alias("g1"), field("s", "at").alias("p1"))
+    cols = sides.select(F.col("br").alias("bc"), field("s", "group").alias("g2"), field("s", "at").alias("p2"))
+    shape = out.size_of
+
+    def mask(frames):
+        for x in frames:
+            data = []
+            for r, c, d, g1, p1, g2, p2 in zip(x.br, x.bc, x.data, x.g1, x.p1, x.g2, x.p2, strict=True):
+                code = pd.factorize(np.array([*g1, *g2], object))[0]  # a missing group is -1
+                one, two = code[: len(g1), None], code[None, len(g1) :]
+                far = np.abs(np.array(p1, float)[:, None] - np.array(p2, float)[None])
+                data.append(pack(np.where((one == two) & (one >= 0) & (far <= radius), np.frombuffer(d).reshape(shape(r, c)), 0.0)))
+            yield pd.DataFrame({"br": x.br, "bc": x.bc, "data": data})
+
+    return out.new(products.join(rows, "br").join(cols, "bc").mapInPandas(mask, SCHEMA))
+
+
+def standardized(matrix: MatrixTable, field: str) -> BlockMatrix:
+    return BlockMatrix.from_matrix(matrix, field, mean_impute=True, center=True, normalize=True)
+
+
 def ld_matrix(matrix: MatrixTable, field: str, position: str, radius: float) -> BlockMatrix:
-    """row_correlation within a radius of positions, which ascend with the row key; blocks beyond it are never multiplied out on return."""
-    at = [r[0] for r in matrix.rows().sorted().select(position).collect()]  # positions of rows, one number each
-    at = np.array(at, float)
-    starts, stops = np.searchsorted(at, at - radius, "left"), np.searchsorted(at, at + radius, "right")
-    return row_correlation(matrix, field).sparsify_row_intervals(starts.tolist(), stops.tolist())
+    """row_correlation within a radius of positions, 0 beyond it and for missing positions; blocks beyond it are never multiplied."""
+    places = matrix.rows().add_index("__i").df.select(F.col("__i").alias("i"), F.lit("").alias("group"), F.col(f"`{position}`").alias("at"))
+    return nearby_products(standardized(matrix, field), places, radius)
+
+
+PAIR_COUNTS = ("n", "both_het", "ibs0", "ibs1", "ibs2", "het_i", "het_j", "d2")
 
 
 def pair_counts(matrix: MatrixTable, gt: str) -> DataFrame:
-    """For each pair of columns i < j: n, both_het, ibs0, ibs2, het_i, het_j over rows called in both. Joined row by row; rows grow with the square of the columns, as the result does."""
+    """For each pair of columns i < j, by their keys, counts over the rows called in both; pairs without such rows are left out.
+
+    Calls are diploid or haploid; those of more than two alternate alleles count as not called. The counts are block
+    products of indicators, so what is shuffled grows with the entries, and the result with the square of the columns.
+    """
     c = F.col(f"`{gt}`")
-    e = matrix.entries_df.where(c.isNotNull()).select(*matrix.row_key, F.struct(*matrix.col_key).alias("i"), g.n_alt_alleles(c).alias("a"))
-    r = e.select(*matrix.row_key, F.col("i").alias("j"), F.col("a").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return e.join(r, list(matrix.row_key)).where("i < j").groupBy("i", "j").agg(
-        F.count("*").alias("n"), F.count_if((a == 1) & (b == 1)).alias("both_het"), F.count_if(F.abs(a - b) == 2).alias("ibs0"), F.count_if(F.abs(a - b) == 1).alias("ibs1"), F.count_if(a == b).alias("ibs2"), F.count_if(a == 1).alias("het_i"), F.count_if(b == 1).alias("het_j"), F.sum((a - b) * (a - b)).alias("d2")
-    )
+    rows, cols = matrix.rows().add_index("__i").df.select(*matrix.row_key, "__i"), matrix.cols().add_index("__j").df.select(*matrix.col_key, "__j")
+    alts = g.n_alt_alleles(c)
+    e = matrix.entries_df.where(alts <= 2).select(*matrix.row_key, *matrix.col_key, (alts + 1).alias("v"))
+    e = e.join(rows, list(matrix.row_key)).join(cols, list(matrix.col_key)).select(F.col("__i").alias("i"), F.col("__j").alias("j"), "v")
+    b = BlockMatrix.from_entries(e, rows.count(), cols.count())
+    size, edge, n_cols = b.size_of, b.block, b.n_cols
+    width = lambda k: min(edge, n_cols - k * edge)
+
+    def count(frames):
+        for x in frames:
+            data = []
+            for k, r, s, p, q in zip(x.k, x.br, x.bc, x.a, x.b, strict=True):
+                p, q = np.frombuffer(p).reshape(size(k, r)), np.frombuffer(q).reshape(size(k, s))
+                (c1, c2), (a, d) = [(z > 0).astype(float) for z in (p, q)], [[(z == v).astype(float) for v in (1, 2, 3)] for z in (p, q)]
+                n, same = c1.T @ c2, sum(u.T @ v for u, v in zip(a, d, strict=True))
+                apart = a[0].T @ d[2] + a[2].T @ d[0]
+                data.append(pack(np.vstack([n, a[1].T @ d[1], apart, n - apart - same, same, a[1].T @ c2, c1.T @ d[1], n - same + 3 * apart])))
+            yield pd.DataFrame({"br": x.br, "bc": x.bc, "data": data})
+
+    left = b.blocks.select(F.col("br").alias("k"), F.col("bc").alias("br"), F.col("data").alias("a"))
+    right = b.blocks.select(F.col("br").alias("k"), "bc", F.col("data").alias("b"))
+    planes = left.join(right, "k").where("br <= bc").mapInPandas(count, SCHEMA)
+    total = add_up(planes, lambda r, s: (len(PAIR_COUNTS) * width(r), width(s)), b.grid()[0])
+
+    def pairs(frames):
+        for x in frames:
+            for r, s, d in zip(x.br, x.bc, x.data, strict=True):
+                counts = np.frombuffer(d).reshape(len(PAIR_COUNTS), width(r), width(s))
+                one, two = np.nonzero(counts[0])
+                one, two = one[one + r * edge < two + s * edge], two[one + r * edge < two + s * edge]
+                yield pd.DataFrame({"__i": one + r * edge, "__j": two + s * edge} | {k: counts[m, one, two].astype(np.int64) for m, k in enumerate(PAIR_COUNTS)})
+
+    found = total.mapInPandas(pairs, ", ".join(f"{k} long" for k in ("__i", "__j", *PAIR_COUNTS)))
+    key = F.struct(*matrix.col_key)
+    return found.join(cols.select(F.col("__j").alias("__i"), key.alias("i")), "__i").join(cols.select("__j", key.alias("j")), "__j").select("i", "j", *PAIR_COUNTS)
 
 
 def king(matrix: MatrixTable, gt: str = "GT") -> DataFrame:
@@ -370,11 +453,19 @@ def filter_alleles(matrix: MatrixTable, keep, alleles: str = "alleles") -> Matri
 
 
 def ld_prune(matrix: MatrixTable, gt: str = "GT", r2: float = 0.2, window: int = 1_000_000, locus: str = "locus") -> Table:
-    """Rows of a maximal set in which no two of one contig within the window have a squared correlation of r2 or more."""
+    """Rows of a maximal set in which no two of one contig within the window have a squared correlation of r2 or more. Only blocks of rows within the window are multiplied."""
     m = matrix.annotate_entries(__n=g.n_alt_alleles(F.col(f"`{gt}`")))
     keyed = m.rows().add_index("__i").df
-    pairs = row_correlation(m, "__n").entries().where((F.col("i") < F.col("j")) & (F.col("v") * F.col("v") >= r2))
-    place = keyed.select(F.col("__i"), F.col(f"`{locus}`.contig").alias("c"), F.col(f"`{locus}`.position").alias("p"))
-    near = pairs.join(place.select(F.col("__i").alias("i"), F.col("c").alias("ci"), F.col("p").alias("pi")), "i").join(place.select(F.col("__i").alias("j"), F.col("c").alias("cj"), F.col("p").alias("pj")), "j").where((F.col("ci") == F.col("cj")) & (F.abs(F.col("pi") - F.col("pj")) <= window))
-    gone = maximal_independent_set(near.select("i", "j"), keep=False).select(F.col("node").alias("__i"))
+    places = keyed.select(F.col("__i").alias("i"), F.col(f"`{locus}`.contig").alias("group"), F.col(f"`{locus}`.position").alias("at"))
+    near = nearby_products(standardized(m, "__n"), places, window, upper=True)
+    size, edge = near.size_of, near.block
+
+    def correlated(frames):
+        for x in frames:
+            for r, c, d in zip(x.br, x.bc, x.data, strict=True):
+                one, two = np.nonzero(np.square(np.frombuffer(d).reshape(size(r, c))) >= r2)
+                one, two = one + r * edge, two + c * edge
+                yield pd.DataFrame({"i": one[one < two], "j": two[one < two]})
+
+    gone = maximal_independent_set(near.blocks.mapInPandas(correlated, "i long, j long"), keep=False).select(F.col("node").alias("__i"))
     return Table(keyed.join(gone, "__i", "left_anti").select(*matrix.row_key), matrix.row_key)

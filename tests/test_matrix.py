@@ -167,6 +167,52 @@ def test_relatedness(genotypes):
     assert scores.count() == n
 
 
+def test_pair_counts(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1, 3, (15, 6))  # -1: not called
+    e = spark.createDataFrame([(i, j, int(x[i, j])) for i in range(15) for j in range(6)], "r int, c int, n int")
+    e = e.select("r", "c", F.when(F.col("n") >= 0, g.call(F.when(F.col("n") == 2, 1).otherwise(0), F.when(F.col("n") > 0, 1).otherwise(0))).alias("GT"))
+    m = MatrixTable(e.select("r").distinct(), e.select("c").distinct(), e, ["r"], ["c"])
+    got = {(r["i"]["c"], r["j"]["c"]): tuple(r)[2:] for r in methods.pair_counts(m, "GT").collect()}
+    want = {}
+    for i in range(6):
+        for j in range(i + 1, 6):
+            a, b = (x[(x[:, i] >= 0) & (x[:, j] >= 0), k] for k in (i, j))
+            d = abs(a - b)
+            want[i, j] = (len(a), ((a == 1) & (b == 1)).sum(), (d == 2).sum(), (d == 1).sum(), (d == 0).sum(), (a == 1).sum(), (b == 1).sum(), (d * d).sum())
+    assert got == want
+    phi = {(r["i"]["c"], r["j"]["c"]): r["phi"] for r in methods.king(m).collect()}
+    assert all(abs(phi[k] - (0.5 - v[7] / (4 * min(v[5], v[6])))) < 1e-12 for k, v in want.items() if min(v[5], v[6]))
+    assert methods.pair_counts(m.new(entries=e.limit(0)), "GT").count() == 0
+
+
+def test_nearby_products(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(30, 9))
+    group = [None if i == 7 else "xy"[i >= 17] for i in range(30)]
+    at = [None if i == 20 else int(v) for i, v in enumerate(np.concatenate([np.sort(rng.integers(-40, 60, 17)), np.sort(rng.integers(0, 60, 13))]))]
+    places = spark.createDataFrame([(i, group[i], at[i]) for i in range(30)], "i long, group string, at int")
+    known = np.array([g is not None and p is not None for g, p in zip(group, at, strict=True)])
+    far = abs(np.array([p or 0 for p in at])[:, None] - np.array([p or 0 for p in at])[None])
+    same = np.array([[known[i] and known[j] and group[i] == group[j] for j in range(30)] for i in range(30)])
+    b = BlockMatrix.from_numpy(spark, a, 4)
+    for radius in (0, 3, 25):
+        near = methods.nearby_products(b, places, radius)
+        assert np.allclose(near.to_numpy(), np.where(same & (far <= radius), a @ a.T, 0))
+    assert methods.nearby_products(b, places, 3).blocks.count() < 64
+    upper = methods.nearby_products(b, places, 25, upper=True)
+    assert np.allclose(np.triu(upper.to_numpy()), np.triu(np.where(same & (far <= 25), a @ a.T, 0)))
+    with pytest.raises(ValueError):
+        methods.nearby_products(b, places, float("inf"))
+
+
+def test_ld_matrix(genotypes):
+    m = genotypes.annotate_entries(n=g.n_alt_alleles("GT")).annotate_rows(at=F.col("locus.position"))
+    full = methods.row_correlation(m, "n").to_numpy()
+    far = abs(np.arange(30)[:, None] - np.arange(30)[None])
+    assert np.allclose(methods.ld_matrix(m, "n", "at", 5).to_numpy(), np.where(far <= 5, full, 0))
+
+
 def test_pedigrees(spark):
     calls = [(1, "kid", 1), (1, "dad", 0), (1, "mum", 0), (2, "kid", 1), (2, "dad", 1), (2, "mum", 0), (3, "kid", 0), (3, "dad", 2), (3, "mum", 1)]
     e = spark.createDataFrame(calls, "v int, s string, n int").select("v", "s", g.call(F.when(F.col("n") == 2, 1).otherwise(0), F.when(F.col("n") > 0, 1).otherwise(0)).alias("GT"))

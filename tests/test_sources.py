@@ -48,3 +48,4 @@ def test_ld_prune(spark):
     kept = {r["locus"]["position"] for r in methods.ld_prune(both, r2=0.95).df.collect()}
     assert len(kept) <= 8
     assert not any(p + 100 in kept for p in kept)
+    assert methods.ld_prune(both, r2=0.95, window=50).df.count() > len(kept)  # the twins are farther apart
