@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "br int, bc int, data binary"
 BLOCK = 512
+STRIPE = 1 << 19  # numbers in a stripe of whole rows
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -330,37 +331,80 @@ class BlockMatrix:
         return MatrixTable(spark.range(self.n_rows).withColumnRenamed("id", "row_idx"), spark.range(self.n_cols).withColumnRenamed("id", "col_idx"), e, ["row_idx"], ["col_idx"])
 
     def svd(self, k: int, iterations: int = 6, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k leading singular triplets by randomised subspace iteration; matrices of k columns are on the driver."""
-        rng = np.random.default_rng(seed)
-        q = np.linalg.qr(rng.normal(size=(self.n_cols, min(self.n_cols, k + 8))))[0]
-        for _ in range(iterations):
-            q = np.linalg.qr(self.times_tall(self.times_tall(q), True))[0]
-        y = self.times_tall(q)
-        u, s, v = np.linalg.svd(y, full_matrices=False)
-        return u[:, :k], s[:k], (q @ v.T).T[:k]
-
-    def times_tall(self, tall: np.ndarray, transposed: bool = False) -> np.ndarray:
-        """This matrix, or its transpose, times a tall matrix that goes to the executors."""
-        shared, size, b = self.blocks.sparkSession.sparkContext.broadcast(tall), self.size_of, self.block
-        n = self.n_cols if transposed else self.n_rows
-        columns = tall.shape[1]
-
-        def run(frames):
+        """The k leading singular triplets, on the driver, which so holds k values for each row and column; leading() keeps the left ones distributed."""
+        if self.n_rows < self.n_cols:
+            v, values, u = self.T.svd(k, iterations, seed)
+            return u.T, values, v.T
+        values, right, left = self.leading(k, iterations, seed)
+        u = np.zeros((self.n_rows, len(values)))
+        for r in left.collect():
+            u[r["i"]] = r["vector"]
+        return u, values, right.T
+
+    def leading(self, k: int, iterations: int = 6, seed: int = 0) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+        """Of the k leading triplets the singular values, the right vectors as columns, and rows (i, vector) with the left vectors' components by row; rows of absent blocks alone have none.
+
+        Randomised subspace iteration over stripes of whole rows, of bounded size and written once. The driver and each
+        task hold k + 8 numbers for each column; nothing that grows with the rows leaves the executors.
+        """
+        from latticeframe.plans.materialize import materialize
+
+        spark, edge, n, m, size = self.blocks.sparkSession, self.block, self.n_rows, self.n_cols, self.size_of
+        step = min(edge, max(1, STRIPE // max(m, 1)))
+
+        def cut(frames):
             for x in frames:
-                out = {}
+                rows = []
                 for r, c, d in zip(x.br, x.bc, x.data, strict=True):
                     a = np.frombuffer(d).reshape(size(r, c))
-                    to, part = (c, a.T @ shared.value[r * b : r * b + a.shape[0]]) if transposed else (r, a @ shared.value[c * b : c * b + a.shape[1]])
-                    out[to] = out.get(to, 0) + part
-                yield pd.DataFrame({"br": list(out), "bc": [0] * len(out), "data": [pack(v) for v in out.values()]})
+                    rows += [(r * edge + low, c, pack(a[low : low + step])) for low in range(0, len(a), step)]
+                yield pd.DataFrame(rows, columns=["first", "bc", "data"])
+
+        def whole(key, f: pd.DataFrame) -> pd.DataFrame:
+            first = int(key[0])
+            a = np.zeros((min(step, edge - first % edge, n - first), m))
+            for c, d in zip(f.bc, f.data, strict=True):
+                part = np.frombuffer(d).reshape(len(a), -1)
+                a[:, c * edge : c * edge + part.shape[1]] = part
+            return pd.DataFrame({"first": [first], "data": [pack(a)]})
+
+        stripes = materialize(self.blocks.mapInPandas(cut, "first long, bc int, data binary").groupBy("first").applyInPandas(whole, "first long, data binary"))
+        tasks = stripes.rdd.getNumPartitions()
+
+        def gram(q: np.ndarray) -> np.ndarray:
+            """The transpose times the matrix times q."""
+            shared, columns = spark.sparkContext.broadcast(q), q.shape[1]
+
+            def run(frames):
+                acc = np.zeros((m, columns))
+                for x in frames:
+                    for d in x.data:
+                        a = np.frombuffer(d).reshape(-1, m)
+                        acc += a.T @ (a @ shared.value)
+                for c in range(-(-m // edge)):
+                    yield pd.DataFrame({"br": [c], "bc": [0], "data": [pack(acc[c * edge : (c + 1) * edge])]})
+
+            out = np.zeros((m, columns))
+            for r in add_up(stripes.mapInPandas(run, SCHEMA), lambda c, _: (min(edge, m - c * edge), columns), tasks).collect():
+                out[r["br"] * edge : (r["br"] + 1) * edge] = np.frombuffer(r["data"]).reshape(-1, columns)
+            shared.unpersist()
+            return out
+
+        q = np.linalg.qr(np.random.default_rng(seed).normal(size=(m, min(m, k + 8))))[0]
+        for _ in range(iterations):
+            q = np.linalg.qr(gram(q))[0]
+        inner = q.T @ gram(q)
+        squares, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, right = np.sqrt(np.maximum(squares[::-1], 0.0))[:k], (q @ turn[:, ::-1])[:, :k]
+        scaled = spark.sparkContext.broadcast(right / np.where(values > 0, values, np.inf))
 
-        part = self.blocks.mapInPandas(run, SCHEMA)
-        done = add_up(part, lambda r, c: (min(b, n - r * b), columns), max(self.grid()))
-        out = np.zeros((n, columns))
-        for r in done.collect():
-            rows = min(b, n - r["br"] * b)
-            out[r["br"] * b : r["br"] * b + rows] = np.frombuffer(r["data"]).reshape(rows, columns)
-        return out
+        def project(frames):
+            for x in frames:
+                for first, d in zip(x["first"], x.data, strict=True):
+                    rows = np.frombuffer(d).reshape(-1, m) @ scaled.value
+                    yield pd.DataFrame({"i": np.arange(len(rows)) + first, "vector": list(rows)})
+
+        return values, right, stripes.mapInPandas(project, "i long, vector array<double>")
 
     # storage
 

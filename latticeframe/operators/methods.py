@@ -114,13 +114,15 @@ def has_count(k: int):
 
 
 def pca(matrix: MatrixTable, field: str, k: int = 10) -> tuple[list[float], Table, Table]:
-    """Eigenvalues, column scores and row loadings of the entries (missing ones count as 0), by randomised subspace iteration."""
+    """Eigenvalues, column scores and row loadings of the entries (missing ones count as 0), by randomised subspace iteration; the driver holds k + 8 numbers for each column, none for rows."""
     b = BlockMatrix.from_matrix(matrix, field)
-    u, s, v = b.svd(k)
-    spark = matrix.rows_df.sparkSession
-    side = lambda table, values: table.add_index("__i").df.join(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(values)], "__i long, scores array<double>"), "__i").drop("__i")
-    cols, rows = side(matrix.cols().select(), (v * s[:, None]).T), side(matrix.rows().select(), u).withColumnRenamed("scores", "loadings")
-    return (s**2).tolist(), Table(cols, matrix.col_key), Table(rows, matrix.row_key)
+    values, right, left = b.leading(k)
+    scores = matrix.rows_df.sparkSession.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(right * values)], "__i long, scores array<double>")  # a row for each column
+    cols = matrix.cols().select().add_index("__i").df.join(scores, "__i").drop("__i")
+    none = F.array(*[F.lit(0.0)] * len(values))
+    rows = matrix.rows().select().add_index("__i").df.join(left.withColumnRenamed("i", "__i"), "__i", "left")
+    rows = rows.withColumn("loadings", F.coalesce("vector", none)).drop("__i", "vector")
+    return (values**2).tolist(), Table(cols, matrix.col_key), Table(rows, matrix.row_key)
 
 
 def hwe_normalize(matrix: MatrixTable, gt: str = "GT") -> MatrixTable:

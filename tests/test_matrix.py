@@ -186,6 +186,24 @@ def test_pair_counts(spark):
     assert methods.pair_counts(m.new(entries=e.limit(0)), "GT").count() == 0
 
 
+def test_leading(spark, monkeypatch):
+    from latticeframe.operators import blockmatrix
+
+    monkeypatch.setattr(blockmatrix, "STRIPE", 20)  # stripes of three rows, and shorter ones at the ends of blocks
+    a = np.random.default_rng(6).normal(size=(23, 6)) * np.array([9, 5, 3, 1, 1, 1])
+    a[8:12] = 0
+    b = BlockMatrix.from_numpy(spark, a, 4)
+    values, right, left = b.new(b.blocks.where("br <> 2")).leading(3)
+    assert np.allclose(values, np.linalg.svd(a)[1][:3])
+    got = {r["i"]: r["vector"] for r in left.collect()}
+    assert sorted(got) == [i for i in range(23) if not 8 <= i < 12]
+    u = np.array([got.get(i, [0.0] * 3) for i in range(23)])
+    assert np.allclose(a.T @ u, right * values)
+    u, s, v = b.T.svd(3)
+    assert u.shape == (6, 3)
+    assert np.allclose(u * s @ v @ v.T, a.T @ v.T)
+
+
 def test_nearby_products(spark):
     rng = np.random.default_rng(4)
     a = rng.normal(size=(30, 9))
