@@ -1,9 +1,13 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from latticeframe.functions import genetics as g
 from latticeframe.functions import ndarray as nd
 from latticeframe.operators import methods
+from latticeframe.plans.materialize import shared_folder
 from latticeframe.sources.vcf import export_vcf, import_vcf
 
 VCF = """##fileformat=VCFv4.2
@@ -49,3 +53,16 @@ def test_ld_prune(spark):
     assert len(kept) <= 8
     assert not any(p + 100 in kept for p in kept)
     assert methods.ld_prune(both, r2=0.95, window=50).df.count() > len(kept)  # the twins are farther apart
+
+
+def test_shared_folder():
+    def session(master, folder=None):
+        conf = {"spark.checkpoint.dir": folder} if folder else {}
+        context = SimpleNamespace(master=master, getConf=lambda: conf)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, default: default, set=conf.__setitem__))
+
+    assert shared_folder(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(session("local[4]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master))
