@@ -6,16 +6,21 @@ blocks; each block is a numpy array packed in binary, and numpy works on Arrow b
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticeframe.plans.materialize import materialize
+
 SCHEMA = "br int, bc int, data binary"
 BLOCK = 512
-STRIPE = 1 << 19  # numbers in a stripe of whole rows
+STRIPE = 1 << 17  # entries in a stripe of whole rows
+BASIS = 1 << 24  # numbers in the driver's basis of a Krylov space
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -92,6 +97,12 @@ class BlockMatrix:
     @staticmethod
     def from_matrix(matrix, field: str, mean_impute: bool = False, center: bool = False, normalize: bool = False, block: int = BLOCK) -> BlockMatrix:
         """Rows and columns of a matrix table in key order; missing entries are an error of the caller unless mean_impute."""
+        e, n_rows, n_cols = BlockMatrix.entries_of(matrix, field, mean_impute, center, normalize)
+        return BlockMatrix.from_entries(e, n_rows, n_cols, block)
+
+    @staticmethod
+    def entries_of(matrix, field: str, mean_impute: bool = False, center: bool = False, normalize: bool = False) -> tuple[DataFrame, int, int]:
+        """Rows (i, j, v), the places in key order, and the numbers of rows and columns."""
         rows, cols = matrix.rows().add_index("__i").df.select(*matrix.row_key, "__i"), matrix.cols().add_index("__j").df.select(*matrix.col_key, "__j")
         e = matrix.entries_df.select(*matrix.row_key, *matrix.col_key, F.col(f"`{field}`").cast("double").alias("v")).where("v is not null")
         n_cols = cols.count()
@@ -104,7 +115,7 @@ class BlockMatrix:
                 spread = F.sqrt(F.greatest(F.col("q") - F.col("n") * F.col("m") * F.col("m"), F.lit(0.0)))
                 e = e.withColumn("v", F.col("v") - F.col("m"))
                 e = e.withColumn("v", F.when(spread > 0, F.col("v") / F.when(spread > 0, spread)).otherwise(0.0)) if normalize else e
-        return BlockMatrix.from_entries(e.select("i", "j", "v"), rows.count(), n_cols, block)
+        return e.select("i", "j", "v"), rows.count(), n_cols
 
     # elementwise
 
@@ -330,81 +341,20 @@ class BlockMatrix:
         e = self.densify().entries().select(F.col("i").alias("row_idx"), F.col("j").alias("col_idx"), F.col("v").alias("element"))
         return MatrixTable(spark.range(self.n_rows).withColumnRenamed("id", "row_idx"), spark.range(self.n_cols).withColumnRenamed("id", "col_idx"), e, ["row_idx"], ["col_idx"])
 
-    def svd(self, k: int, iterations: int = 6, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def svd(self, k: int, rounds: int = 300, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k leading singular triplets, on the driver, which so holds k values for each row and column; leading() keeps the left ones distributed."""
         if self.n_rows < self.n_cols:
-            v, values, u = self.T.svd(k, iterations, seed)
+            v, values, u = self.T.svd(k, rounds, seed)
             return u.T, values, v.T
-        values, right, left = self.leading(k, iterations, seed)
+        values, right, left = self.leading(k, rounds, seed)
         u = np.zeros((self.n_rows, len(values)))
         for r in left.collect():
             u[r["i"]] = r["vector"]
         return u, values, right.T
 
-    def leading(self, k: int, iterations: int = 6, seed: int = 0) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-        """Of the k leading triplets the singular values, the right vectors as columns, and rows (i, vector) with the left vectors' components by row; rows of absent blocks alone have none.
-
-        Randomised subspace iteration over stripes of whole rows, of bounded size and written once. The driver and each
-        task hold k + 8 numbers for each column; nothing that grows with the rows leaves the executors.
-        """
-        from latticeframe.plans.materialize import materialize
-
-        spark, edge, n, m, size = self.blocks.sparkSession, self.block, self.n_rows, self.n_cols, self.size_of
-        step = min(edge, max(1, STRIPE // max(m, 1)))
-
-        def cut(frames):
-            for x in frames:
-                rows = []
-                for r, c, d in zip(x.br, x.bc, x.data, strict=True):
-                    a = np.frombuffer(d).reshape(size(r, c))
-                    rows += [(r * edge + low, c, pack(a[low : low + step])) for low in range(0, len(a), step)]
-                yield pd.DataFrame(rows, columns=["first", "bc", "data"])
-
-        def whole(key, f: pd.DataFrame) -> pd.DataFrame:
-            first = int(key[0])
-            a = np.zeros((min(step, edge - first % edge, n - first), m))
-            for c, d in zip(f.bc, f.data, strict=True):
-                part = np.frombuffer(d).reshape(len(a), -1)
-                a[:, c * edge : c * edge + part.shape[1]] = part
-            return pd.DataFrame({"first": [first], "data": [pack(a)]})
-
-        stripes = materialize(self.blocks.mapInPandas(cut, "first long, bc int, data binary").groupBy("first").applyInPandas(whole, "first long, data binary"))
-        tasks = stripes.rdd.getNumPartitions()
-
-        def gram(q: np.ndarray) -> np.ndarray:
-            """The transpose times the matrix times q."""
-            shared, columns = spark.sparkContext.broadcast(q), q.shape[1]
-
-            def run(frames):
-                acc = np.zeros((m, columns))
-                for x in frames:
-                    for d in x.data:
-                        a = np.frombuffer(d).reshape(-1, m)
-                        acc += a.T @ (a @ shared.value)
-                for c in range(-(-m // edge)):
-                    yield pd.DataFrame({"br": [c], "bc": [0], "data": [pack(acc[c * edge : (c + 1) * edge])]})
-
-            out = np.zeros((m, columns))
-            for r in add_up(stripes.mapInPandas(run, SCHEMA), lambda c, _: (min(edge, m - c * edge), columns), tasks).collect():
-                out[r["br"] * edge : (r["br"] + 1) * edge] = np.frombuffer(r["data"]).reshape(-1, columns)
-            shared.unpersist()
-            return out
-
-        q = np.linalg.qr(np.random.default_rng(seed).normal(size=(m, min(m, k + 8))))[0]
-        for _ in range(iterations):
-            q = np.linalg.qr(gram(q))[0]
-        inner = q.T @ gram(q)
-        squares, turn = np.linalg.eigh((inner + inner.T) / 2)
-        values, right = np.sqrt(np.maximum(squares[::-1], 0.0))[:k], (q @ turn[:, ::-1])[:, :k]
-        scaled = spark.sparkContext.broadcast(right / np.where(values > 0, values, np.inf))
-
-        def project(frames):
-            for x in frames:
-                for first, d in zip(x["first"], x.data, strict=True):
-                    rows = np.frombuffer(d).reshape(-1, m) @ scaled.value
-                    yield pd.DataFrame({"i": np.arange(len(rows)) + first, "vector": list(rows)})
-
-        return values, right, stripes.mapInPandas(project, "i long, vector array<double>")
+    def leading(self, k: int, rounds: int = 300, seed: int = 0) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+        """Of the k leading triplets the singular values, the right vectors as columns, and rows (i, vector) with the left vectors' components by row; rows without an entry other than 0 have none."""
+        return leading_triplets(self.entries().where("v <> 0"), self.n_cols, k, rounds, seed)
 
     # storage
 
@@ -453,3 +403,115 @@ def add_up(parts: DataFrame, size, inner: int) -> DataFrame:
         salted = parts.withColumn("s", F.pmod(F.monotonically_increasing_id(), F.lit(-(-inner // fan))).cast("int"))
         parts = salted.groupBy("br", "bc", "s").applyInPandas(total, SCHEMA)
     return parts.groupBy("br", "bc").applyInPandas(total, SCHEMA)
+
+
+def whole_groups(batches, starts: Callable[[pa.Table], np.ndarray], least: int):
+    """Arrow tables of at least so many rows, but for the last, cut where a group of consecutive rows starts."""
+    rest, rows = [], 0
+    for b in batches:
+        rest, rows = [*rest, b], rows + b.num_rows
+        if rows < least:
+            continue
+        t = pa.Table.from_batches(rest)
+        cut = int(np.flatnonzero(starts(t))[-1])
+        if cut:
+            yield t.slice(0, cut)
+            rest, rows = t.slice(cut).to_batches(), rows - cut
+    if rows:
+        yield pa.Table.from_batches(rest)
+
+
+SPARSE = "i binary, size binary, cols binary, at binary, v binary"
+
+
+def sparse_rows(entries: DataFrame) -> DataFrame:
+    """Rows SPARSE of entries (i, j, v), written once: stripes of whole matrix rows with their numbers and sizes, the distinct columns of the stripe, and of each entry the place of its column there and its value."""
+    least = STRIPE
+
+    def change(t: pa.Table) -> np.ndarray:
+        i = t["i"].to_numpy()
+        return np.concatenate([[True], i[1:] != i[:-1]])
+
+    def run(batches):
+        for t in whole_groups(batches, change, least):
+            start = np.flatnonzero(change(t))
+            cols, at = np.unique(t["j"].to_numpy(), return_inverse=True)
+            parts = [t["i"].to_numpy()[start], np.diff(np.append(start, t.num_rows)), cols, at.astype(np.int32), t["v"].to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts], SPARSE.replace(" binary", "").split(", "))
+
+    e = entries.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+    return materialize(e.repartition("i").sortWithinPartitions("i", "j").mapInArrow(run, SPARSE))
+
+
+def unpacked(batches):
+    """Of each row SPARSE the arrays."""
+    for b in batches:
+        for row in zip(*b.columns, strict=True):
+            yield [np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int64, np.int64, np.int64, np.int32, np.float64), strict=True)]
+
+
+def leading_triplets(entries: DataFrame, m: int, k: int, rounds: int = 300, seed: int = 0) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Of the k leading singular triplets of a matrix of m columns the values, the right vectors as columns, and rows (i, vector) with the left vectors' components for rows with entries.
+
+    The matrix is given by entries (i, j, v); absent ones are 0, and repeated ones add up. A block Krylov method,
+    restarted with the best vectors when its basis is full, which goes on until the residuals of the k vectors are
+    1e-10 of their squared values; after so many rounds without that it warns. Each round is one pass over the
+    entries, which are written once, packed. The driver holds a basis of up to BASIS numbers or 3 (k + 8) for each
+    column, with its images, and a task k + 8 numbers for each column; nothing that grows with the rows leaves the executors.
+    """
+    spark, width = entries.sparkSession, min(m, k + 8)
+    kept = sparse_rows(entries)
+    tasks = kept.rdd.getNumPartitions()
+
+    def gram(q: np.ndarray) -> np.ndarray:
+        """The transpose times the matrix times q."""
+        shared, columns = spark.sparkContext.broadcast(q), q.shape[1]
+
+        def run(batches):
+            acc, some = np.zeros((m, columns)), False
+            for _, size, cols, at, v in unpacked(batches):
+                start, near, some = np.cumsum(size) - size, shared.value[cols], True
+                for c in range(columns):
+                    y = np.add.reduceat(v * np.ascontiguousarray(near[:, c])[at], start)
+                    acc[cols, c] += np.bincount(at, weights=v * np.repeat(y, size), minlength=len(cols))
+            for c in range(-(-m // BLOCK) if some else 0):
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([0], pa.int32()), pa.array([pack(acc[c * BLOCK : (c + 1) * BLOCK])])], ["br", "bc", "data"])
+
+        out = np.zeros((m, columns))
+        for r in add_up(kept.mapInArrow(run, SCHEMA), lambda c, _: (min(BLOCK, m - c * BLOCK), columns), tasks).collect():
+            out[r["br"] * BLOCK : (r["br"] + 1) * BLOCK] = np.frombuffer(r["data"]).reshape(-1, columns)
+        shared.unpersist()
+        return out
+
+    most = max(3 * width, BASIS // max(m, 1))
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(m, width)))[0]
+    basis, images = np.zeros((m, 0)), np.zeros((m, 0))
+    for _ in range(rounds):
+        image = gram(q)
+        basis, images = np.hstack([basis, q]), np.hstack([images, image])
+        inner = basis.T @ images
+        squares, turn = np.linalg.eigh((inner + inner.T) / 2)
+        squares, turn = squares[::-1], turn[:, ::-1]
+        off = np.linalg.norm(images @ turn[:, :k] - basis @ turn[:, :k] * squares[:k], axis=0)
+        done = (off <= np.maximum(1e-10 * squares[:k], 1e-13 * abs(squares[:1]))).all()
+        q = image / (abs(squares[:1]).max(initial=0) or 1.0)
+        for _ in range(2):  # what the basis does not span
+            left, length, _ = np.linalg.svd(q - basis @ (basis.T @ q), full_matrices=False)
+            q = left[:, length > 1e-13][:, : m - basis.shape[1]]
+        if done or not q.shape[1]:
+            break
+        if basis.shape[1] + q.shape[1] > most:
+            basis, images = basis @ turn[:, : 2 * width], images @ turn[:, : 2 * width]
+    else:
+        warnings.warn(f"singular vectors have not settled after {rounds} rounds: residuals {off.tolist()} of {squares[:k].tolist()}", stacklevel=2)
+    values, right = np.sqrt(np.maximum(squares[:k], 0.0)), basis @ turn[:, :k]
+    scaled = spark.sparkContext.broadcast(right / np.where(values > 0, values, np.inf))
+
+    def project(batches):
+        for i, size, cols, at, v in unpacked(batches):
+            start, near = np.cumsum(size) - size, scaled.value[cols]
+            rows = np.column_stack([np.zeros((len(i), 0)), *[np.add.reduceat(v * np.ascontiguousarray(near[:, c])[at], start) for c in range(near.shape[1])]])
+            vectors = pa.ListArray.from_arrays(np.arange(len(i) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(i), vectors], ["i", "vector"])
+
+    return values, right, kept.mapInArrow(project, "i long, vector array<double>")

@@ -204,6 +204,27 @@ def test_leading(spark, monkeypatch):
     assert np.allclose(u * s @ v @ v.T, a.T @ v.T)
 
 
+def test_pca_of_sparse_entries_settles(spark, monkeypatch):
+    from latticeframe.operators import blockmatrix
+
+    rng = np.random.default_rng(8)
+    a = np.where(rng.random((400, 60)) < 0.1, rng.integers(1, 50, (400, 60)), 0).astype(float)
+    a[:, 7], a[5] = 0, 0
+    i, j = np.nonzero(a)
+    entries = spark.createDataFrame([(int(p) + 10, int(q), float(a[p, q])) for p, q in zip(i, j, strict=True)], "r int, c int, x double")
+    m = MatrixTable(spark.range(400).select((F.col("id") + 10).cast("int").alias("r")), spark.range(60).select(F.col("id").cast("int").alias("c")), entries, ["r"], ["c"])
+    monkeypatch.setattr(BlockMatrix, "from_entries", None)  # nothing is made dense
+    for basis in (1 << 24, 1):  # and with restarts
+        monkeypatch.setattr(blockmatrix, "BASIS", basis)
+        values, scores, loadings = methods.pca(m, "x", 3)
+        u, s, v = np.linalg.svd(a, full_matrices=False)
+        assert np.allclose(values, s[:3] ** 2, rtol=1e-9)
+        got = np.array([r["scores"] for r in scores.df.orderBy("c").collect()])
+        assert got.shape == (60, 3) and np.allclose(np.abs(got), np.abs(v[:3].T * s[:3]), atol=1e-5)
+        left = np.array([r["loadings"] for r in loadings.df.orderBy("r").collect()])
+        assert left.shape == (400, 3) and np.allclose(a @ (got / s[:3] ** 2), left, atol=1e-7)
+
+
 def test_nearby_products(spark):
     rng = np.random.default_rng(4)
     a = rng.normal(size=(30, 9))
