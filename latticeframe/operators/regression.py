@@ -1,18 +1,21 @@
 """Regressions of column fields on each row's entries.
 
 Linear regression is a set of sums: covariates become orthonormal columns by a Cholesky factor of their Gram matrix, so
-that one groupBy on the row key gives every row's statistics. Models without a closed form are fitted row by row in
-grouped pandas functions; such a group holds one entry for each column of the matrix.
+that one groupBy on the row key gives every row's statistics. Models without a closed form are fitted for many rows at
+once by Newton's method on Arrow batches, which hold whole rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeframe.functions.statistics import gamma_p, p_t_two_sided
+from latticeframe.functions.statistics import p_t_two_sided
+from latticeframe.operators.blockmatrix import STRIPE, whole_groups
 from latticeframe.operators.matrix import MatrixTable
 from latticeframe.operators.table import Table
 from latticeframe.semantics import col, divide
@@ -72,103 +75,156 @@ def linear_regression_rows(matrix: MatrixTable, y, x, covariates=(1.0,), pass_th
     return Table(out, matrix.row_key)
 
 
-def glm(x: np.ndarray, y: np.ndarray, family: str, start: np.ndarray | None = None, firth: bool = False, max_iterations: int = 25, tolerance: float = 1e-6):
-    """Newton's method for logistic or Poisson regression: coefficients, information matrix, log likelihood, iterations, converged."""
-    b = np.zeros(x.shape[1]) if start is None else start.copy()
-    if start is None and family == "poisson":
-        b[0] = np.log(max(y.mean(), 1e-9)) if np.allclose(x[:, 0], 1) else 0.0
+def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solutions of many symmetric systems; NaN where one is singular to 13 digits once its diagonal is scaled to 1, or not finite."""
+    n, p = b.shape
+    root = np.sqrt(np.maximum(np.einsum("nii->ni", a), 0.0))
+    good = np.isfinite(a).all((1, 2)) & np.isfinite(b).all(1) & (root > 0).all(1)
+    root = np.where(good[:, None], root, 1.0)
+    scaled = np.where(good[:, None, None], a, np.eye(p)) / root[:, :, None] / root[:, None]
+    good &= (np.linalg.eigvalsh(scaled) > 1e-13).all(1)
+    scaled = np.where(good[:, None, None], scaled, np.eye(p))
+    return np.where(good[:, None], np.linalg.solve(scaled, (b / root)[:, :, None])[:, :, 0] / root, np.nan)
+
+
+def means(eta: np.ndarray, family: str) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances of the family."""
+    if family == "logistic":
+        mu = 1 / (1 + np.exp(-eta))
+        return mu, mu * (1 - mu)
+    mu = np.exp(np.minimum(eta, 300))
+    return mu, mu
+
+
+def moments(x: np.ndarray, weight: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """By group the sum of the weighted outer products of the rows of x."""
+    p = x.shape[1]
+    out = np.zeros((n, p, p))
+    for i in range(p):
+        for j in range(i + 1):
+            out[:, i, j] = out[:, j, i] = np.bincount(group, weights=weight * x[:, i] * x[:, j], minlength=n)
+    return out
+
+
+def sums(x: np.ndarray, weight: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """By group the weighted sum of the rows of x."""
+    return np.column_stack([np.zeros((n, 0)), *[np.bincount(group, weights=weight * x[:, i], minlength=n) for i in range(x.shape[1])]])
+
+
+def glm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, group: np.ndarray, family: str, start: np.ndarray, firth: bool = False, max_iterations: int = 25, tolerance: float = 1e-6):
+    """Newton's method for many logistic or Poisson regressions at once, row i being weight[i] equal cases of model group[i]: by model the coefficients (from start), information matrix, log likelihood, iterations, converged."""
+    n, p = start.shape
+    b, info, log_lik, steps, done = start.copy(), np.full((n, p, p), np.nan), np.full(n, np.nan), np.full(n, max_iterations), np.zeros(n, bool)
+    live = np.arange(n)  # the models at work; group has their places there
+
+    def linear(x, group, b):
+        return np.clip(np.einsum("ij,ij->i", x, b[group]), -500, 500)
+
     for step in range(1, max_iterations + 1):
-        eta = np.clip(x @ b, -500, 500)
-        mu = 1 / (1 + np.exp(-eta)) if family == "logistic" else np.exp(np.minimum(eta, 300))
-        w = mu * (1 - mu) if family == "logistic" else mu
-        info = (x * w[:, None]).T @ x
-        score = x.T @ (y - mu)
+        mu, w = means(linear(x, group, b[live]), family)
+        now, off = moments(x, weight * w, group, len(live)), y - mu
         if firth:
-            root = x * np.sqrt(w)[:, None]
-            h = np.einsum("ij,jk,ik->i", root, np.linalg.pinv(info), root)
-            score = x.T @ (y - mu + h * (0.5 - mu))
-        try:
-            delta = np.linalg.solve(info, score)
-        except np.linalg.LinAlgError:
-            return b, info, np.nan, step, False
-        if not np.isfinite(delta).all():
-            return b, info, np.nan, step, False
-        b = b + delta
-        if np.abs(delta).max() < tolerance:
-            eta = np.clip(x @ b, -500, 500)
-            mu = 1 / (1 + np.exp(-eta)) if family == "logistic" else np.exp(np.minimum(eta, 300))
-            w = mu * (1 - mu) if family == "logistic" else mu
-            info = (x * w[:, None]).T @ x
-            log_lik = float((y * eta - np.logaddexp(0, eta)).sum()) if family == "logistic" else float((y * eta - mu).sum())
+            off = off + w * np.einsum("ij,ijk,ik->i", x, np.linalg.pinv(now)[group], x) * (0.5 - mu)
+        delta = solve(now, sums(x, weight * off, group, len(live)))
+        lost = ~np.isfinite(delta).all(1)
+        b[live[~lost]] += delta[~lost]
+        settled = ~lost & (np.abs(delta).max(1, initial=0) < tolerance)
+        steps[live[lost | settled]] = step
+        if settled.any():
+            some, to, at = settled[group], live[settled], np.cumsum(settled) - 1
+            x1, y1, m1, g1 = x[some], y[some], weight[some], at[group[some]]
+            eta = linear(x1, g1, b[to])
+            mu, w = means(eta, family)
+            info[to], done[to] = moments(x1, m1 * w, g1, len(to)), True
+            log_lik[to] = np.bincount(g1, weights=m1 * (y1 * eta - (np.logaddexp(0, eta) if family == "logistic" else mu)), minlength=len(to))
             if firth:
-                log_lik += 0.5 * np.linalg.slogdet(info)[1]
-            return b, info, log_lik, step, True
-    return b, info, np.nan, max_iterations, False
+                log_lik[to] += 0.5 * np.linalg.slogdet(info[to])[1]
+        keep = ~(lost | settled)
+        if not keep.any():
+            break
+        some = keep[group]
+        x, y, weight, group = x[some], y[some], weight[some], (np.cumsum(keep) - 1)[group[some]]
+        live = live[keep]
+    return b, info, log_lik, steps, done
+
+
+def chi_tail(x: np.ndarray) -> np.ndarray:
+    """The upper tail of chi-squared with one degree of freedom."""
+    return np.array([math.erfc(math.sqrt(max(v, 0.0) / 2)) if math.isfinite(v) else math.nan for v in x], float)
 
 
-def chi_tail(x: float, df: int) -> float:
-    return float("nan") if not np.isfinite(x) else float(1 - gamma_p(np.array([df / 2]), np.array([max(x, 0.0) / 2]))[0])
+CASES = 1 << 18  # cases fitted at once
 
 
 def glm_rows(matrix: MatrixTable, test: str, family: str, y, x, covariates, max_iterations: int, tolerance: float) -> Table:
-    """Fields by test: wald has beta, standard_error, z_stat, p_value; lrt and firth beta, chi_sq_stat, p_value; score chi_sq_stat, p_value; all but score n_iterations, converged."""
+    """Fields by test: wald has beta, standard_error, z_stat, p_value; lrt and firth beta, chi_sq_stat, p_value; score chi_sq_stat, p_value; all but score n_iterations, converged.
+
+    Columns without an entry take the row's mean. They are fitted as weighted cases, one for each distinct
+    combination of y and covariates, so a row costs its own entries and the number of combinations. A row whose x is
+    collinear with the covariates does not converge.
+    """
     k = len(covariates)
     cols = design(matrix, [y], list(covariates))
-    entries = matrix.with_axes({"x": col(x)}).select(*matrix.row_key, *matrix.col_key, col(x).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    joined = entries.join(cols, list(matrix.col_key))
-    shared = cols.select("y0", *[f"c{i}" for i in range(k)]).orderBy("y0", *[f"c{i}" for i in range(k)]).toPandas()  # a row for each column of the matrix
-    null = glm(shared[[f"c{i}" for i in range(k)]].to_numpy(float), shared["y0"].to_numpy(float), family, max_iterations=max_iterations, tolerance=tolerance)
-    n_all = len(shared)
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in matrix.rows_df.select(*matrix.row_key).schema.fields)
+    names = ["y0", *[f"c{i}" for i in range(k)]]
+    shared = cols.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).toPandas()  # a row for each combination, at most the columns of the matrix
+    y_of, c_of, times = shared["y0"].to_numpy(float), shared[names[1:]].to_numpy(float), shared["n"].to_numpy(float)
+    start = np.zeros((1, k))
+    if k and family == "poisson" and np.allclose(c_of[:, 0], 1):
+        start[0, 0] = np.log(max(times @ y_of / max(times.sum(), 1), 1e-9))
+    plain = [f[0] for f in glm(c_of, y_of, times, np.zeros(len(times), int), family, start, False, max_iterations, tolerance)]
+    base = plain if test != "firth" else [f[0] for f in glm(c_of, y_of, times, np.zeros(len(times), int), family, np.zeros((1, k)), True, max_iterations, tolerance)]
+    row_key, col_key = list(matrix.row_key), list(matrix.col_key)
+    codes = matrix.rows_df.sparkSession.createDataFrame([(*map(float, r), i) for i, r in enumerate(shared[names].to_numpy(float))], ", ".join(f"{n} double" for n in names) + ", __code int")
+    entries = matrix.with_axes({"x": col(x)}).select(*row_key, *col_key, col(x).cast("double").alias("__x")).where("__x is not null and not isnan(__x)")
+    joined = entries.join(cols.join(codes, names).select(*col_key, "__code"), col_key)
+    first = F.row_number().over(Window.partitionBy(*row_key).orderBy(*col_key)) == 1
+    joined = joined.select(*row_key, "__x", "__code", first.alias("__first"))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in matrix.rows_df.select(*row_key).schema.fields)
     fields = {"wald": ["beta", "standard_error", "z_stat", "p_value"], "lrt": ["beta", "chi_sq_stat", "p_value"], "firth": ["beta", "chi_sq_stat", "p_value"], "score": ["chi_sq_stat", "p_value"]}[test]
-    row_key = list(matrix.row_key)
-    names = [f"c{i}" for i in range(k)]
-
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        out = {key: f[key].iloc[0] for key in row_key}
-        g, c, yy = f["x"].to_numpy(float), f[names].to_numpy(float), f["y0"].to_numpy(float)
-        if len(f) < n_all:  # columns without an entry take the row's mean
-            g, c, yy = with_missing(g, c, yy, shared, names)
-        full = np.column_stack([g, c])
-        start = np.concatenate([[0.0], null[0]])
+    least, most, n_codes = STRIPE, CASES, len(times)
+
+    def fit(x: np.ndarray, code: np.ndarray, row: np.ndarray, n: int) -> dict:
+        own = np.bincount(row * n_codes + code, minlength=n * n_codes).reshape(n, n_codes)
+        mean = np.bincount(row, weights=x, minlength=n) / np.bincount(row, minlength=n)
+        rest = np.maximum(times - own, 0.0)
+        at, other = np.nonzero(rest)
+        x, code, row, weight = np.concatenate([x, mean[at]]), np.concatenate([code, other]), np.concatenate([row, at]), np.concatenate([np.ones(len(x)), rest[at, other]])
+        full, yy = np.column_stack([x, c_of[code]]), y_of[code]
         if test == "score":
-            mu_eta = np.clip(c @ null[0], -500, 500)
-            mu = 1 / (1 + np.exp(-mu_eta)) if family == "logistic" else np.exp(mu_eta)
-            w = mu * (1 - mu) if family == "logistic" else mu
-            u, info = full.T @ (yy - mu), (full * w[:, None]).T @ full
-            try:
-                chi = float(u @ np.linalg.solve(info, u)) if null[4] else np.nan
-            except np.linalg.LinAlgError:
-                chi = np.nan
-            out |= {"chi_sq_stat": chi, "p_value": chi_tail(chi, 1)}
+            mu, w = means(np.clip(c_of[code] @ plain[0], -500, 500), family)
+            u = sums(full, weight * (yy - mu), row, n)
+            chi = np.einsum("ij,ij->i", u, solve(moments(full, weight * w, row, n), u)) if plain[4] else np.full(n, np.nan)
+            return {"chi_sq_stat": chi, "p_value": chi_tail(chi)}
+        b, info, log_lik, steps, done = glm(full, yy, weight, row, family, np.tile(np.concatenate([[0.0], plain[0]]), (n, 1)), test == "firth", max_iterations, tolerance)
+        out = {"beta": np.where(done, b[:, 0], np.nan)}
+        if test == "wald":
+            with np.errstate(all="ignore"):
+                se = np.sqrt(solve(info, np.tile(np.eye(k + 1)[0], (n, 1)))[:, 0])
+                z = np.where(se > 0, out["beta"] / se, np.nan)
+            out |= {"standard_error": se, "z_stat": z, "p_value": chi_tail(z * z)}
         else:
-            b, info, log_lik, steps, done = glm(full, yy, family, start, test == "firth", max_iterations, tolerance)
-            out |= {"n_iterations": steps, "converged": done}
-            if test == "wald":
-                try:
-                    se = float(np.sqrt(np.linalg.inv(info)[0, 0])) if done else np.nan
-                except np.linalg.LinAlgError:
-                    se = np.nan
-                z = b[0] / se if se and np.isfinite(se) else np.nan
-                out |= {"beta": b[0] if done else np.nan, "standard_error": se, "z_stat": z, "p_value": chi_tail(z * z, 1)}
-            else:
-                base = null if test == "lrt" else glm(c, yy, family, None, True, max_iterations, tolerance)
-                chi = 2 * (log_lik - base[2]) if done and base[4] else np.nan
-                out |= {"beta": b[0] if done else np.nan, "chi_sq_stat": chi, "p_value": chi_tail(chi, 1)}
-        return pd.DataFrame([out])
+            chi = np.where(done & base[4], 2 * (log_lik - base[2]), np.nan)
+            out |= {"chi_sq_stat": chi, "p_value": chi_tail(chi)}
+        return out | {"n_iterations": steps, "converged": done}
+
+    def run(batches):
+        for t in whole_groups(batches, lambda t: t["__first"].to_numpy(), least):
+            x, code, start = t["__x"].to_numpy(), t["__code"].to_numpy().astype(np.int64), np.flatnonzero(t["__first"].to_numpy())
+            ends = np.append(start, t.num_rows)
+            size = np.diff(ends)
+            part = np.cumsum(size + n_codes) // most  # rows fitted at once
+            for rows in np.split(np.arange(len(start)), np.flatnonzero(np.diff(part)) + 1):
+                low, high = ends[rows[0]], ends[rows[-1] + 1]
+                done = fit(x[low:high], code[low:high], np.repeat(np.arange(len(rows)), size[rows]), len(rows))
+                made = t.select(row_key).take(pa.array(start[rows])).combine_chunks()
+                for f in fields:
+                    made = made.append_column(f, pa.array(done[f], from_pandas=True))
+                if test != "score":
+                    made = made.append_column("n_iterations", pa.array(done["n_iterations"].astype(np.int32))).append_column("converged", pa.array(done["converged"]))
+                yield from made.to_batches()
 
     schema = f"{keys}, {', '.join(f'{n} double' for n in fields)}" + ("" if test == "score" else ", n_iterations int, converged boolean")
-    order = row_key + fields + ([] if test == "score" else ["n_iterations", "converged"])
-    return Table(joined.groupBy(*row_key).applyInPandas(lambda f: fit(f)[order], schema), row_key)
-
-
-def with_missing(g: np.ndarray, c: np.ndarray, y: np.ndarray, shared: pd.DataFrame, names: list[str]):
-    """Adds the columns that the row has no entry for, with the row's mean: the multiset of shared less that of the row."""
-    from collections import Counter
-
-    left = Counter(map(tuple, shared[["y0", *names]].to_numpy(float))) - Counter(map(tuple, np.column_stack([y, c])))
-    rest = np.array(list(left.elements())).reshape(-1, 1 + len(names))
-    return np.concatenate([g, np.full(len(rest), g.mean() if len(g) else 0.0)]), np.concatenate([c, rest[:, 1:]]), np.concatenate([y, rest[:, 0]])
+    return Table(joined.mapInArrow(run, schema), row_key)
 
 
 def logistic_regression_rows(matrix: MatrixTable, test: str, y, x, covariates=(1.0,), max_iterations: int = 25, tolerance: float = 1e-6) -> Table:

@@ -121,6 +121,33 @@ def test_logistic_and_poisson(spark, test):
         assert all(0 <= r["p_value"] <= 1 for r in regression.poisson_regression_rows(m, test, "y", "x").df.collect())
 
 
+@pytest.mark.parametrize("cases", [1, 1 << 18])
+def test_logistic_rows_of_few_entries(spark, monkeypatch, cases):
+    from latticeframe.plans.inspect import plan_text
+
+    monkeypatch.setattr(regression, "CASES", cases)
+    rng = np.random.default_rng(9)
+    x, y, z = rng.normal(size=(6, 300)), (rng.random(300) < 0.4).astype(float), rng.integers(0, 3, 300).astype(float)
+    there = rng.random((6, 300)) < 0.1
+    x[0] += 2 * y
+    x[5] = 4.0  # collinear with the intercept
+    m = matrix(spark, x, {"y": y, "z": z})
+    keep = spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(there), strict=True)], "row_idx int, col_idx int")
+    m = m.new(entries=m.entries_df.join(keep, ["row_idx", "col_idx"]))
+    df = regression.logistic_regression_rows(m, "wald", "y", "x", [1.0, "z"]).df
+    assert "InPandas" not in plan_text(df)  # rows are fitted many at once, and absent entries by weights
+    got = {r["row_idx"]: r for r in df.collect()}
+    assert len(got) == 6 and not got[5]["converged"] and got[5]["beta"] is None
+    for i in range(5):
+        full = np.column_stack([np.where(there[i], x[i], x[i][there[i]].mean()), np.ones(300), z])
+        b = np.zeros(3)
+        for _ in range(25):
+            mu = 1 / (1 + np.exp(-full @ b))
+            info = (full * (mu * (1 - mu))[:, None]).T @ full
+            b += np.linalg.solve(info, full.T @ (y - mu))
+        assert got[i]["converged"] and np.isclose(got[i]["beta"], b[0], atol=1e-7) and np.isclose(got[i]["standard_error"], np.linalg.inv(info)[0, 0] ** 0.5, rtol=1e-6)
+
+
 def test_block_matrix(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(7, 5)), rng.normal(size=(5, 6))
