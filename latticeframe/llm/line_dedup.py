@@ -7,7 +7,7 @@ removed if some line at an earlier position, anywhere, has a token set of Jaccar
    right for the prefix filter; hash clashes there only cost speed.
 2. Lines of equal sets are grouped by hash; all but the first go. A slice of texts sends the first of its equal lines
    only, so a line that is everywhere makes few rows.
-3. Each line's rarest tokens, its prefix, go to the tasks that own them. There lines that share a prefix token meet in
+3. Each line's rarest tokens, its prefix, go to the tasks that own them, packed by buckets of tokens. There lines that share a prefix token meet in
    order of position, pass the length, positional and parity-bitmap filters, and each line keeps its nearest candidates
    for that token, so that large families of similar lines give few rows a line and not one a pair.
 4. Candidates are verified on the hashes of the lines' tokens (64 bits each), first the nearest one of each line, then
@@ -167,8 +167,85 @@ def token_key(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(24)
 
 
-def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col: str, gone=None, but=None, tokens=None) -> DataFrame:
-    """Rows PREFIX for the lines' prefix tokens, once for equal lines of a batch.
+PACKED_ROWS = 500_000
+BUCKET_ROWS = 200_000
+HOT = 8 * 19  # tokens counted 2 ** 19 times or more
+PACKED = "bucket int, packed binary, " + PREFIX
+KINDS = dict(zip(PREFIX_NAMES, (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64), strict=True))
+
+
+def pack_rows(rows: dict[str, np.ndarray]) -> bytes:
+    """Prefix rows by column and byte, compressed; tokens, which lie in order, as steps."""
+    parts = [np.diff(x, prepend=0) if k == "tok" else x for k, x in rows.items()]
+    return zstandard.compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in parts), 1)
+
+
+def unpack_rows(packed: bytes) -> dict[str, np.ndarray]:
+    data = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    n, low, out = len(data) // sum(np.dtype(kind).itemsize for kind in KINDS.values()), 0, {}
+    for k, kind in KINDS.items():
+        width = np.dtype(kind).itemsize
+        out[k] = np.ascontiguousarray(data[low : low + n * width].reshape(width, n).T).view(kind).ravel()
+        low += n * width
+    out["tok"] = np.cumsum(out["tok"])
+    return out
+
+
+def pack_prefixes(batches, hot: np.ndarray, buckets: int):
+    """Rows PACKED of batches of prefix rows: for many rows at a time one packed row for each bucket of tokens, and as they are, in buckets below 0, the rows of tokens whose place in the count table is set in hot, which may be too many for one task's memory."""
+
+    def flush(rows):
+        now = {k: np.concatenate([r[k] for r in rows]) for k in PREFIX_NAMES}
+        plain = hot[now["tok"] >> (40 - COUNT_BITS)]
+        bucket = (now["tok"] % buckets).astype(np.int32)
+        if plain.any():
+            n = int(plain.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - bucket[plain]), pa.nulls(n, pa.binary()), *[pa.array(now[k][plain]) for k in PREFIX_NAMES]], ["bucket", "packed", *PREFIX_NAMES])
+        order = np.lexsort((now["tok"], bucket))
+        order = order[~plain[order]]
+        if not len(order):
+            return
+        bucket = bucket[order]
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        packed = [pack_rows({k: now[k][part] for k in PREFIX_NAMES}) for part in np.split(order, start[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(packed, pa.binary()), *[pa.nulls(len(start), pa.from_numpy_dtype(KINDS[k])) for k in PREFIX_NAMES]], ["bucket", "packed", *PREFIX_NAMES])
+
+    rows, n = [], 0
+    for b in batches:
+        rows, n = [*rows, {k: b.column(i).to_numpy() for i, k in enumerate(PREFIX_NAMES)}], n + b.num_rows
+        if n >= PACKED_ROWS:
+            yield from flush(rows)
+            rows, n = [], 0
+    if n:
+        yield from flush(rows)
+
+
+def unpack_prefixes(batches):
+    """Batches of prefix rows by token and position, of rows PACKED that lie by bucket, token and position."""
+
+    def together(held):
+        now = {k: np.concatenate([r[k] for r in held]) for k in PREFIX_NAMES}
+        by = np.lexsort((now["line"], now["doc"], now["tok"]))
+        return pa.RecordBatch.from_arrays([pa.array(now[k][by]) for k in PREFIX_NAMES], PREFIX_NAMES)
+
+    last, held = None, []
+    for b in batches:
+        plain = b.filter(pc.is_null(b.column(1)))
+        if plain.num_rows:
+            yield pa.RecordBatch.from_arrays(plain.columns[2:], PREFIX_NAMES)
+        for bucket, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if packed.is_valid:
+                if held and bucket != last:
+                    yield together(held)
+                    held = []
+                last = bucket
+                held.append(unpack_rows(packed.as_buffer()))
+    if held:
+        yield together(held)
+
+
+def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col: str, gone=None, but=None, tokens=None, buckets: int = 0) -> DataFrame:
+    """Rows PREFIX for the lines' prefix tokens, once for equal lines of a batch; with buckets rows PACKED.
 
     Broadcast bit tables narrow them: lines in gone, unless in but, are left out; of tokens only those in tokens stay.
     """
@@ -202,7 +279,13 @@ def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col
             arrays = [token_key(lines.hashes)[word[good]].view(np.int64), doc[lines.row[line]], lines.number[line].astype(np.int32), size[p].astype(np.int32), at[good].astype(np.int32), bits[p], more[p]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["tok", "doc", "line", "n", "at", "bits", "more"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, PREFIX)
+    def packed(batches):
+        counts = np.frombuffer(zstandard.decompress(shared.value), np.uint8)
+        yield from pack_prefixes(run(batches), counts >= hot, buckets)
+
+    hot = HOT
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_col)
+    return texts.mapInArrow(packed, PACKED) if buckets else texts.mapInArrow(run, PREFIX)
 
 
 def passes(n, at, m, bt, differ, threshold: float) -> np.ndarray:
@@ -257,7 +340,7 @@ CANDIDATES = PREFIX + ", to_doc long, to_line int, far int, more_to boolean"
 
 
 def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Rows CANDIDATES, from prefix rows that lie by token and position in their partitions: one for each candidate kept, far being the bits in which it differs.
+    """Rows CANDIDATES, from rows PACKED that lie by bucket, token and position in their partitions: one for each candidate kept, far being the bits in which it differs.
 
     more_to: there may be further earlier rows of the token that pass the filters; without a candidate kept to_doc is
     null. Of the prefix row all but doc and line is null unless more_to is set.
@@ -266,7 +349,7 @@ def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         last, cut = None, False  # the first rows of the group that the last batch ended in, and whether it had more
-        for b in batches:
+        for b in unpack_prefixes(batches):
             now = {k: b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
             known = 0
             if last is not None and b.num_rows and last["tok"][0] == now["tok"][0]:
@@ -381,9 +464,11 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
         share = spark.sparkContext.broadcast
         gone = share(bit_table(found.select("doc", "line"), line_hash))
         but = share(bit_table(doubtful(lines, found.select("doc", "line"), gone), line_hash))
+        most = lines.agg(F.sum(F.col("n") * (1 - threshold) + 1)).first()[0] or 0  # prefix rows, about
+        buckets = max(4 * parts, int(most / BUCKET_ROWS) + 1)
         tables.drop(surveyed)
-        prefixes = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but)
-        rows = tables.keep(candidates(prefixes.repartition(parts, "tok").sortWithinPartitions("tok", "doc", "line"), threshold))
+        prefixes = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, buckets=buckets)
+        rows = tables.keep(candidates(prefixes.repartition(parts, "bucket").sortWithinPartitions("bucket", "tok", "doc", "line"), threshold))
         pairs = rows.where("to_doc is not null").select("doc", "line", "to_doc", "to_line", "far")
         sets = tables.keep(line_sets(docs, ends_of(pairs), id_col, text_col))
         nearest = pairs.groupBy("doc", "line").agg(F.min(F.struct("far", "to_doc", "to_line")).alias("to")).select("doc", "line", "to.to_doc", "to.to_line")

@@ -51,6 +51,32 @@ def test_lines_whose_candidates_fail_or_groups_are_large(spark, monkeypatch):
     assert {(r["doc_id"], r["line"]) for r in got.collect()} == brute(docs, 0.8)
 
 
+@pytest.mark.parametrize("hot", [0, 8 * 3, 255])
+def test_packed_prefixes(spark, monkeypatch, hot):
+    """All, some or no rows as they are; what goes in comes out by token and position, and the result is that of brute force."""
+    r = np.random.default_rng(hot)
+    n, tok = 1000, r.integers(0, 1 << 40, 50)
+    rows = {"tok": tok[r.integers(0, 50, n)], "doc": r.integers(-(2**62), 2**62, n), "line": np.arange(n), "n": r.integers(1, 99, n), "at": r.integers(0, 9, n), "bits": r.integers(-(2**62), 2**62, n), "more": r.integers(-(2**62), 2**62, n)}
+    rows = {k: v.astype(line_dedup.KINDS[k]) for k, v in rows.items()}
+    table = np.zeros(1 << line_dedup.COUNT_BITS, bool)
+    table[tok[: {0: 50, 24: 20, 255: 0}[hot]] >> 16] = True
+    whole = pa.RecordBatch.from_arrays([pa.array(v) for v in rows.values()], line_dedup.PREFIX_NAMES)
+    packed = pa.Table.from_batches(line_dedup.pack_prefixes([whole.slice(0, 300), whole.slice(300)], table, 7))
+    packed = packed.sort_by([(c, "ascending") for c in ("bucket", "tok", "doc", "line")])
+    out = pa.Table.from_batches(line_dedup.unpack_prefixes(packed.to_batches(max_chunksize=3)))
+    order = lambda t: t.sort_by([(c, "ascending") for c in ("tok", "doc", "line")])
+    assert order(out).equals(order(pa.Table.from_batches([whole])))
+    if not 0 < table.sum() < 50:
+        at = out["tok"].to_numpy()
+        assert 1 + (at[1:] != at[:-1]).sum() == len(np.unique(at))  # a token's rows lie together
+    if table.sum() == 0:
+        assert packed["packed"].null_count == 0 and packed.num_rows == 7 and sum(len(x.as_py()) for x in packed["packed"]) < 40 * n
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    docs = corpus(7)
+    got = line_dedup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 0.8)
+    assert {(r["doc_id"], r["line"]) for r in got.collect()} == brute(docs, 0.8)
+
+
 def test_edge_cases(spark):
     docs = [(None, "a b c d e"), (1, None), (2, ""), (3, "a b c d e\n\n  \nx y"), (3, "a b c d e\n\n  \nx y"), (4, "x y\nx  y\nz"), (5, "a b c d")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("lines_removed", F.lit("clash")).withColumn("doc", F.lit(1))
