@@ -339,8 +339,8 @@ def meet(columns: dict[str, np.ndarray], known: int, threshold: float, cut: bool
 CANDIDATES = PREFIX + ", to_doc long, to_line int, far int, more_to boolean"
 
 
-def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Rows CANDIDATES, from rows PACKED that lie by bucket, token and position in their partitions: one for each candidate kept, far being the bits in which it differs.
+def candidates(prefixes: DataFrame, threshold: float, packed: bool = False) -> DataFrame:
+    """Rows CANDIDATES, from prefix rows that lie by token and position in their partitions, or if packed from rows PACKED by bucket, token and position: one for each candidate kept, far being the bits in which it differs.
 
     more_to: there may be further earlier rows of the token that pass the filters; without a candidate kept to_doc is
     null. Of the prefix row all but doc and line is null unless more_to is set.
@@ -349,7 +349,7 @@ def candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         last, cut = None, False  # the first rows of the group that the last batch ended in, and whether it had more
-        for b in unpack_prefixes(batches):
+        for b in unpack_prefixes(batches) if packed else batches:
             now = {k: b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
             known = 0
             if last is not None and b.num_rows and last["tok"][0] == now["tok"][0]:
@@ -468,7 +468,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
         buckets = max(4 * parts, int(most / BUCKET_ROWS) + 1)
         tables.drop(surveyed)
         prefixes = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, buckets=buckets)
-        rows = tables.keep(candidates(prefixes.repartition(parts, "bucket").sortWithinPartitions("bucket", "tok", "doc", "line"), threshold))
+        rows = tables.keep(candidates(prefixes.repartition(parts, "bucket").sortWithinPartitions("bucket", "tok", "doc", "line"), threshold, packed=True))
         pairs = rows.where("to_doc is not null").select("doc", "line", "to_doc", "to_line", "far")
         sets = tables.keep(line_sets(docs, ends_of(pairs), id_col, text_col))
         nearest = pairs.groupBy("doc", "line").agg(F.min(F.struct("far", "to_doc", "to_line")).alias("to")).select("doc", "line", "to.to_doc", "to.to_line")
