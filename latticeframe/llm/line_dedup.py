@@ -5,14 +5,15 @@ removed if some line at an earlier position, anywhere, has a token set of Jaccar
 
 1. Token rarity is counted over all documents in a table of fixed size, indexed by token hash. Any order of tokens is
    right for the prefix filter; hash clashes there only cost speed.
-2. Lines of equal sets are grouped by hash; all but the first go. A slice of texts sends the first of its equal lines
-   only, so a line that is everywhere makes few rows.
+2. Lines of equal sets are grouped by hash, packed by buckets of hashes; all but the first go. A slice of texts sends
+   the first of its equal lines only, so a line that is everywhere makes few rows.
 3. Each line's rarest tokens, its prefix, go to the tasks that own them, packed by buckets of tokens. There lines that share a prefix token meet in
    order of position, pass the length, positional and parity-bitmap filters, and each line keeps its nearest candidates
-   for that token, so that large families of similar lines give few rows a line and not one a pair.
+   for that token, so that large families of similar lines give few rows a line and not one a pair. Two lines are a
+   pair at the first token they share, and at others only after tokens they do not share.
 4. Candidates are verified on the hashes of the lines' tokens (64 bits each), first the nearest one of each line, then
-   the others of lines that failed. A line whose candidates all fail though it may have more is joined anew with all
-   earlier lines of those tokens.
+   the others of lines that failed. A line whose candidates all fail though it may have more meets all earlier lines of
+   those tokens, from the prefix rows, which are kept.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ NEAREST = 3
 NULL_ID = -(2**63)
 PREFIX_NAMES = ["tok", "doc", "line", "n", "at", "bits", "more"]
 PREFIX = "tok long, doc long, line int, n int, at int, bits long, more long"
+LINE_NAMES = ["sig", "bits", "n", "doc", "line"]
 
 
 def need(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -66,8 +68,15 @@ class Lines:
         self.n_lines = len(tokens)
 
 
-LINES = "sig long, bits long, n int, doc long, line int, packed binary"
-LINE_NAMES = ["sig", "bits", "n", "doc", "line", "packed"]
+SURVEY = {"kind": pa.int32(), "place": pa.int64(), "total": pa.int64(), "doc": pa.int64(), "line": pa.int32(), "to_doc": pa.int64(), "to_line": pa.int32(), "packed": pa.binary()}
+SURVEYED = "kind int, place long, total long, doc long, line int, to_doc long, to_line int, packed binary"
+REPEATED, FIRSTS, COUNTS = range(3)
+
+
+def survey_rows(kind: int, n: int, **columns) -> pa.RecordBatch:
+    """n rows SURVEYED of a kind; columns not given are null."""
+    arrays = {k: pa.array(v, SURVEY[k]) for k, v in columns.items()} | {"kind": pa.array(np.full(n, kind, np.int32))}
+    return pa.RecordBatch.from_arrays([arrays[k] if k in arrays else pa.nulls(n, t) for k, t in SURVEY.items()], list(SURVEY))
 
 
 def set_keys(lines: Lines, rank: np.ndarray | None = None):
@@ -93,11 +102,18 @@ def set_keys(lines: Lines, rank: np.ndarray | None = None):
     return owner[start], size, sig.view(np.int64), bits.view(np.int64), more.view(np.int64), place, np.arange(len(rows)) - np.repeat(start, size), word
 
 
-def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One pass over all texts. Rows LINES: a row for each line with tokens that is the first of its kind in its slice; with n = 0 a row for each other one, sig and bits being the place of that first; and with n null rows of a task's token counts (equal lines of a slice counted once): the number of the chunk in sig, the counts in packed."""
+def survey(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """One pass over all texts. Rows SURVEYED. FIRSTS: packed, the lines with tokens that are the first of their kind in their slice, by buckets of set hashes (place). REPEATED: a row for each other line and the place of that first. COUNTS: a task's token counts (equal lines of a slice counted once), the number of the chunk in place."""
+
+    def flush(rows):
+        now = joined(rows, LINE_NAMES)
+        bucket = now["sig"] % buckets
+        place, packed = packs(now, bucket, np.argsort(bucket, kind="stable"))
+        return survey_rows(FIRSTS, len(place), place=place, packed=packed)
 
     def run(batches):
         counts = np.zeros(1 << COUNT_BITS, np.uint16)  # of the task, which is enough to tell rare tokens from common ones
+        rows, n = [], 0
         for part in slices(batches, 1):
             lines = Lines(part.column(1))
             if not len(lines.code):
@@ -113,26 +129,50 @@ def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             own = slot[lines.distinct[row]]
             doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)[lines.row[row]]
             line = lines.number[row].astype(np.int32)
-            order = np.lexsort((size, bits, sig))  # lines that differ may have equal sets
-            kind = np.empty(len(order), np.int64)
-            kind[order] = np.cumsum(np.concatenate([[True], np.any([x[order[1:]] != x[order[:-1]] for x in (sig, bits, size)], axis=0)]))
-            by = np.lexsort((line, doc, kind[own]))
+            at, is_head, by = firsts(sig[own], bits[own], size[own], doc, line)
             own, doc, line = own[by], doc[by], line[by]
-            head = np.flatnonzero(np.concatenate([[True], kind[own[1:]] != kind[own[:-1]]]))
-            at = np.repeat(head, np.diff(np.append(head, len(own))))  # each row's first
-            is_head = at == np.arange(len(own))
-            keep = is_head | (doc != doc[at]) | (line != line[at])
-            arrays = [np.where(is_head, sig[own], doc[at]), np.where(is_head, bits[own], line[at]), np.where(is_head, size[own], 0).astype(np.int32), doc, line]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[keep]) for x in arrays], pa.nulls(int(keep.sum()), pa.binary())], LINE_NAMES)
+            away = (doc != doc[at]) | (line != line[at])
+            if away.any():
+                yield survey_rows(REPEATED, int(away.sum()), doc=doc[away], line=line[away], to_doc=doc[at][away], to_line=line[at][away])
+            own = own[is_head]
+            rows.append({"sig": sig[own], "bits": bits[own], "n": size[own].astype(np.int32), "doc": doc[is_head], "line": line[is_head]})
+            n += len(own)
+            if n >= PACKED_ROWS:
+                yield flush(rows)
+                n = 0
+        if n:
+            yield flush(rows)
         chunks = counts.reshape(-1, 1 << CHUNK_BITS)
         some = np.flatnonzero(chunks.any(1))
         for low in range(0, len(some), 256):
             now = some[low : low + 256]
-            none = pa.nulls(len(now), pa.int64())
-            packed = pa.array([zstandard.compress(chunks[i].tobytes(), 1) for i in now], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(now), none, none.cast(pa.int32()), none, none.cast(pa.int32()), packed], LINE_NAMES)
+            yield survey_rows(COUNTS, len(now), place=now, packed=[zstandard.compress(chunks[i].tobytes(), 1) for i in now])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, SURVEYED)
+
+
+def firsts(sig, bits, n, doc, line) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of lines by set and position; for each in that order the place of the first line of its set there; and whether it is that line. Lines that differ may have equal sets."""
+    by = np.lexsort((line, doc, n, bits, sig))
+    is_head = np.concatenate([[True], np.any([x[by[1:]] != x[by[:-1]] for x in (sig, bits, n)], axis=0)])
+    head = np.flatnonzero(is_head)
+    return np.repeat(head, np.diff(np.append(head, len(by)))), is_head, by
+
+
+def equal_lines(surveyed: DataFrame, parts: int, threshold: float) -> DataFrame:
+    """Rows SURVEYED of a survey's FIRSTS. REPEATED: the lines of a set but the first, and its place. FIRSTS: all others, packed, doc and line only; total is how many prefix rows they have, about."""
+
+    def run(batches):
+        for bucket, now in by_bucket(((k, p) for b in batches for k, p in zip(b.column(0).to_pylist(), b.column(1), strict=True)), LINE_NAMES):
+            at, _, by = firsts(*[now[k] for k in LINE_NAMES])
+            doc, line, n = now["doc"][by], now["line"][by], now["n"][by]
+            away = (doc != doc[at]) | (line != line[at])
+            if away.any():
+                yield survey_rows(REPEATED, int(away.sum()), doc=doc[away], line=line[away], to_doc=doc[at][away], to_line=line[at][away])
+            yield survey_rows(FIRSTS, 1, place=[bucket], total=[int((n[~away] * (1 - threshold) + 1).sum())], packed=[pack_rows({"doc": doc[~away], "line": line[~away]})])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, LINES)
+    rows = surveyed.where(f"kind = {FIRSTS}").select("place", "packed")
+    return rows.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(run, SURVEYED)
 
 
 def rarity(surveyed: DataFrame, partitions: int) -> np.ndarray:
@@ -152,12 +192,12 @@ def rarity(surveyed: DataFrame, partitions: int) -> np.ndarray:
 
     def done(chunk, total):
         scaled = np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([zstandard.compress(scaled.tobytes(), 1)], pa.binary())], ["sig", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([zstandard.compress(scaled.tobytes(), 1)], pa.binary())], ["place", "packed"])
 
-    rows = surveyed.where("n is null").select("sig", "packed").repartition(partitions, "sig").sortWithinPartitions("sig")
-    got = rows.mapInArrow(run, "sig long, packed binary").toArrow()
+    rows = surveyed.where(f"kind = {COUNTS}").select("place", "packed").repartition(partitions, "place").sortWithinPartitions("place")
+    got = rows.mapInArrow(run, "place long, packed binary").toArrow()
     out = np.zeros((1 << (COUNT_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
-    for chunk, packed in zip(got["sig"].to_pylist(), got["packed"], strict=True):
+    for chunk, packed in zip(got["place"].to_pylist(), got["packed"], strict=True):
         out[chunk] = np.frombuffer(zstandard.decompress(packed.as_buffer()), np.uint8)
     return out.ravel()
 
@@ -167,94 +207,121 @@ def token_key(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(24)
 
 
-PACKED_ROWS = 500_000
+PACKED_ROWS = 150_000
 BUCKET_ROWS = 200_000
+MEETINGS = 1_000_000
 HOT = 8 * 19  # tokens counted 2 ** 19 times or more
-PACKED = "bucket int, packed binary, " + PREFIX
-KINDS = dict(zip(PREFIX_NAMES, (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64), strict=True))
+ROW_NAMES = [*PREFIX_NAMES, "prev"]  # prev: the token of the line's prefix row before, or -1
+PACKED = "bucket int, packed binary, " + PREFIX + ", prev long"
+KINDS = dict(zip(PREFIX_NAMES, (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64), strict=True)) | {"prev": np.int64, "sig": np.int64}
 
 
 def pack_rows(rows: dict[str, np.ndarray]) -> bytes:
-    """Prefix rows by column and byte, compressed; tokens, which lie in order, as steps."""
+    """Rows by column and byte, compressed; tokens, which lie in order, as steps."""
     parts = [np.diff(x, prepend=0) if k == "tok" else x for k, x in rows.items()]
     return zstandard.compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in parts), 1)
 
 
-def unpack_rows(packed: bytes) -> dict[str, np.ndarray]:
+def unpack_rows(packed: bytes, names: list[str]) -> dict[str, np.ndarray]:
     data = np.frombuffer(zstandard.decompress(packed), np.uint8)
-    n, low, out = len(data) // sum(np.dtype(kind).itemsize for kind in KINDS.values()), 0, {}
-    for k, kind in KINDS.items():
-        width = np.dtype(kind).itemsize
-        out[k] = np.ascontiguousarray(data[low : low + n * width].reshape(width, n).T).view(kind).ravel()
+    n, low, out = len(data) // sum(np.dtype(KINDS[k]).itemsize for k in names), 0, {}
+    for k in names:
+        width = np.dtype(KINDS[k]).itemsize
+        out[k] = np.ascontiguousarray(data[low : low + n * width].reshape(width, n).T).view(KINDS[k]).ravel()
         low += n * width
-    out["tok"] = np.cumsum(out["tok"])
+    if "tok" in out:
+        out["tok"] = np.cumsum(out["tok"])
     return out
 
 
+def joined(rows: list[dict[str, np.ndarray]], names) -> dict[str, np.ndarray]:
+    """The rows as one, taken out of the list."""
+    now = {k: np.concatenate([r.pop(k) for r in rows]) for k in names}
+    rows.clear()
+    return now
+
+
+def packs(now: dict[str, np.ndarray], bucket: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For rows in an order in which buckets lie together: the buckets, and a packed row for each."""
+    at = bucket[order]
+    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[start], [pack_rows({k: x[part] for k, x in now.items()}) for part in np.split(order, start[1:])]
+
+
+def by_bucket(pairs, names: list[str]):
+    """Of (bucket, packed) pairs that lie by bucket: each bucket and its rows."""
+    last, rows = None, []
+    for bucket, packed in pairs:
+        if rows and bucket != last:
+            yield last, joined(rows, names)
+        last = bucket
+        rows.append(unpack_rows(packed.as_buffer(), names))
+    if rows:
+        yield last, joined(rows, names)
+
+
+def packed_batch(bucket, packed: list[bytes], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(packed, pa.binary()), *[pa.nulls(len(packed), pa.from_numpy_dtype(KINDS[k])) for k in names]], ["bucket", "packed", *names])
+
+
 def pack_prefixes(batches, hot: np.ndarray, buckets: int):
     """Rows PACKED of batches of prefix rows: for many rows at a time one packed row for each bucket of tokens, and as they are, in buckets below 0, the rows of tokens whose place in the count table is set in hot, which may be too many for one task's memory."""
 
-    def flush(rows):
-        now = {k: np.concatenate([r[k] for r in rows]) for k in PREFIX_NAMES}
+    def flush(rows, names):
+        now = joined(rows, names)
         plain = hot[now["tok"] >> (40 - COUNT_BITS)]
         bucket = (now["tok"] % buckets).astype(np.int32)
         if plain.any():
             n = int(plain.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - bucket[plain]), pa.nulls(n, pa.binary()), *[pa.array(now[k][plain]) for k in PREFIX_NAMES]], ["bucket", "packed", *PREFIX_NAMES])
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - bucket[plain]), pa.nulls(n, pa.binary()), *[pa.array(now[k][plain]) for k in names]], ["bucket", "packed", *names])
         order = np.lexsort((now["tok"], bucket))
         order = order[~plain[order]]
-        if not len(order):
-            return
-        bucket = bucket[order]
-        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        packed = [pack_rows({k: now[k][part] for k in PREFIX_NAMES}) for part in np.split(order, start[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(packed, pa.binary()), *[pa.nulls(len(start), pa.from_numpy_dtype(KINDS[k])) for k in PREFIX_NAMES]], ["bucket", "packed", *PREFIX_NAMES])
-
-    rows, n = [], 0
+        if len(order):
+            yield packed_batch(*packs(now, bucket, order), names)
+
+    rows, n, names = [], 0, PREFIX_NAMES
     for b in batches:
-        rows, n = [*rows, {k: b.column(i).to_numpy() for i, k in enumerate(PREFIX_NAMES)}], n + b.num_rows
+        names = b.schema.names
+        rows.append({k: b.column(i).to_numpy() for i, k in enumerate(names)})
+        n += b.num_rows
         if n >= PACKED_ROWS:
-            yield from flush(rows)
-            rows, n = [], 0
+            yield from flush(rows, names)
+            n = 0
     if n:
-        yield from flush(rows)
+        yield from flush(rows, names)
 
 
 def unpack_prefixes(batches):
     """Batches of prefix rows by token and position, of rows PACKED that lie by bucket, token and position."""
 
     def together(held):
-        now = {k: np.concatenate([r[k] for r in held]) for k in PREFIX_NAMES}
+        names, now = list(held[0]), joined(held, list(held[0]))
         by = np.lexsort((now["line"], now["doc"], now["tok"]))
-        return pa.RecordBatch.from_arrays([pa.array(now[k][by]) for k in PREFIX_NAMES], PREFIX_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(now[k][by]) for k in names], names)
 
     last, held = None, []
     for b in batches:
+        names = b.schema.names[2:]
         plain = b.filter(pc.is_null(b.column(1)))
         if plain.num_rows:
-            yield pa.RecordBatch.from_arrays(plain.columns[2:], PREFIX_NAMES)
+            yield pa.RecordBatch.from_arrays(plain.columns[2:], names)
         for bucket, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             if packed.is_valid:
                 if held and bucket != last:
                     yield together(held)
-                    held = []
                 last = bucket
-                held.append(unpack_rows(packed.as_buffer()))
+                held.append(unpack_rows(packed.as_buffer(), names))
     if held:
         yield together(held)
 
 
-def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col: str, gone=None, but=None, tokens=None, buckets: int = 0) -> DataFrame:
-    """Rows PREFIX for the lines' prefix tokens, once for equal lines of a batch; with buckets rows PACKED.
-
-    Broadcast bit tables narrow them: lines in gone, unless in but, are left out; of tokens only those in tokens stay.
-    """
+def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col: str, gone, but, buckets: int) -> DataFrame:
+    """Rows PACKED for the lines' prefix tokens, once for equal lines of a batch. Broadcast bit tables: lines in gone, unless in but, are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(zstandard.compress(counts.tobytes(), 1))  # of fixed size
     # a set of up to least - 1 tokens is similar to no other set
     least = int(np.ceil(threshold / (1 - threshold) - 1e-9))
 
-    def run(batches):
-        counts = np.frombuffer(zstandard.decompress(shared.value), np.uint8)
+    def run(batches, counts):
         for part in slices(batches, 1):
             lines = Lines(part.column(1))
             if not len(lines.code):
@@ -268,50 +335,67 @@ def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col
             by = np.lexsort((lines.number, doc[lines.row]))
             first = np.empty(lines.n_lines, np.int64)
             first[lines.distinct[by][::-1]] = by[::-1]
+            at_line = line_hash(doc[lines.row[first[which]]], lines.number[first[which]])
+            stays = (size >= least) & ~(held(gone.value, at_line) & ~held(but.value, at_line))
             # a token counted once is in one line only
-            good = (at < prefix_length(size, threshold)[place]) & (times[word] > 0) & (size[place] >= least)
-            if tokens is not None:
-                good &= held(tokens.value, token_key(lines.hashes))[word]
-            if gone is not None:
-                at_line = line_hash(doc[lines.row[first[which]]], lines.number[first[which]])
-                good &= ~(held(gone.value, at_line) & ~held(but.value, at_line))[place]
+            good = np.flatnonzero((at < prefix_length(size, threshold)[place]) & (times[word] > 0) & stays[place])
             p, line = place[good], first[which[place[good]]]
-            arrays = [token_key(lines.hashes)[word[good]].view(np.int64), doc[lines.row[line]], lines.number[line].astype(np.int32), size[p].astype(np.int32), at[good].astype(np.int32), bits[p], more[p]]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["tok", "doc", "line", "n", "at", "bits", "more"])
+            tok = token_key(lines.hashes)[word[good]].view(np.int64)
+            prev = np.concatenate([[-1], np.where(p[1:] == p[:-1], tok[:-1], -1)])[: len(tok)]
+            arrays = [tok, doc[lines.row[line]], lines.number[line].astype(np.int32), size[p].astype(np.int32), at[good].astype(np.int32), bits[p], more[p], prev]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ROW_NAMES)
 
     def packed(batches):
         counts = np.frombuffer(zstandard.decompress(shared.value), np.uint8)
-        yield from pack_prefixes(run(batches), counts >= hot, buckets)
+        is_hot = counts >= hot if counts.max() >= hot else np.zeros(len(counts), bool)  # untouched zeros take no memory
+        yield from pack_prefixes(run(batches, counts), is_hot, buckets)
 
     hot = HOT
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_col)
-    return texts.mapInArrow(packed, PACKED) if buckets else texts.mapInArrow(run, PREFIX)
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(packed, PACKED)
 
 
 def passes(n, at, m, bt, differ, threshold: float) -> np.ndarray:
-    """Length, positional and parity-bitmap filters; no pair at the threshold fails them."""
+    """Length, positional and parity-bitmap filters; no pair at the threshold fails them at the first token it shares."""
     overlap = need(n, m, threshold)
-    fits = (np.minimum(n, m) >= np.ceil(threshold * np.maximum(n, m) - 1e-9)) & (np.minimum(at, bt) + 1 + np.minimum(n - at - 1, m - bt - 1) >= overlap)
+    fits = (np.minimum(n, m) >= np.ceil(threshold * np.maximum(n, m) - 1e-9)) & (1 + np.minimum(n - at - 1, m - bt - 1) >= overlap)
     return fits & (differ <= n + m - 2 * overlap)
 
 
 def passes_sql(threshold: float) -> str:
-    """The same for rows x and y of the prefix table."""
+    """The same, and the rule of meets(), for rows x and y of the prefix table."""
     overlap = f"ceil({threshold / (1 + threshold)!r} * (x.n + y.n) - 1e-9)"
     return (
-        f"least(x.n, y.n) >= ceil({threshold!r} * greatest(x.n, y.n) - 1e-9) and least(x.at, y.at) + 1 + least(x.n - x.at - 1, y.n - y.at - 1) >= {overlap}"
+        f"least(x.n, y.n) >= ceil({threshold!r} * greatest(x.n, y.n) - 1e-9) and 1 + least(x.n - x.at - 1, y.n - y.at - 1) >= {overlap}"
+        " and (x.prev < 0 or x.prev <> y.prev)"
         f" and bit_count(x.bits ^ y.bits) + bit_count(x.more ^ y.more) <= x.n + y.n - 2 * {overlap} and (y.doc < x.doc or (y.doc = x.doc and y.line < x.line))"
     )
 
 
+def meets(columns: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows x and y of a token pass, and how many bits they differ in. Rows with the same token before have met there, and passed if they would here."""
+    n, at, bits, more, prev = (columns[k] for k in ("n", "at", "bits", "more", "prev"))
+    differ = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) + np.bitwise_count(more[x] ^ more[y])
+    return passes(n[x], at[x], n[y], at[y], differ, threshold) & ((prev[x] < 0) | (prev[x] != prev[y])), differ
+
+
+def wide(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The columns of prefix rows; without prev none has a token before."""
+    now = {k: b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(b.schema.names)}
+    return now if "prev" in now else now | {"prev": np.full(b.num_rows, -1)}
+
+
+def unsigned(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """With numbers to reckon with: bits unsigned, sizes and places wide."""
+    return columns | {k: columns[k].astype(np.int64) for k in ("n", "at")} | {k: columns[k].view(np.uint64) for k in ("bits", "more")}
+
+
 def meet(columns: dict[str, np.ndarray], known: int, threshold: float, cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows by token and position: of the earlier rows of its token that pass, the NEAREST ones by bitmap, or -1; how many bits they differ in; and whether there may be more.
 
     Rows before known are only candidates; cut: between them and the next row, earlier rows of their token are left out.
     A row meets the first GROUP_ROWS rows of its token.
     """
-    tok, n, at = columns["tok"], columns["n"].astype(np.int64), columns["at"].astype(np.int64)
-    bits, more = columns["bits"].view(np.uint64), columns["more"].view(np.uint64)
+    tok, columns = columns["tok"], unsigned(columns)
     rows = np.arange(len(tok))
     start = np.maximum.accumulate(np.where(np.concatenate([[True], tok[1:] != tok[:-1]]), rows, 0))
     best, least = np.full((len(tok), NEAREST), -1), np.full((len(tok), NEAREST), 1 << 20)
@@ -321,8 +405,7 @@ def meet(columns: dict[str, np.ndarray], known: int, threshold: float, cut: bool
     k = 0
     while len(alive):  # the k-th row of each group against all rows after it
         other = start[alive] + k
-        differ = np.bitwise_count(bits[alive] ^ bits[other]).astype(np.int64) + np.bitwise_count(more[alive] ^ more[other])
-        hit = passes(n[alive], at[alive], n[other], at[other], differ, threshold)
+        hit, differ = meets(columns, alive, other, threshold)
         row, to, far = alive[hit], other[hit], differ[hit]
         passed[row] += 1
         for slot in range(NEAREST):  # the nearer one stays, the other moves on to the next slot
@@ -336,7 +419,7 @@ def meet(columns: dict[str, np.ndarray], known: int, threshold: float, cut: bool
     return best, least, (passed > NEAREST) | unmet
 
 
-CANDIDATES = PREFIX + ", to_doc long, to_line int, far int, more_to boolean"
+CANDIDATES = PREFIX + ", prev long, to_doc long, to_line int, far int, more_to boolean"
 
 
 def candidates(prefixes: DataFrame, threshold: float, packed: bool = False) -> DataFrame:
@@ -345,12 +428,12 @@ def candidates(prefixes: DataFrame, threshold: float, packed: bool = False) -> D
     more_to: there may be further earlier rows of the token that pass the filters; without a candidate kept to_doc is
     null. Of the prefix row all but doc and line is null unless more_to is set.
     """
-    names = PREFIX_NAMES
+    names = ROW_NAMES
 
     def run(batches):
         last, cut = None, False  # the first rows of the group that the last batch ended in, and whether it had more
         for b in unpack_prefixes(batches) if packed else batches:
-            now = {k: b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
+            now = wide(b)
             known = 0
             if last is not None and b.num_rows and last["tok"][0] == now["tok"][0]:
                 known = len(last["tok"])
@@ -371,6 +454,57 @@ def candidates(prefixes: DataFrame, threshold: float, packed: bool = False) -> D
     return prefixes.mapInArrow(run, CANDIDATES)
 
 
+def row_hash(tok: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(tok.view(np.uint64), 53) ^ line_hash(doc, line)
+
+
+def of_tokens(prefixes: DataFrame, tokens) -> DataFrame:
+    """Of rows PACKED those of the tokens in a bit table, and of few others."""
+
+    def run(batches):
+        for b in batches:
+            names, packed, bucket = b.schema.names[2:], [], []
+            plain = b.filter(pc.is_null(b.column(1)))
+            if plain.num_rows:
+                yield plain.filter(pa.array(held(tokens.value, plain.column(2).to_numpy().view(np.uint64))))
+            for k, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if p.is_valid:
+                    now = unpack_rows(p.as_buffer(), names)
+                    some = held(tokens.value, now["tok"].view(np.uint64))
+                    if some.any():
+                        bucket.append(k)
+                        packed.append(pack_rows({c: x[some] for c, x in now.items()}))
+            if packed:
+                yield packed_batch(bucket, packed, names)
+
+    return prefixes.mapInArrow(run, PACKED)
+
+
+def earlier_rows(prefixes: DataFrame, left, threshold: float) -> DataFrame:
+    """Rows (tok, doc, line, to_doc, to_line), from rows PACKED by bucket that are packed: for the rows in a bit table, and few others, all earlier rows of their token that pass."""
+
+    def run(batches):
+        for b in unpack_prefixes(batches):
+            now = wide(b)
+            tok, doc, line, columns = now["tok"], now["doc"], now["line"], unsigned(now)
+            rows = np.arange(len(tok))
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], tok[1:] != tok[:-1]]), rows, 0))
+            rows = np.flatnonzero(held(left.value, row_hash(tok, doc, line)))
+            depth = rows - start[rows]
+            ends, low = np.cumsum(depth), 0
+            while low < len(rows):
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + MEETINGS, "right")))
+                d = depth[low:high]
+                x, y = np.repeat(rows[low:high], d), np.arange(d.sum()) - np.repeat(np.cumsum(d) - d, d) + np.repeat(start[rows[low:high]], d)
+                hit = meets(columns, x, y, threshold)[0] & ((doc[x] != doc[y]) | (line[x] != line[y]))
+                x, y = x[hit], y[hit]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in (tok[x], doc[x], line[x], doc[y], line[y])], ["tok", "doc", "line", "to_doc", "to_line"])
+                low = high
+
+    return prefixes.mapInArrow(run, "tok long, doc long, line int, to_doc long, to_line int")
+
+
 def key_of(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
@@ -379,14 +513,17 @@ def line_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.int64).view(np.uint64), 52) ^ line.astype(np.uint64)
 
 
-def doubtful(lines: DataFrame, gone: DataFrame, table) -> DataFrame:
-    """(doc, line) of the lines that a bit table of gone takes for its own though they are not."""
+def doubtful(firsts: DataFrame, table) -> DataFrame:
+    """(doc, line) of the lines, packed in rows SURVEYED, that a bit table of others takes for its own."""
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(held(table.value, line_hash(*[c.to_numpy(zero_copy_only=False) for c in b.columns]))))
+            for packed in b.column(0):
+                now = unpack_rows(packed.as_buffer(), ["doc", "line"])
+                some = held(table.value, line_hash(now["doc"], now["line"]))
+                yield pa.RecordBatch.from_arrays([pa.array(now["doc"][some]), pa.array(now["line"][some])], ["doc", "line"])
 
-    return lines.select("doc", "line").mapInArrow(run, "doc long, line int").join(gone, ["doc", "line"], "left_anti")
+    return firsts.select("packed").mapInArrow(run, "doc long, line int")
 
 
 def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -452,22 +589,21 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     hashes of their tokens, equal sets by hashes of 128 bits and their size.
     """
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
-    surveyed = tables.keep(survey(docs, id_col, text_col))
-    lines = surveyed.where("n > 0").select("sig", "bits", "n", "doc", "line")
-    groups = lines.groupBy("sig", "bits", "n").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    equal = lines.join(groups, ["sig", "bits", "n"]).where("first.doc <> doc or first.line <> line").select("doc", "line", F.col("first.doc").alias("to_doc"), F.col("first.line").alias("to_line"))
-    beside = surveyed.where("n = 0").select("doc", "line", F.col("sig").alias("to_doc"), F.col("bits").cast("int").alias("to_line"))
-    found = tables.keep(equal.unionByName(beside))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    surveyed = tables.keep(survey(docs, id_col, text_col, max(256, 4 * parts)))
+    grouped = tables.keep(equal_lines(surveyed, parts, threshold))
+    repeated = [x.where(f"kind = {REPEATED}").select("doc", "line", "to_doc", "to_line") for x in (surveyed, grouped)]
+    found = tables.keep(repeated[0].unionByName(repeated[1]))
     if threshold < 1:
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         counts = rarity(surveyed, parts)
+        tables.drop(surveyed)
         share = spark.sparkContext.broadcast
+        firsts = grouped.where(f"kind = {FIRSTS}")
         gone = share(bit_table(found.select("doc", "line"), line_hash))
-        but = share(bit_table(doubtful(lines, found.select("doc", "line"), gone), line_hash))
-        most = lines.agg(F.sum(F.col("n") * (1 - threshold) + 1)).first()[0] or 0  # prefix rows, about
+        but = share(bit_table(doubtful(firsts, gone), line_hash))
+        most = firsts.agg(F.sum("total")).first()[0] or 0  # prefix rows, about
         buckets = max(4 * parts, int(most / BUCKET_ROWS) + 1)
-        tables.drop(surveyed)
-        prefixes = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, buckets=buckets)
+        prefixes = tables.keep(prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, buckets))
         rows = tables.keep(candidates(prefixes.repartition(parts, "bucket").sortWithinPartitions("bucket", "tok", "doc", "line"), threshold, packed=True))
         pairs = rows.where("to_doc is not null").select("doc", "line", "to_doc", "to_line", "far")
         sets = tables.keep(line_sets(docs, ends_of(pairs), id_col, text_col))
@@ -477,12 +613,16 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
         others = tables.keep(pairs.drop("far").join(ok, ["doc", "line"], "left_anti").distinct())
         true = tables.keep(true.unionByName(verified(others, some_of(sets, ends_of(others)), threshold)))
         found = found.unionByName(true)
-        left = tables.keep(rows.where("more_to").select(*PREFIX_NAMES).join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti").select(*PREFIX_NAMES).distinct())
+        left = tables.keep(rows.where("more_to").select(*ROW_NAMES).join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti").select(*ROW_NAMES).distinct())
         if not left.isEmpty():
             tokens = share(bit_table(left.select("tok").distinct(), lambda tok: tok.view(np.uint64)))
-            earlier = prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, tokens)
-            again = left.alias("x").join(earlier.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")).distinct()
-            again = tables.keep(again.join(others, ["doc", "line", "to_doc", "to_line"], "left_anti"))
+            mine = share(bit_table(left.select("tok", "doc", "line"), row_hash))
+            few = of_tokens(prefixes.where("packed is not null"), tokens).repartition(parts, "bucket").sortWithinPartitions("bucket")
+            again = earlier_rows(few, mine, threshold).join(left.select("tok", "doc", "line"), ["tok", "doc", "line"], "left_semi").drop("tok")
+            if counts.max() >= HOT:
+                earlier = of_tokens(prefixes.where("packed is null"), tokens)
+                again = again.unionByName(left.alias("x").join(earlier.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")))
+            again = tables.keep(again.distinct().join(others, ["doc", "line", "to_doc", "to_line"], "left_anti"))
             found = found.unionByName(verified(again, line_sets(docs, ends_of(again), id_col, text_col), threshold))
     best = found.groupBy("doc", "line").agg(F.min(F.struct("to_doc", "to_line")).alias("to"))
     name = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

@@ -140,3 +140,17 @@ def test_rows_past_the_held_ones_of_a_long_group_are_flagged(monkeypatch, batch)
     got = pa.Table.from_batches(run(iter(rows.to_batches(max_chunksize=batch)))).to_pylist()
     assert all(r["to_doc"] is None for r in got)
     assert [r["doc"] for r in got if r["more_to"]] == [*range(5, 40), *range(45, n)]
+
+
+def test_packing_holds_few_rows_at_a_time():
+    """Workers stay small: a fifth of a million prefix rows is packed and handed on before more are taken in."""
+    taken = []
+
+    def batches():
+        for k in range(8):
+            taken.append(k)
+            rows = {c: np.arange(50_000).astype(line_dedup.KINDS[c]) for c in line_dedup.PREFIX_NAMES}
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in rows.values()], line_dedup.PREFIX_NAMES)
+
+    next(line_dedup.pack_prefixes(batches(), np.zeros(1 << line_dedup.COUNT_BITS, bool), 7))
+    assert len(taken) <= 4
