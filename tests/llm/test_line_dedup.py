@@ -154,3 +154,23 @@ def test_packing_holds_few_rows_at_a_time():
 
     next(line_dedup.pack_prefixes(batches(), np.zeros(1 << line_dedup.COUNT_BITS, bool), 7))
     assert len(taken) <= 4
+
+
+def shared_tokens(lines):
+    """Prefix rows of five tokens in a row for each of so many equal lines, which differ in no bit."""
+    n = 5 * lines
+    rows = {"tok": np.repeat(np.arange(5), lines), "doc": np.tile(np.arange(lines), 5), "line": np.zeros(n), "n": np.full(n, 50), "at": np.repeat(np.arange(5), lines), "bits": np.zeros(n), "more": np.zeros(n), "prev": np.repeat(np.arange(5), lines) - 1}
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32 if k in ("line", "n", "at") else np.int64)) for k, v in rows.items()], list(rows))
+
+
+def test_a_pair_is_found_at_the_first_token_of_a_run():
+    got = pa.Table.from_batches(line_dedup.candidates(Local(), 0.8)(iter([shared_tokens(2)])))
+    assert got.select(["doc", "to_doc"]).to_pylist() == [{"doc": 1, "to_doc": 0}]
+
+
+def test_lines_left_meet_all_earlier_rows_of_their_tokens():
+    """Only rows of pairs come out, not the prefix rows of all lines with such a token."""
+    left = type("Table", (), {"value": np.full(1024, ~np.uint64(0))})
+    packed = list(line_dedup.pack_prefixes([shared_tokens(9)], np.zeros(1 << line_dedup.COUNT_BITS, bool), 1))
+    got = pa.Table.from_batches(line_dedup.earlier_rows(Local(), left, 0.8)(iter(packed)))
+    assert sorted((r["doc"], r["to_doc"]) for r in got.to_pylist()) == [(x, y) for x in range(9) for y in range(x)]
