@@ -23,11 +23,11 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         """df, written once and read back; the path is in the result's attribute kept_at."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.kept_at = path
         return out
@@ -103,26 +103,37 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of an array of strings without nulls, the same on every machine; words of up to 16 bytes are hashed together."""
     words = words.cast(pa.large_binary())
     offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
     out = np.empty(len(words), np.uint64)
-    sizes = np.diff(offsets)
-    padded = np.concatenate([data[: offsets[-1] if len(offsets) else 0], np.zeros(16, np.uint8)])
-    short = np.flatnonzero(sizes <= 16)
-    for low in range(0, len(short), 1 << 17):
-        part = short[low : low + (1 << 17)]
-        block = padded[offsets[part][:, None] + np.arange(16)] * (np.arange(16) < sizes[part][:, None])
-        pair = block.astype(np.uint8).view(np.uint64)
-        out[part] = mix(pair[:, 0] ^ mix(pair[:, 1] + sizes[part].astype(np.uint64), 41), 42)
+    sizes, low, offsets = np.diff(offsets), offsets[:1].sum(), offsets[: len(words)] - offsets[:1]
+    total = int(sizes.sum())
+    data = np.zeros(total // 8 * 8 + 32, np.uint8)
+    if total:
+        data[:total] = np.frombuffer(words.buffers()[2], np.uint8)[low : low + total]
+    eights = data.view("<u8")
+
+    def eight(at, n):
+        """The n first bytes from each place, eight at most, as a number."""
+        k, shift = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+        return (eights[k] >> shift | eights[k + 1] << (np.uint64(63) - shift) << np.uint64(1)) & LOW_BYTES[np.minimum(n, 8)]
+
+    for low in range(0, len(words), 1 << 15):
+        at, n = offsets[low : low + (1 << 15)], sizes[low : low + (1 << 15)]
+        more, second = np.flatnonzero(n > 8), np.zeros(len(n), np.uint64)
+        second[more] = eight(at[more] + 8, n[more] - 8)
+        out[low : low + len(n)] = mix(eight(at, n) ^ mix(second + n.astype(np.uint64), 41), 42)
     for i in np.flatnonzero(sizes > 16):
-        out[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i] + sizes[i]].tobytes())
     return out
 
 
-MOST_BITS = 27
+LEAST_BITS, MOST_BITS = 22, 27
 
 
 def bit_of(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -132,9 +143,9 @@ def bit_of(hashes: np.ndarray, bits: int) -> np.ndarray:
 def bit_table(df: DataFrame, hash_of) -> np.ndarray:
     """A bit table with the places of hash_of(columns as arrays) of all rows set: a filter that lets all of them through and few others.
 
-    About 8 bits a row, at most 2 ** MOST_BITS bits, whatever the input.
+    About 32 bits a row, from 2 ** LEAST_BITS to 2 ** MOST_BITS bits, whatever the input: a table of few rows lets almost no other through.
     """
-    bits = min(MOST_BITS, max(16, (8 * df.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * df.count()).bit_length()))
 
     def run(batches):
         for b in batches:

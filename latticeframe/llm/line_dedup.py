@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from latticeframe.llm.common import Tables, bit_table, held, mix, slices, word_hashes
 
 COUNT_BITS = 24
-CHUNK_BITS = 12
+CHUNK_BITS = 14
 GROUP_ROWS = 4_096
 NEAREST = 3
 NULL_ID = -(2**63)
@@ -47,25 +47,28 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
 
 
 class Lines:
-    """The lines of a column of texts: row and number of each, which distinct line it is, and the distinct lines' tokens as places in hashes."""
+    """The lines of a column of texts: row and number of each, which distinct line it is, and the distinct lines' tokens as places in hashes.
 
-    def __init__(self, texts: pa.Array):
+    wanted: called before lines are divided into tokens; says of which distinct lines tokens are wanted.
+    """
+
+    def __init__(self, texts: pa.Array, wanted=None):
         per_text = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), "\n")
         counts = np.diff(per_text.offsets.to_numpy())
         self.row = np.repeat(np.arange(len(texts)), counts)
         self.number = np.arange(len(self.row)) - np.repeat(np.cumsum(counts) - counts, counts)
         encoded = per_text.flatten().dictionary_encode()
-        self.distinct = encoded.indices.to_numpy()
-        tokens = pc.ascii_split_whitespace(encoded.dictionary)
+        self.distinct, self.n_lines = encoded.indices.to_numpy(), len(encoded.dictionary)
+        some = np.arange(self.n_lines) if wanted is None else np.flatnonzero(wanted(self))
+        tokens = pc.ascii_split_whitespace(encoded.dictionary.take(pa.array(some)) if len(some) < self.n_lines else encoded.dictionary)
         words = tokens.flatten().dictionary_encode()
         self.code = words.indices.to_numpy()
-        self.owner = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+        self.owner = np.repeat(some, np.diff(tokens.offsets.to_numpy()))
         self.hashes = word_hashes(words.dictionary)
         empty = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()
         if empty >= 0:
             full = self.code != empty
             self.code, self.owner = self.code[full], self.owner[full]
-        self.n_lines = len(tokens)
 
 
 SURVEY = {"kind": pa.int32(), "place": pa.int64(), "total": pa.int64(), "doc": pa.int64(), "line": pa.int32(), "to_doc": pa.int64(), "to_line": pa.int32(), "packed": pa.binary()}
@@ -144,8 +147,8 @@ def survey(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFra
             yield flush(rows)
         chunks = counts.reshape(-1, 1 << CHUNK_BITS)
         some = np.flatnonzero(chunks.any(1))
-        for low in range(0, len(some), 256):
-            now = some[low : low + 256]
+        for low in range(0, len(some), 64):
+            now = some[low : low + 64]
             yield survey_rows(COUNTS, len(now), place=now, packed=[zstandard.compress(chunks[i].tobytes(), 1) for i in now])
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, SURVEYED)
@@ -210,6 +213,7 @@ def token_key(hashes: np.ndarray) -> np.ndarray:
 PACKED_ROWS = 150_000
 BUCKET_ROWS = 200_000
 MEETINGS = 1_000_000
+NEAR_ROWS = 100_000
 HOT = 8 * 19  # tokens counted 2 ** 19 times or more
 ROW_NAMES = [*PREFIX_NAMES, "prev"]  # prev: the token of the line's prefix row before, or -1
 PACKED = "bucket int, packed binary, " + PREFIX + ", prev long"
@@ -222,15 +226,20 @@ def pack_rows(rows: dict[str, np.ndarray]) -> bytes:
     return zstandard.compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in parts), 1)
 
 
-def unpack_rows(packed: bytes, names: list[str]) -> dict[str, np.ndarray]:
+def unpack_rows(packed: bytes, names: list[str], of=None) -> dict[str, np.ndarray]:
+    """of: which rows to take, given their tokens, the first column; only of these the others are unpacked."""
     data = np.frombuffer(zstandard.decompress(packed), np.uint8)
-    n, low, out = len(data) // sum(np.dtype(KINDS[k]).itemsize for k in names), 0, {}
+    n, low, out, some = len(data) // sum(np.dtype(KINDS[k]).itemsize for k in names), 0, {}, None
     for k in names:
         width = np.dtype(KINDS[k]).itemsize
-        out[k] = np.ascontiguousarray(data[low : low + n * width].reshape(width, n).T).view(KINDS[k]).ravel()
+        column = data[low : low + n * width].reshape(width, n)
+        out[k] = np.ascontiguousarray((column if some is None else column[:, some]).T).view(KINDS[k]).ravel()
         low += n * width
-    if "tok" in out:
-        out["tok"] = np.cumsum(out["tok"])
+        if k == "tok":
+            out[k] = np.cumsum(out[k])
+            if of is not None:
+                some = np.flatnonzero(of(out[k]))
+                out[k] = out[k][some]
     return out
 
 
@@ -245,7 +254,8 @@ def packs(now: dict[str, np.ndarray], bucket: np.ndarray, order: np.ndarray) ->
     """For rows in an order in which buckets lie together: the buckets, and a packed row for each."""
     at = bucket[order]
     start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[start], [pack_rows({k: x[part] for k, x in now.items()}) for part in np.split(order, start[1:])]
+    now, ends = {k: x[order] for k, x in now.items()}, [*start[1:].tolist(), len(at)]
+    return at[start], [pack_rows({k: x[low:high] for k, x in now.items()}) for low, high in zip(start.tolist(), ends, strict=True)]
 
 
 def by_bucket(pairs, names: list[str]):
@@ -274,7 +284,7 @@ def pack_prefixes(batches, hot: np.ndarray, buckets: int):
         if plain.any():
             n = int(plain.sum())
             yield pa.RecordBatch.from_arrays([pa.array(-1 - bucket[plain]), pa.nulls(n, pa.binary()), *[pa.array(now[k][plain]) for k in names]], ["bucket", "packed", *names])
-        order = np.lexsort((now["tok"], bucket))
+        order = np.argsort(bucket.astype(np.int64) << 40 | now["tok"], kind="stable")
         order = order[~plain[order]]
         if len(order):
             yield packed_batch(*packs(now, bucket, order), names)
@@ -321,24 +331,30 @@ def prefix_rows(docs: DataFrame, counts, threshold: float, id_col: str, text_col
     # a set of up to least - 1 tokens is similar to no other set
     least = int(np.ceil(threshold / (1 - threshold) - 1e-9))
 
+    def stays(lines, doc, places):
+        """Which distinct lines are not gone; adds to places where each is first."""
+        by = np.lexsort((lines.number, doc[lines.row]))
+        first = np.empty(lines.n_lines, np.int64)
+        first[lines.distinct[by][::-1]] = by[::-1]
+        places.append(first)
+        at_line = line_hash(doc[lines.row[first]], lines.number[first])
+        return ~(held(gone.value, at_line) & ~held(but.value, at_line))
+
     def run(batches, counts):
         for part in slices(batches, 1):
-            lines = Lines(part.column(1))
+            doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)
+            first = []
+            lines = Lines(part.column(1), lambda lines, doc=doc, first=first: stays(lines, doc, first))
             if not len(lines.code):
                 continue
+            first = first[0]
             times = counts[(lines.hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-            order = np.argsort((times.astype(np.uint64) << np.uint64(56)) | (lines.hashes >> np.uint64(8)), kind="stable")
+            order = np.argsort((times.astype(np.uint64) << np.uint64(56)) | (lines.hashes >> np.uint64(8)))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             which, size, _, bits, more, place, at, word = set_keys(lines, rank)
-            doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)
-            by = np.lexsort((lines.number, doc[lines.row]))
-            first = np.empty(lines.n_lines, np.int64)
-            first[lines.distinct[by][::-1]] = by[::-1]
-            at_line = line_hash(doc[lines.row[first[which]]], lines.number[first[which]])
-            stays = (size >= least) & ~(held(gone.value, at_line) & ~held(but.value, at_line))
             # a token counted once is in one line only
-            good = np.flatnonzero((at < prefix_length(size, threshold)[place]) & (times[word] > 0) & stays[place])
+            good = np.flatnonzero((at < prefix_length(size, threshold)[place]) & (times[word] > 0) & (size >= least)[place])
             p, line = place[good], first[which[place[good]]]
             tok = token_key(lines.hashes)[word[good]].view(np.int64)
             prev = np.concatenate([[-1], np.where(p[1:] == p[:-1], tok[:-1], -1)])[: len(tok)]
@@ -389,6 +405,51 @@ def unsigned(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return columns | {k: columns[k].astype(np.int64) for k in ("n", "at")} | {k: columns[k].view(np.uint64) for k in ("bits", "more")}
 
 
+def most_bits(n: np.ndarray, threshold: float) -> np.ndarray:
+    """The most bits that a set of n tokens and another one may differ in and pass: the other has n / threshold tokens at most."""
+    return np.minimum((1 - threshold) / threshold * n + 1e-6, 128).astype(np.uint8)
+
+
+def near(columns: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray, threshold: float):
+    """Rows x and earlier rows y of their tokens that differ in no more bits than most_bits(x), in parts of some NEAR_ROWS pairs or more; size: of a row's token, 0 for rows to leave out.
+
+    All rows are compared with the rows k places before, for one k after the other; large tokens lie first, so those with more than k rows lie together.
+    """
+    order = np.argsort(-size, kind="stable")
+    order = order[: np.count_nonzero(size)]
+    bits, more, depth = columns["bits"][order], columns["more"][order], (np.arange(len(start)) - start)[order]
+    most = most_bits(columns["n"][order], threshold)
+    last = np.searchsorted(-size[order], -np.arange(size.max(initial=0)))  # rows of tokens with more than k rows
+    found, n = [], 0
+    for k in range(1, len(last)):
+        high = last[k]
+        differ = np.bitwise_count(bits[k:high] ^ bits[: high - k])
+        differ += np.bitwise_count(more[k:high] ^ more[: high - k])
+        hit = np.flatnonzero((differ <= most[k:high]) & (depth[k:high] >= k))
+        if len(hit):
+            found.append((order[hit + k], order[hit]))
+            n += len(hit)
+        if n >= NEAR_ROWS:
+            yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            found, n = [], 0
+    if found:
+        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def nearest(row: np.ndarray, to: np.ndarray, far: np.ndarray, best: np.ndarray, least: np.ndarray) -> None:
+    """Adds rows' candidates to those in best and least: the nearest stay, of equally near ones the earliest."""
+    rows = np.unique(row)
+    held_row, slot = np.nonzero(best[rows] >= 0)
+    held_row = rows[held_row]
+    row, to, far = (np.concatenate(x) for x in ((row, held_row), (to, best[held_row, slot]), (far, least[held_row, slot])))
+    by = np.lexsort((to, far, row))
+    row, to, far = row[by], to[by], far[by]
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], row[1:] != row[:-1]]), np.arange(len(row)), 0))
+    slot = np.arange(len(row)) - first
+    stays = slot < NEAREST
+    best[row[stays], slot[stays]], least[row[stays], slot[stays]] = to[stays], far[stays]
+
+
 def meet(columns: dict[str, np.ndarray], known: int, threshold: float, cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows by token and position: of the earlier rows of its token that pass, the NEAREST ones by bitmap, or -1; how many bits they differ in; and whether there may be more.
 
@@ -397,22 +458,26 @@ def meet(columns: dict[str, np.ndarray], known: int, threshold: float, cut: bool
     """
     tok, columns = columns["tok"], unsigned(columns)
     rows = np.arange(len(tok))
-    start = np.maximum.accumulate(np.where(np.concatenate([[True], tok[1:] != tok[:-1]]), rows, 0))
+    head = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+    size = np.diff(np.append(head, len(tok)))
+    start, size = np.repeat(head, size), np.repeat(size, size)
     best, least = np.full((len(tok), NEAREST), -1), np.full((len(tok), NEAREST), 1 << 20)
     passed = np.zeros(len(tok), np.int64)
     depth = rows - start
-    alive = rows[(depth > 0) & (rows >= known)]
+
+    def add(x, y):
+        hit, differ = meets(columns, x, y, threshold)
+        if hit.any():
+            x, y, differ = x[hit], y[hit], differ[hit]
+            np.add.at(passed, x, 1)
+            nearest(x, y, differ, best, least)
+
+    for x, y in near(columns, start, np.where((size > 1) & (size <= GROUP_ROWS), size, 0), threshold):
+        add(x[x >= known], y[x >= known])
+    alive = rows[(size > GROUP_ROWS) & (depth > 0) & (rows >= known)]
     k = 0
-    while len(alive):  # the k-th row of each group against all rows after it
-        other = start[alive] + k
-        hit, differ = meets(columns, alive, other, threshold)
-        row, to, far = alive[hit], other[hit], differ[hit]
-        passed[row] += 1
-        for slot in range(NEAREST):  # the nearer one stays, the other moves on to the next slot
-            held_to, held_far = best[row, slot], least[row, slot]
-            nearer = far < held_far
-            best[row, slot], least[row, slot] = np.where(nearer, to, held_to), np.where(nearer, far, held_far)
-            to, far = np.where(nearer, held_to, to), np.where(nearer, held_far, far)
+    while len(alive):  # the k-th row of each large group against all rows after it
+        add(alive, start[alive] + k)
         k += 1
         alive = alive[depth[alive] > k] if k < GROUP_ROWS else alive[:0]
     unmet = (depth > GROUP_ROWS) | (cut & (start == 0) & (rows >= known))
@@ -469,11 +534,10 @@ def of_tokens(prefixes: DataFrame, tokens) -> DataFrame:
                 yield plain.filter(pa.array(held(tokens.value, plain.column(2).to_numpy().view(np.uint64))))
             for k, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if p.is_valid:
-                    now = unpack_rows(p.as_buffer(), names)
-                    some = held(tokens.value, now["tok"].view(np.uint64))
-                    if some.any():
+                    now = unpack_rows(p.as_buffer(), names, lambda tok: held(tokens.value, tok.view(np.uint64)))
+                    if len(now["tok"]):
                         bucket.append(k)
-                        packed.append(pack_rows({c: x[some] for c, x in now.items()}))
+                        packed.append(pack_rows(now))
             if packed:
                 yield packed_batch(bucket, packed, names)
 
@@ -526,9 +590,20 @@ def doubtful(firsts: DataFrame, table) -> DataFrame:
     return firsts.select("packed").mapInArrow(run, "doc long, line int")
 
 
-def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc, line, tokens) with the sorted token hashes of the lines in ends, and of few others that a bit table lets out of the scan."""
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(ends, line_hash))  # of bounded size
+def ends_of(pairs: DataFrame):
+    """A function of line hashes: which are of later and which of earlier lines of pairs, and few others, by broadcast bit tables of bounded size."""
+    share = pairs.sparkSession.sparkContext.broadcast
+    later = share(bit_table(pairs.select("doc", "line"), line_hash))
+    earlier = share(bit_table(pairs.select("to_doc", "to_line"), line_hash))
+    return lambda at: (held(later.value, at), held(earlier.value, at))
+
+
+SETS = "doc long, line int, later boolean, earlier boolean, tokens array<long>"
+
+
+def line_sets(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows SETS with the sorted token hashes of the lines in pairs, and of few others that a bit table lets out of the scan; later, earlier: at which ends."""
+    ends = ends_of(pairs)
 
     def run(batches):
         for part in slices(batches, 1):
@@ -537,7 +612,8 @@ def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> D
             row = np.repeat(np.arange(part.num_rows), counts)
             number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             doc = pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False)[row]
-            hit = np.flatnonzero(held(table.value, line_hash(doc, number)))
+            later, earlier = ends(line_hash(doc, number))
+            hit = np.flatnonzero(later | earlier)
             if not len(hit):
                 continue
             words = pc.ascii_split_whitespace(per_text.flatten().take(pa.array(hit)))
@@ -550,30 +626,27 @@ def line_sets(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> D
             new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
             ends_at = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(hit)))])
             lists = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(hashes[new].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit].astype(np.int32)), lists], ["doc", "line", "tokens"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, "doc long, line int, tokens array<long>")
-
+            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit].astype(np.int32)), pa.array(later[hit]), pa.array(earlier[hit]), lists], ["doc", "line", "later", "earlier", "tokens"])
 
-def ends_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select("doc", "line").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(run, SETS)
 
 
-def some_of(sets: DataFrame, ends: DataFrame) -> DataFrame:
-    """The sets of the lines in ends and of few others."""
-    table = sets.sparkSession.sparkContext.broadcast(bit_table(ends, line_hash))  # of bounded size
+def some_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the lines in pairs and of few others."""
+    ends = ends_of(pairs)
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(held(table.value, line_hash(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+            later, earlier = ends(line_hash(b.column(0).to_numpy(), b.column(1).to_numpy()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(later), pa.array(earlier), b.column(4)], b.schema.names).filter(pa.array(later | earlier))
 
-    return sets.mapInArrow(run, sets.schema)
+    return sets.mapInArrow(run, SETS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (doc, line, to_doc, to_line) whose token sets reach the threshold."""
-    left = pairs.join(sets, ["doc", "line"])
-    right = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
+    left = pairs.join(sets.where("later").select("doc", "line", "tokens"), ["doc", "line"])
+    right = sets.where("earlier").select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
     both = left.join(right, ["to_doc", "to_line"])
     shared = F.size(F.array_intersect("tokens", "to_tokens"))
     return both.where(shared >= F.ceil(F.lit(threshold) * (F.size("tokens") + F.size("to_tokens") - shared) - 1e-9)).select("doc", "line", "to_doc", "to_line").distinct()
@@ -603,27 +676,29 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
         but = share(bit_table(doubtful(firsts, gone), line_hash))
         most = firsts.agg(F.sum("total")).first()[0] or 0  # prefix rows, about
         buckets = max(4 * parts, int(most / BUCKET_ROWS) + 1)
-        prefixes = tables.keep(prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, buckets))
+        prefixes = tables.keep(prefix_rows(docs, counts, threshold, id_col, text_col, gone, but, buckets), "uncompressed")  # packed already
         rows = tables.keep(candidates(prefixes.repartition(parts, "bucket").sortWithinPartitions("bucket", "tok", "doc", "line"), threshold, packed=True))
         pairs = rows.where("to_doc is not null").select("doc", "line", "to_doc", "to_line", "far")
-        sets = tables.keep(line_sets(docs, ends_of(pairs), id_col, text_col))
+        sets = tables.keep(line_sets(docs, pairs, id_col, text_col))
         nearest = pairs.groupBy("doc", "line").agg(F.min(F.struct("far", "to_doc", "to_line")).alias("to")).select("doc", "line", "to.to_doc", "to.to_line")
         true = tables.keep(verified(nearest, sets, threshold))
         ok = true.select("doc", "line")
         others = tables.keep(pairs.drop("far").join(ok, ["doc", "line"], "left_anti").distinct())
-        true = tables.keep(true.unionByName(verified(others, some_of(sets, ends_of(others)), threshold)))
+        few = tables.keep(some_of(sets, others))  # both sides of the join read it
+        true = tables.keep(true.unionByName(verified(others, few, threshold)))
         found = found.unionByName(true)
         left = tables.keep(rows.where("more_to").select(*ROW_NAMES).join(true.select("doc", "line").distinct(), ["doc", "line"], "left_anti").select(*ROW_NAMES).distinct())
         if not left.isEmpty():
             tokens = share(bit_table(left.select("tok").distinct(), lambda tok: tok.view(np.uint64)))
             mine = share(bit_table(left.select("tok", "doc", "line"), row_hash))
-            few = of_tokens(prefixes.where("packed is not null"), tokens).repartition(parts, "bucket").sortWithinPartitions("bucket")
-            again = earlier_rows(few, mine, threshold).join(left.select("tok", "doc", "line"), ["tok", "doc", "line"], "left_semi").drop("tok")
+            met = of_tokens(prefixes.where("packed is not null"), tokens).repartition(parts, "bucket").sortWithinPartitions("bucket")
+            again = earlier_rows(met, mine, threshold).join(left.select("tok", "doc", "line"), ["tok", "doc", "line"], "left_semi").drop("tok")
             if counts.max() >= HOT:
                 earlier = of_tokens(prefixes.where("packed is null"), tokens)
                 again = again.unionByName(left.alias("x").join(earlier.alias("y"), F.expr(f"x.tok = y.tok and {passes_sql(threshold)}")).select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line")))
             again = tables.keep(again.distinct().join(others, ["doc", "line", "to_doc", "to_line"], "left_anti"))
-            found = found.unionByName(verified(again, line_sets(docs, ends_of(again), id_col, text_col), threshold))
+            sets = tables.keep(line_sets(docs, again, id_col, text_col))  # both sides of the join read it
+            found = found.unionByName(verified(again, sets, threshold))
     best = found.groupBy("doc", "line").agg(F.min(F.struct("to_doc", "to_line")).alias("to"))
     name = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return best.select(name("doc").alias(id_col), "line", name("to.to_doc").alias(f"to_{id_col}"), F.col("to.to_line").alias("to_line"))

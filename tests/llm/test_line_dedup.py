@@ -174,3 +174,47 @@ def test_lines_left_meet_all_earlier_rows_of_their_tokens():
     packed = list(line_dedup.pack_prefixes([shared_tokens(9)], np.zeros(1 << line_dedup.COUNT_BITS, bool), 1))
     got = pa.Table.from_batches(line_dedup.earlier_rows(Local(), left, 0.8)(iter(packed)))
     assert sorted((r["doc"], r["to_doc"]) for r in got.to_pylist()) == [(x, y) for x in range(9) for y in range(x)]
+
+
+def test_bit_tables_of_few_rows_let_almost_nothing_else_through(spark):
+    """Sets and prefix rows of lines that no pair has are read, shuffled and joined in vain."""
+    from latticeframe.llm.common import bit_table, held
+
+    table = bit_table(spark.range(1000).select(F.col("id").alias("x")), lambda x: line_dedup.mix(x.view(np.uint64)))
+    assert held(table, line_dedup.mix(np.arange(1000, dtype=np.uint64))).all()
+    assert held(table, line_dedup.mix(np.arange(1000, 201_000, dtype=np.uint64))).mean() < 0.001
+
+
+def test_lines_that_are_gone_are_not_divided_into_tokens():
+    lines = line_dedup.Lines(pa.array(["a b\nc d e\na b", None, "c d e\nf"]), lambda lines: np.arange(lines.n_lines) != 1)
+    assert lines.n_lines == 4 and sorted(set(lines.owner.tolist())) == [0, 3] and len(lines.hashes) <= 4
+
+
+@pytest.mark.parametrize("group_rows", [2, 3, 4096])
+def test_all_pairs_meet_where_no_filter_holds(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(line_dedup, "passes", lambda n, at, m, bt, differ, threshold: np.ones(len(n), bool))
+    monkeypatch.setattr(line_dedup, "most_bits", lambda n, threshold: np.full(len(n), 255, np.uint8))
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(line_dedup, "NEAR_ROWS", 10)
+    docs = corpus(5)
+    got = line_dedup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), 0.8)
+    assert {(r["doc_id"], r["line"]) for r in got.collect()} == brute(docs, 0.8)
+
+
+def test_most_bits_bounds_what_passes():
+    for threshold in (0.5, 0.6, 0.8, 0.95):
+        n, m, d = (x.ravel() for x in np.meshgrid(np.arange(1, 90), np.arange(1, 180), np.arange(0, 40), indexing="ij"))
+        ok = line_dedup.passes(n, np.zeros_like(n), m, np.zeros_like(n), d, threshold)
+        assert (d[ok] <= line_dedup.most_bits(n[ok], threshold)).all()
+
+
+def test_near_finds_all_pairs_of_a_token():
+    r = np.random.default_rng(3)
+    tok = np.sort(r.integers(0, 40, 300))
+    start = np.searchsorted(tok, tok)
+    size = np.bincount(tok)[tok]
+    columns = {"n": r.integers(5, 60, 300), "bits": r.integers(0, 1 << 12, 300).astype(np.uint64), "more": np.zeros(300, np.uint64)}
+    most = line_dedup.most_bits(columns["n"], 0.8)
+    want = {(x, y) for x in range(300) for y in range(start[x], x) if int(columns["bits"][x] ^ columns["bits"][y]).bit_count() <= most[x]}
+    parts = list(line_dedup.near(columns, start, np.where(size > 1, size, 0), 0.8))
+    assert sorted((int(x), int(y)) for a, b in parts for x, y in zip(a, b, strict=True)) == sorted(want)
